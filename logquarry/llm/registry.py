@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from logquarry.llm import exact_dedup
+from logquarry.llm import decontaminate, exact_dedup, pii
 
 QUERIES = {
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_pii_anchors": pii.op6_pii_anchors,
     "op9_grace_dedup": exact_dedup.op9_grace_dedup,
 }
 SQL = {
+    "op5_decontaminate": decontaminate.SQL,
     "op9_grace_dedup": exact_dedup.SQL,
 }
