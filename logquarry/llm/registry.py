@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from logquarry.llm import decontaminate, exact_dedup, pii
+from logquarry.llm import bloom_lm, decontaminate, exact_dedup, pii
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_pii_anchors": pii.op6_pii_anchors,
+    "op10_bloom_lm": bloom_lm.op10_bloom_lm,
     "op9_grace_dedup": exact_dedup.op9_grace_dedup,
 }
 SQL = {
