@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from logquarry.llm import bloom_lm, decontaminate, exact_dedup, pii
+from logquarry.llm import bloom_lm, decontaminate, exact_dedup, language_id, pii
 
 QUERIES = {
+    "op2_cross_parsing": language_id.op2_cross_parsing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_pii_anchors": pii.op6_pii_anchors,
     "op10_bloom_lm": bloom_lm.op10_bloom_lm,
