@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from logquarry.llm import bloom_lm, decontaminate, exact_dedup, language_id, pii, quality, warc
+from logquarry.llm import bloom_lm, decontaminate, exact_dedup, language_id, near_dedup, pii, quality, warc
 
 QUERIES = {
     "op2_cross_parsing": language_id.op2_cross_parsing,
     "op4_warc_shards": warc.op4_warc_shards,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_pii_anchors": pii.op6_pii_anchors,
+    "op7_minhash_hamming": near_dedup.op7_minhash_hamming,
     "op8_factorisation_machine": quality.op8_factorisation_machine,
     "op10_bloom_lm": bloom_lm.op10_bloom_lm,
     "op9_grace_dedup": exact_dedup.op9_grace_dedup,
