@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from logquarry.llm import bloom_lm, decontaminate, exact_dedup, language_id, near_dedup, pii, quality, warc
+from logquarry.llm import bloom_lm, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, pii, quality, warc
 
 QUERIES = {
     "op2_cross_parsing": language_id.op2_cross_parsing,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_warc_shards": warc.op4_warc_shards,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_pii_anchors": pii.op6_pii_anchors,
@@ -15,6 +16,7 @@ QUERIES = {
     "op9_grace_dedup": exact_dedup.op9_grace_dedup,
 }
 SQL = {
+    "op3_line_dedup": line_dedup.SQL,
     "op4_warc_shards": warc.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op9_grace_dedup": exact_dedup.SQL,
