@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from logquarry.llm import bloom_lm, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, pii, quality, warc
+from logquarry.llm import bloom_lm, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, pii, quality, warc
 
 QUERIES = {
+    "op1_best_fit": packing.op1_best_fit,
     "op2_cross_parsing": language_id.op2_cross_parsing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_warc_shards": warc.op4_warc_shards,
