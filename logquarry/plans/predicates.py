@@ -52,7 +52,8 @@ def matches(m: Matcher, regex: bool = False, promoted: frozenset[str] = frozense
         hit = F.rlike(value, F.lit(f"^(?:{m.value})$"))
     else:
         hit = contains_folded(value, m.value)
-    return F.coalesce(hit, F.lit(False)) if m.op[0] == "=" else F.coalesce(~hit, F.lit(True))
+    # a null is no match to WHERE, and a bare comparison reaches the scan
+    return hit if m.op[0] == "=" else F.coalesce(~hit, F.lit(True))
 
 
 def passes(f: LineFilter, regex: bool = False) -> Column:

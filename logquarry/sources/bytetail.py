@@ -60,11 +60,8 @@ class TailReader(SimpleDataSourceStreamReader):
             at = start.get(path, 0)
             at = at if at <= _size(path) else 0
             data = _bytes(path, at, self.batch)
-            while len(data) == self.batch and b"\n" not in data:  # a line longer than a batch
-                more = _bytes(path, at + len(data), self.batch)
-                data += more
-                if len(more) < self.batch:
-                    break
+            while data and b"\n" not in data and (more := _bytes(path, at + len(data), self.batch)):
+                data += more  # a line longer than a batch
             whole = data[: data.rfind(b"\n") + 1]
             rows += _lines(path, at, whole)
             end[path] = at + len(whole)
