@@ -22,6 +22,12 @@ def fingerprint(labels: Column) -> Column:
     return F.array_join(F.transform(labels, lambda x: F.concat(x["key"], F.lit("="), x["value"])), SEPARATOR)
 
 
+def shown_source() -> Column:
+    """What a viewer calls the origin of an entry: its filename, source or job, the first that is there."""
+    named = lambda k: F.nullif(F.get(F.filter("labels", lambda x: x["key"] == k), 0)["value"], F.lit(""))
+    return F.coalesce(named("filename"), F.nullif("source", F.lit("")), named("job"), F.lit(""))
+
+
 def with_stream(df: DataFrame) -> DataFrame:
     df = df.withColumn("stream", stream_labels())
     return df.withColumn("stream_fp", fingerprint(F.col("stream")))

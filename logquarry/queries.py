@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,12 @@ from logquarry.functions.times import SECOND
 from logquarry.model import label, no_labels
 from logquarry.operators import ingest
 from logquarry.plans import catalog
+from logquarry.plans.language import parse
+from logquarry.plans.predicates import selected
+from logquarry.sources import chunkfile, table
 from logquarry.sources.mapping import EVENTS_SQL, event_entries
+from logquarry.streaming import tail
+from logquarry.workfolder import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -183,3 +189,34 @@ _add(
     "default_labels", lambda s, d: event_entries(s, d).select("seq", catalog.fingerprint(F.concat(no_labels(), F.array(label("a", F.col("source"))))).alias("labels")),
     "SELECT seq, 'a=' || source AS labels FROM e",
 )
+_add("shown_source", lambda s, d: event_entries(s, d).groupBy(catalog.shown_source().alias("shown")).agg(F.count("*").alias("n")), "SELECT source AS shown, count(*) AS n FROM e GROUP BY 1")
+
+
+# Storage and streams
+def _stored(s: SparkSession, d: str) -> str:
+    path = work_folder(s)
+    table.append(event_entries(s, d), path, ["job", "tenant"], files=8)
+    return path
+
+
+def _terms(s: SparkSession, d: str) -> DataFrame:
+    path, terms = _stored(s, d), work_folder(s)
+    table.build_terms(s, path, terms)
+    found = table.open_for_keyword(s, path, terms, "error user=8 ")
+    return LogEngine(s, entries=found).query("error user=8 ", limit=0).select(*ROW)
+
+
+def _streamed(s: SparkSession, d: str, out: str, run: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """The rows that a stream over the stored table gives once all of it is read."""
+    path, out = _stored(s, d), f"{out}_{uuid.uuid4().hex}"
+    stream = s.readStream.schema(table.open_table(s, path).schema).parquet(path)
+    q = run(stream).writeStream.outputMode(mode).format("memory").queryName(out).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.table(out)
+
+
+_add("stored_range_and_label", lambda s, d: LogEngine(s, _stored(s, d), promoted=["job", "tenant"]).logql('{job="error"}', start=FROM, end=TO, limit=0, tenant="team-a").select(*ROW), f"SELECT {_ROW} FROM e WHERE {_IN} AND job = 'error' AND tenant = 'team-a'")
+_add("stored_keyword_index", _terms, f"SELECT {_ROW} FROM e WHERE contains({_MESSAGE}, 'error user=8 ')")
+_add("chunk_files", lambda s, d: chunkfile.decoded(chunkfile.encoded(event_entries(s, d))).select("ts_ns", "source", "message", catalog.fingerprint(F.col("labels")).alias("labels")), "SELECT ts_ns, source, message, concat_ws(chr(31), 'job=' || job, 'level=' || level, 'tenant=' || tenant) AS labels FROM e")
+_add("stream_tail", lambda s, d: _streamed(s, d, "stream_tail", lambda x: tail.frame_json(selected(x, parse('{job="error"} |= "user=8"'))), "append"), """SELECT '{"streams":[{"stream":{"source":"' || source || '"},"values":[["' || ts_ns || '","' || replace(message, '"', chr(92) || '"') || '"]]}]}' AS frame FROM e WHERE job = 'error' AND contains(message, 'user=8')""")
+_add("stream_metric", lambda s, d: _streamed(s, d, "stream_metric", lambda x: tail.running_metric(x, parse("sum by (level) (count_over_time({}[1h]))"), "1 hour"), "complete"), f"SELECT level, (ts_ns // {_HOUR}) * {_HOUR} AS ts_ns, count(*)::DOUBLE AS value FROM e GROUP BY ALL")

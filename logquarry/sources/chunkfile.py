@@ -87,39 +87,54 @@ def encode_chunk(entries: Iterable[Entry], compressed: bool = False, finalized:
     return _HEADER.pack(MAGIC, VERSION, COMPRESSED * compressed | FINALIZED * finalized, len(parts), 0, len(payload), 0) + payload
 
 
-def read_chunks(spark: SparkSession, path: str, journal: bool = False, ignore_corrupt: bool = True) -> DataFrame:
-    """Log entries of all chunk (or journal) files below ``path``, a folder or a glob, with the columns of the table.
+def decoded(files: DataFrame, journal: bool = False, ignore_corrupt: bool = True) -> DataFrame:
+    """(path, at, ts_ns, source, message, labels) of every entry of (path, content), each file in one task.
 
-    Tasks decode whole files, which are small by format. Of a broken chunk the
-    entries before the break are kept, or with ``ignore_corrupt`` off it fails
-    the query. seq orders files by name and entries by place.
+    Of a broken chunk the entries before the break are kept; with
+    ``ignore_corrupt`` off it fails the query.
     """
     decode = decode_journal if journal else decode_chunk
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                held: list[Entry] = []
-                try:
-                    held += decode(data.as_py())
-                except (ChunkError, OSError, EOFError):
-                    if not ignore_corrupt:
-                        raise
-                    held = list(_readable(decode, data.as_py()))
-                text = [m.decode("utf-8", "replace") for *_, m in held]
+                held = list(_readable(decode, data.as_py(), ignore_corrupt))
+                text = lambda i: pa.array([x[i].decode("utf-8", "replace") for x in held], pa.string())  # noqa: E731, B023
                 labels = pa.array([[{"key": k, "value": v} for k, v in x[2]] for x in held], pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())])))
-                yield pa.record_batch([pa.array([name] * len(held), pa.string()), pa.array(range(len(held)), pa.int64()), pa.array([x[0] for x in held], pa.int64()), pa.array([x[1].decode("utf-8", "replace") for x in held], pa.string()), pa.array(text, pa.string()), labels], names=["path", "at", "ts_ns", "source", "message", "labels"])
+                yield pa.record_batch([pa.array([name] * len(held), pa.string()), pa.array(range(len(held)), pa.int64()), pa.array([x[0] for x in held], pa.int64()), text(1), text(3), labels], names=["path", "at", "ts_ns", "source", "message", "labels"])
+
+    return files.select("path", "content").mapInArrow(run, f"path string, at long, ts_ns long, source string, message string, labels {NO_LABELS}")
+
 
+def read_chunks(spark: SparkSession, path: str, journal: bool = False, ignore_corrupt: bool = True) -> DataFrame:
+    """Log entries of all chunk (or journal) files below ``path``, a folder or a glob, with the columns of the table.
+
+    Files are small by format (10 MB), so a task decodes whole ones. seq orders
+    files by name and entries by place.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     # one row per file, in name order
     numbers = files.select("path").orderBy("path").withColumn("file", F.monotonically_increasing_id())
-    rows = files.select("path", "content").mapInArrow(run, f"path string, at long, ts_ns long, source string, message string, labels {NO_LABELS}")
-    rows = rows.join(numbers, "path").withColumn("seq", F.shiftleft("file", 20) + F.col("at"))
+    rows = decoded(files, journal, ignore_corrupt).join(numbers, "path").withColumn("seq", F.shiftleft("file", 20) + F.col("at"))
     return with_time(rows.select("seq", "ts_ns", "source", "message", F.col("message").alias("raw_line"), "labels"))
 
 
-def _readable(decode, data: bytes) -> Iterator[Entry]:
+def encoded(df: DataFrame, compressed: bool = True) -> DataFrame:
+    """(path, content): a chunk of each batch of (seq, ts_ns, source, message, labels), for fixtures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                rows = zip(*(b.column(c).to_pylist() for c in ("ts_ns", "source", "labels", "message")), strict=True)
+                data = encode_chunk([(t, s.encode(), [(x["key"], x["value"]) for x in labels], m.encode()) for t, s, labels, m in rows], compressed)
+                yield pa.record_batch([pa.array([f"chunk-{b.column('seq')[0].as_py():012d}"]), pa.array([data], pa.binary())], names=["path", "content"])
+
+    return df.select("seq", "ts_ns", "source", "message", "labels").mapInArrow(run, "path string, content binary")
+
+
+def _readable(decode, data: bytes, ignore_corrupt: bool) -> Iterator[Entry]:
     try:
         yield from decode(data)
     except (ChunkError, OSError, EOFError):
-        return
+        if not ignore_corrupt:
+            raise
