@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import broadcast_if_small, stored
+from logquarry.llm.common import stored
 
 MIN_WORDS = 50
 
@@ -85,7 +85,8 @@ def repeated_runs(rows: DataFrame, least: int) -> DataFrame:
     b = at.select("uid", F.col("pos").alias("second"), F.col("ranks").alias("y"))
     p = stored(p.join(a, ["uid", "start"]).join(b, ["uid", "second"]).select("uid", "id", "start", "t", F.element_at("x", F.col("level")).alias("r"), F.element_at("y", F.col("level")).alias("s")))
     place = F.struct(F.col("id").isNull().alias("z"), "id", "uid", "start")
-    first = p.groupBy("t", "r", "s").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written first: a join of two plain shuffles is one that Spark can split at a run of many copies
+    first = stored(p.groupBy("t", "r", "s").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = p.join(first, ["t", "r", "s"]).where((F.col("uid") != F.col("first.uid")) | (F.col("start") != F.col("first.start")))
     # islands of overlapping or touching pieces
     later = later.select("uid", "start", (F.col("start") + F.col("t")).alias("end"))
@@ -112,7 +113,7 @@ def dedup_lines(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_
     rows = stored(rows)
     flat = rows.select("uid", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
     runs = stored(repeated_runs(flat, min_words))
-    out = rows.join(broadcast_if_small(runs, runs.count(), 100_000), "uid", "left")
+    out = rows.join(runs, "uid", "left")
     lines = F.split(F.col(f"row.`{text_col}`"), "\n", -1)
     stays = F.filter(lines, lambda _, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i < r["end"])))
     text = F.when(F.col("runs").isNull(), F.col(f"row.`{text_col}`")).otherwise(F.concat_ws("\n", stays))
