@@ -1,10 +1,14 @@
 """A streaming source that follows files by byte offset.
 
 Spark's own file source reads each file once and misses what is appended
-later. Here the offset of a batch is {path: bytes read}; only whole lines are
-taken, so a line that is still being written waits for its end. A file that
+later. Here the offset of a batch is {path: bytes read}, always after a line
+feed, so a line that is still being written waits for its end. A file that
 has become smaller than its offset is read from the start again.
 
+The driver only looks at sizes and at the ends of files; the tasks read, each
+the lines that begin in its range, so a long backlog spreads over executors.
+Where they are on other machines, the files must be on a folder all of them see.
+
     spark.dataSource.register(ByteTail)
     spark.readStream.format("bytetail").option("paths", "/var/log/*.log").load()
 """
@@ -15,15 +19,17 @@ import glob
 import json
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-#: Bytes of a file in one batch.
-BATCH_BYTES = 4 << 20
+#: Bytes of a file that one task reads.
+RANGE_BYTES = 64 << 20
+_BLOCK = 1 << 16
 
 
 class ByteTail(DataSource):
-    """Options: paths (comma-separated, globs allowed), startingOffset (latest or earliest), positions (a JSON file of offsets), batchBytes."""
+    """Options: paths (comma-separated, globs allowed), startingOffset (latest or earliest), positions (a JSON file of offsets), rangeBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -32,16 +38,27 @@ class ByteTail(DataSource):
     def schema(self) -> str:
         return "source string, line string, at long"
 
-    def simpleStreamReader(self, schema) -> TailReader:
+    def streamReader(self, schema) -> TailReader:
         return TailReader(self.options)
 
 
-class TailReader(SimpleDataSourceStreamReader):
+@dataclass
+class ByteRange(InputPartition):
+    """Lines of a file that begin in [start, stop); the batch begins at ``first`` and ends at ``end``."""
+
+    path: str
+    first: int
+    start: int
+    stop: int
+    end: int
+
+
+class TailReader(DataSourceStreamReader):
     def __init__(self, options):
         self.patterns = [p.strip() for p in options.get("paths", "").split(",") if p.strip()]
         self.latest = options.get("startingOffset", "latest") == "latest"
         self.positions = options.get("positions", "")
-        self.batch = int(options.get("batchBytes", BATCH_BYTES))
+        self.range = int(options.get("rangeBytes", RANGE_BYTES))
 
     def _files(self) -> list[str]:
         """Paths as written, or what a glob finds now."""
@@ -52,29 +69,21 @@ class TailReader(SimpleDataSourceStreamReader):
         if self.positions and os.path.exists(self.positions):
             with open(self.positions) as f:
                 saved = json.load(f)
-        return {p: saved[p] if p in saved else _size(p) if self.latest else 0 for p in self._files()}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = [], dict(start)
-        for path in self._files():
-            at = start.get(path, 0)
-            at = at if at <= _size(path) else 0
-            data = _bytes(path, at, self.batch)
-            while data and b"\n" not in data and (more := _bytes(path, at + len(data), self.batch)):
-                data += more  # a line longer than a batch
-            whole = data[: data.rfind(b"\n") + 1]
-            rows += _lines(path, at, whole)
-            end[path] = at + len(whole)
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """The same rows again. Where a file was cut meanwhile, the bytes are gone and nothing takes their place."""
+        return {p: saved[p] if p in saved else _last_line_end(p) if self.latest else 0 for p in self._files()}
+
+    def latestOffset(self) -> dict:
+        return {p: _last_line_end(p) for p in self._files()}
+
+    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+        found = []
         for path, stop in end.items():
-            at = start.get(path, 0)
-            at = at if at <= stop else 0
-            data = _bytes(path, at, stop - at)
-            if len(data) == stop - at:
-                yield from _lines(path, at, data)
+            first = start.get(path, 0)
+            first = first if first <= stop else 0  # the file was cut
+            found += [ByteRange(path, first, a, min(a + self.range, stop), stop) for a in range(first, stop, self.range)]
+        return found
+
+    def read(self, partition: ByteRange) -> Iterator[tuple]:
+        return lines(partition)
 
     def commit(self, end: dict) -> None:
         if self.positions:
@@ -84,26 +93,45 @@ class TailReader(SimpleDataSourceStreamReader):
             os.replace(part, self.positions)
 
 
-def _size(path: str) -> int:
-    try:
-        return os.path.getsize(path)
-    except OSError:
-        return 0
-
+def lines(p: ByteRange) -> Iterator[tuple]:
+    """(path, line, offset); one carriage return at the end goes, and empty lines do.
 
-def _bytes(path: str, at: int, n: int) -> bytes:
+    Reading a range again gives the same lines. Where a file was cut
+    meanwhile, the bytes are gone and nothing takes their place.
+    """
+    try:
+        with open(p.path, "rb") as f:
+            if os.fstat(f.fileno()).st_size < p.end:
+                return
+            f.seek(p.start)
+            at = p.start
+            if p.start > p.first:
+                f.seek(p.start - 1)
+                at += len(f.readline()) - 1  # to the first line that begins in the range
+            while at < p.stop:
+                raw = f.readline()
+                text = raw.removesuffix(b"\n").removesuffix(b"\r")
+                if text:
+                    yield p.path, text.decode("utf-8", "replace"), at
+                at += len(raw)
+                if not raw:
+                    return
+    except FileNotFoundError:
+        return
+
+
+def _last_line_end(path: str) -> int:
+    """The offset after the last line feed, found from the end."""
     try:
         with open(path, "rb") as f:
-            f.seek(at)
-            return f.read(n)
+            stop = f.seek(0, os.SEEK_END)
+            while stop > 0:
+                start = max(0, stop - _BLOCK)
+                f.seek(start)
+                at = f.read(stop - start).rfind(b"\n")
+                if at >= 0:
+                    return start + at + 1
+                stop = start
     except OSError:
-        return b""
-
-
-def _lines(path: str, at: int, data: bytes) -> Iterator[tuple]:
-    """(path, line, offset); one carriage return at the end goes, and empty lines do."""
-    for raw in data.split(b"\n")[:-1]:
-        line = raw[:-1] if raw.endswith(b"\r") else raw
-        if line:
-            yield path, line.decode("utf-8", "replace"), at
-        at += len(raw) + 1
+        pass
+    return 0
