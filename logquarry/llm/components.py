@@ -11,7 +11,8 @@ from logquarry.llm.common import stored
 def _minima(edges: DataFrame) -> DataFrame:
     """(u, v, m) for each edge seen from both ends; m is the least of u and all its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # written first: a join of two plain shuffles is one that Spark can split at a node of many neighbours
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.join(least, "u")
 
 

@@ -14,9 +14,15 @@ least one, first within a batch of a scan task, then among the least ones of
 batches, so a key that many share is a short list everywhere. Links whose
 signatures differ too much are dropped, the closest of each class is confirmed
 on full sets, and what it connects is found. Then rounds follow over keys that
-still hold more than one component: closest pairs between two components
-first, more of them each round, until every pair of a common key is either
-inside one component or refuted. So no link between components is lost.
+still hold more than one component: pairs of two components that a finer
+sketch of the sets can't tell from links are confirmed, closest first, more of
+them each round, until every pair of a common key is either inside one
+component or refuted. So of pairs that meet, no link between components is lost.
+
+The finer sketch of a set of EXACT shingles or fewer is the set itself, in
+halved hashes, which can refute a link but never loses one. Of a larger set it
+is one hash dealt out to BINS bins, of which each keeps a byte of its least
+value; pairs within DEVIATIONS of the threshold pass.
 """
 
 from __future__ import annotations
@@ -39,9 +45,9 @@ CHUNKS, CHUNK, ERRORS, SYMBOL_BITS = 12, 5, 1, 16
 SYMBOLS = CHUNKS * CHUNK
 #: Members of a star that one task confirms.
 STAR = 256
-#: Pairs of two components that the first round takes from one key, and by what each later round takes more.
-FIRST_PAIRS, MORE_PAIRS = 4, 8
-SHORT = b"\x00short"
+#: Pairs of two components that the first round confirms, that the first search takes from a key, and by what later ones take more.
+FIRST_PAIRS, KEY_PAIRS, MORE_PAIRS = 4, 64, 8
+BINS, DEVIATIONS, EXACT = 512, 5.0, 384
 
 _r = np.random.default_rng(20240229)
 _XOR = _r.integers(0, 1 << 32, SYMBOLS, np.uint32)
@@ -71,6 +77,48 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mixed(least.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def halves(shingles: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of sorted hashes."""
+    return (shingles >> np.uint64(32)).astype(np.uint32)
+
+
+def bins(half: np.ndarray) -> np.ndarray:
+    """A byte of the least hash in each bin, 0 for an empty one."""
+    out = np.zeros(BINS, np.uint8)
+    of = half >> np.uint32(32 - int(math.log2(BINS)))
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    out[of[first]] = half[first] % np.uint32(255) + np.uint32(1)
+    return out
+
+
+def linked_halves(halves_of: list[np.ndarray], n: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the sets x[i] and y[i] link as far as halved hashes tell, which take no common shingle for a different one."""
+    order = np.argsort(x, kind="stable")
+    out = np.zeros(len(x), bool)
+    for part in np.split(order, np.flatnonzero(np.diff(x[order])) + 1) if len(x) else ():
+        own, others = halves_of[x[part[0]]], [halves_of[j] for j in y[part]]
+        every = np.concatenate(others)
+        at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        of = np.repeat(np.arange(len(part)), [len(o) for o in others])
+        both = np.bincount(of[own[at] == every], minlength=len(part))
+        out[part] = (1 + threshold) * both >= threshold * (n[x[part]] + n[y[part]]) - 1e-6
+    return out
+
+
+def may_link(x: np.ndarray, y: np.ndarray, total: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether bins x and y of pairs, with ``total`` shingles in both sets together, can belong to a link.
+
+    x and y may be some of the bins. At the threshold the union has total /
+    (1 + threshold) members; the bins in use are a sample of it without
+    replacement, of which the threshold's share agrees, within DEVIATIONS.
+    """
+    same = ((x == y) & (x > 0)).sum(1)
+    used = ((x | y) > 0).sum(1)
+    union = total / (1 + threshold)
+    spread = threshold * (1 - threshold) * used * np.clip(1 - used / np.maximum(union, 1), 0.02, 1)
+    return same >= threshold * used - DEVIATIONS * np.sqrt(spread) - 1
+
+
 def keys(signatures: np.ndarray) -> np.ndarray:
     """[document, key]: each chunk with each choice of ERRORS symbols left out."""
     out = []
@@ -95,15 +143,16 @@ def _sketches(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            n, digest, sig = [], [], []
+            n, digest, sig, fine = [], [], [], []
             for raw in b.column("raw"):
                 s = shingle_set(raw.as_py(), size, hashes)
                 n.append(len(s))
+                fine.append((halves(s) if len(s) <= EXACT else bins(halves(s))).tobytes() if len(s) else None)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.record_batch([b.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n", "digest", "sig"])
+            yield pa.record_batch([b.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(fine, pa.binary())], names=["id", "n", "digest", "sig", "fine"])
 
-    return rows.mapInArrow(run, f"id {kind}, n long, digest binary, sig binary")
+    return rows.mapInArrow(run, f"id {kind}, n long, digest binary, sig binary, fine binary")
 
 
 def _grouped(key: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,6 +237,38 @@ def _close(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return joined.where(F.least("na", "nb") >= F.lit(threshold - 1e-9) * F.greatest("na", "nb")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long, d int")
 
 
+def _sifted(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b, d) that the finer sketches can't refute."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n = np.concatenate([b.column(c).to_numpy() for c in ("na", "nb")])
+                sets, fine = _fine([*b.column("x").to_pylist(), *b.column("y").to_pylist()], n)
+                x = np.arange(b.num_rows)
+                ok = np.zeros(b.num_rows, bool)
+                ok[_survivors(sets, fine, n, x, x + b.num_rows, threshold)[0]] = True
+                yield pa.record_batch([pa.array(b.column(c).to_numpy()[ok]) for c in ("a", "b", "d")], names=["a", "b", "d"])
+
+    side = lambda c, s, n: classes.select(F.col("cid").alias(c), F.col("fine").alias(s), F.col("n").alias(n))
+    return pairs.join(side("a", "x", "na"), "a").join(side("b", "y", "nb"), "b").mapInArrow(run, "a long, b long, d int")
+
+
+def _fine(raw: list[bytes], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sketches as arrays, halves or bins, and the bins of all."""
+    sets = [np.frombuffer(f, np.uint32 if k <= EXACT else np.uint8) for f, k in zip(raw, n, strict=True)]
+    return sets, np.stack([bins(f) if k <= EXACT else f for f, k in zip(sets, n, strict=True)])
+
+
+def _survivors(sets: list[np.ndarray], fine: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    for width in (BINS // 8, BINS):
+        near = may_link(fine[x, :width], fine[y, :width], n[x] + n[y], threshold)
+        x, y = x[near], y[near]
+    known = (n[x] <= EXACT) & (n[y] <= EXACT)
+    known[known] = ~linked_halves(sets, n, x[known], y[known], threshold)
+    return x[~known], y[~known]
+
+
 def _confirm(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b, linked) for each pair (a, b), judged on full sets.
 
@@ -244,63 +325,82 @@ def _confirm(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
 
 
 def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, threshold: float, take: int) -> DataFrame:
-    """Untested pairs (a, b, d, la, lb) of different components that share a key, the closest ``take`` of two components in a key."""
-    most = most_errors(threshold)
+    """Untested pairs (a, b, d) of different components that share a key and may link.
+
+    Of two components, at least one of several members, a key gives the closest
+    ``take`` pairs; ``more`` tells that it had others.
+    """
     own = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     mixed_keys = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rows = own.join(mixed_keys, "key").join(classes.select(F.col("cid").alias("a"), "sig", "n"), "a")
+    rows = own.join(mixed_keys, "key").join(classes.select(F.col("cid").alias("a"), "fine", "n"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key in _whole(batches):
-            yield from pairs_of(*key)
-
-    def pairs_of(cid, label, n, sig) -> Iterator[pa.RecordBatch]:
-        found = []
-        for i in range(0, len(cid), 256):
-            for j in range(i, len(cid), 4096):
-                other = slice(j, j + 4096)
-                ok = label[i : i + 256, None] != label[None, other]
-                small, large = np.minimum(n[i : i + 256, None], n[None, other]), np.maximum(n[i : i + 256, None], n[None, other])
-                ok &= (small >= (threshold - 1e-9) * large) & (cid[i : i + 256, None] < cid[None, other])
-                x, y = np.nonzero(ok)
-                for k in range(0, len(x), 100_000):
-                    xi, yi = x[k : k + 100_000] + i, y[k : k + 100_000] + j
-                    d = (sig[xi] != sig[yi]).sum(1)
-                    near = d <= most
-                    found.append((xi[near], yi[near], d[near]))
-        if not found:
-            return
-        x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
-        if not len(x):
-            return
-        lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
-        yield pa.record_batch([pa.array(cid[y]), pa.array(cid[x]), pa.array(d.astype(np.int32)), pa.array(lo), pa.array(hi)], names=["a", "b", "d", "la", "lb"])
-
-    dealt = rows.select("key", F.col("a").alias("cid"), "label", "n", "sig").repartition("key").sortWithinPartitions("key", "cid")
-    pairs = dealt.mapInArrow(run, "a long, b long, d int, la long, lb long").distinct().join(tested, ["a", "b"], "left_anti")
-    best = F.row_number().over(Window.partitionBy("la", "lb").orderBy("d", "a", "b"))
-    return pairs.withColumn("rank", best).where(F.col("rank") <= take)
+        for cid, label, n, raw in _whole(batches):
+            sets, fine = _fine(raw, n)
+            found = [x for i in range(0, len(cid), 512) for j in range(i, len(cid), 4096) for x in pairs_of(cid, label, n, fine, sets, i, j)]
+            if not found:
+                continue
+            x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
+            lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+            order = np.lexsort((cid[x], cid[y], d, hi, lo))
+            x, y, d, lo, hi = (v[order] for v in (x, y, d, lo, hi))
+            new = np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
+            place = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+            last = np.r_[new[1:], True]
+            ok, more = place < take, place == take - 1
+            more &= ~last
+            yield pa.record_batch([pa.array(cid[y[ok]]), pa.array(cid[x[ok]]), pa.array(d[ok].astype(np.int32)), pa.array(more[ok])], names=["a", "b", "d", "more"])
+
+    def pairs_of(cid, label, n, fine, sets, i, j):
+        """Pairs of rows i to i + 512 with rows j to j + 4096."""
+        rows, other = slice(i, i + 512), slice(j, j + 4096)
+        size, against = n[rows, None], n[None, other]
+        ok = (label[rows, None] != label[None, other]) & (cid[rows, None] < cid[None, other])
+        ok &= np.minimum(size, against) >= (threshold - 1e-9) * np.maximum(size, against)
+        x, y = np.nonzero(ok)
+        for k in range(0, len(x), 20_000):
+            xi, yi = x[k : k + 20_000] + i, y[k : k + 20_000] + j
+            xi, yi = _survivors(sets, fine, n, xi, yi, threshold)
+            if len(xi):
+                yield xi, yi, ((fine[xi] != fine[yi]).sum(1) * 1000 // np.maximum(1, n[xi] + n[yi])).astype(np.int32)
+
+    dealt = rows.select("key", F.col("a").alias("cid"), "label", "n", "fine").repartition("key").sortWithinPartitions("key", "cid")
+    pairs = dealt.mapInArrow(run, "a long, b long, d int, more boolean").groupBy("a", "b").agg(F.min("d").alias("d"), F.max("more").alias("more"))
+    return pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns (cid, label, n, sig) of one key after the other, from rows sorted by key."""
+    """Columns (cid, label, n, fine) of one key after the other, from rows sorted by key."""
     held: list[tuple] = []
     at = None
     for b in batches:
         key = b.column("key").to_numpy()
         cols = [b.column(c).to_numpy() for c in ("cid", "label", "n")]
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        fine = np.array(b.column("fine").to_pylist(), object)
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
         for lo, hi in zip(new, [*new[1:], len(key)], strict=True):
             if key[lo] != at and held:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held = []
             at = key[lo]
-            held.append((*(c[lo:hi] for c in cols), sig[lo:hi]))
+            held.append((*(c[lo:hi] for c in cols), fine[lo:hi]))
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components, with those as la and lb, the lesser first."""
+    own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    found = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b"))
+    return found.where("la <> lb").withColumns({"la": F.least("la", "lb"), "lb": F.greatest("la", "lb")})
+
+
+def _closest(pairs: DataFrame, take: int) -> DataFrame:
+    """Of any two components the closest ``take`` pairs."""
+    rank = F.row_number().over(Window.partitionBy("la", "lb").orderBy("d", "a", "b"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= take).select("a", "b").distinct()
+
+
 def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, threshold: float = 0.8, progress: Callable[[str, int], None] | None = None) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id, kept.
 
@@ -316,30 +416,38 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, thr
     rows = df.select(F.col(f"`{id_col}`").alias("id"), text_bytes(F.col(f"`{text_col}`")).alias("raw"))
     sketched = stored(_sketches(rows, shingle))
     rows = rows.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key_id"), "raw")
-    classes = sketched.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = sketched.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("fine").alias("fine"))
     classes = stored(classes.withColumn("key_id", F.coalesce(F.col("id").cast("string"), F.lit(""))).withColumn("cid", F.monotonically_increasing_id()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     met = stored(_met(classes, parts))
     links = met.where("b is not null").select("a", "b").distinct()
-    close = stored(_close(links, classes, threshold))
+    close = stored(_sifted(stored(_close(links, classes, threshold)), classes, threshold))
     members = stored(met.where("b is null").select("key", "a").distinct())
     best = close.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    confirmed = tested = None
-    todo, take = stored(best), FIRST_PAIRS
-    labels = spark.createDataFrame([], "node long, label long")
-    while (n := todo.count()) > 0:
-        if progress:
-            progress("pairs to confirm", n)
-        judged = stored(_confirm(rows, classes, todo, shingle, percent))
-        new = judged.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        tested = judged.select("a", "b") if tested is None else tested.unionByName(judged.select("a", "b"))
-        confirmed = new if confirmed is None else confirmed.unionByName(new)
-        labels = stored(components(confirmed))
-        own = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))  # noqa: E731, B023
-        rest = close.join(own("a"), "a", "left").join(own("b"), "b", "left").select("a", "b", "d", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la <> lb")
-        rest = rest.join(tested, ["a", "b"], "left_anti").withColumn("rank", F.lit(1))
-        todo = stored(_between(members, classes, labels, tested, threshold, take).select("a", "b").unionByName(rest.select("a", "b")).distinct())
-        take *= MORE_PAIRS
+    judged, todo, per_key = None, stored(best), KEY_PAIRS
+
+    def confirm(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        new = _confirm(rows, classes, pairs, shingle, percent)
+        every = stored(new if judged is None else judged.unionByName(new))
+        return every, components(every.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    judged, labels = confirm(todo)
+    while True:
+        tested = judged.select("a", "b")
+        rest = close.join(tested, ["a", "b"], "left_anti").withColumn("more", F.lit(False))
+        found = stored(_apart(rest.unionByName(_between(members, classes, labels, tested, threshold, per_key)), labels).select("a", "b", "d", "more"))
+        left, take = found, FIRST_PAIRS
+        todo = stored(_closest(_apart(left, labels), take))
+        while (n := todo.count()) > 0:
+            if progress:
+                progress("pairs to confirm", n)
+            judged, labels = confirm(todo)
+            take *= MORE_PAIRS
+            left = stored(_apart(left.join(todo, ["a", "b"], "left_anti"), labels).select("a", "b", "d"))
+            todo = stored(_closest(_apart(left, labels), take))
+        if not _apart(found.where("more"), labels).head(1):
+            break
+        per_key *= MORE_PAIRS
     named = classes.select("cid", "digest", "id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
     of = named.join(least, "label").select("digest", "component_id")
@@ -349,3 +457,16 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, thr
 
 def op7_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", shingle=2)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || chr(32) || w[i + 1]) ELSE w END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""

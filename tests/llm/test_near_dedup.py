@@ -100,3 +100,23 @@ def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
+
+
+def test_fine_sketch_passes_links_and_stops_most_others():
+    r = np.random.default_rng(3)
+    for n in (60, 300, 2000):
+        passed = {}
+        for share in (0.8, 0.6):
+            both = int(n * 2 * share / (1 + share) + 0.999)
+            hits = 0
+            for _ in range(300):
+                u = r.integers(0, 1 << 63, 2 * n - both, np.uint64) * np.uint64(2)
+                x, y = np.unique(u[:n]), np.unique(np.r_[u[:both], u[n:]])
+                a, b = nd.halves(x), nd.halves(y)
+                exact = nd.linked_halves([a, b], np.array([len(a), len(b)]), np.array([0]), np.array([1]), 0.8)[0]
+                assert exact == (share == 0.8)
+                few = nd.may_link(nd.bins(a)[None, :64], nd.bins(b)[None, :64], np.array([2 * n]), 0.8)[0]
+                assert few or share < 0.8
+                hits += nd.may_link(nd.bins(a)[None], nd.bins(b)[None], np.array([2 * n]), 0.8)[0]
+            passed[share] = hits / 300
+        assert passed[0.8] == 1 and passed[0.6] < (0.6 if n < 100 else 0.15), (n, passed)
