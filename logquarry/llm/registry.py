@@ -20,5 +20,6 @@ SQL = {
     "op3_line_dedup": line_dedup.SQL,
     "op4_warc_shards": warc.SQL,
     "op5_decontaminate": decontaminate.SQL,
+    "op7_minhash_hamming": near_dedup.SQL,
     "op9_grace_dedup": exact_dedup.SQL,
 }
