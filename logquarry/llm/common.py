@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logquarry.workfolder import work_folder as work_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only a session on a
-    local master, as in tests, may do without: it gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="logquarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+__all__ = ["broadcast_if_small", "stored", "text_bytes", "work_dir"]
 
 
 def stored(df: DataFrame) -> DataFrame:

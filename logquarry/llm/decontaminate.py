@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from logquarry.llm.common import stored, text_bytes
 
 WINDOW = 13
-#: Bytes of benchmark text in one automaton; its trie takes some hundred times as many at most.
-BLOCK_BYTES = 1 << 20
+#: Bytes of benchmark text in one automaton. A trie node a character of each window makes that some 150 MB.
+BLOCK_BYTES = 256 << 10
 
 #: Maps A-Z to a-z and every ASCII byte that is neither letter nor digit to a space.
 _NORMAL = bytes(

@@ -24,8 +24,8 @@ SIZES = (512, 1024, 2048, 4096)
 OVERHEAD = 16
 #: Pieces that are packed together.
 LOT = 20_000
-#: Tokens that a task packs.
-TASK_TOKENS = 20_000_000
+#: Tokens that a task packs: the first as long as this makes few tasks, else up to the second.
+TASK_TOKENS, FEW_TASKS, MOST_TASK_TOKENS = 20_000_000, 1000, 1_000_000_000
 
 Plan = list[tuple[int, list[int]]]
 
@@ -72,7 +72,7 @@ def pack(df: DataFrame, id_col: str, tokens: F.Column, sizes: Sequence[int] = SI
     largest, kind = max(sizes), df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(tokens, F.lit(0)).cast("long").alias("n"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    tasks = total // TASK_TOKENS + 1
+    tasks = min(total // TASK_TOKENS + 1, max(FEW_TASKS, total // MOST_TASK_TOKENS + 1))
     cut = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"), F.lit(largest).cast("long"))).alias("start")
     pieces = rows.where("n > 0").select("id", "n", cut).select("id", (F.col("start") / largest).cast("int").alias("piece"), "start", F.least(F.col("n") - F.col("start"), F.lit(largest)).alias("n_tokens"))
 
