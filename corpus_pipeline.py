@@ -17,11 +17,16 @@ from logquarry.llm.common import broadcast_if_small, stored
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Whole rows as one column, out of the way of columns that operators add, and the text."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that stands out; those without a letter go."""
     samples = language_id.samples_of(docs.where(~language_id.held_out("doc_id")), "doc_id", "text", "lang")
-    judged = language_id.identify(spark, docs, "doc_id", "text", samples)
-    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    judged = language_id.identify(spark, _rows(docs), "row", "text", samples)
+    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +34,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     out = line_dedup.dedup_lines(docs, "doc_id", "text")
     text = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
     stays = F.col("runs").isNull() | F.col("text").rlike(r"\S")
-    return out.where(stays).select(*(F.when(F.col("runs").isNull(), F.col(f"row.{c}")).otherwise(text[c]).alias(c) if c in text else F.col(f"row.{c}") for c in docs.columns))
+    return out.where(stays).select(*(F.when(F.col("runs").isNull(), F.col(f"row.`{c}`")).otherwise(text[c]).alias(c) if c in text else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +43,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if n == ids:
         rows, key = docs, "doc_id"
     else:  # ids that repeat or are null can't tell rows apart
-        rows, key = stored(docs.withColumn("row_number", F.monotonically_increasing_id())), "row_number"
+        rows, key = stored(docs.withColumn("__row", F.monotonically_increasing_id())), "__row"
     gone = stored(near_dedup.near_groups(rows, key, "text").where("not kept").select(key))
-    return rows.join(broadcast_if_small(gone, gone.count()), key, "left_anti").select(*docs.columns)
+    return rows.join(broadcast_if_small(gone, gone.count()), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more of the words are benchmark passages."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = decontaminate.judged(decontaminate.find_passages(spark, rows, "row", "text", bench))
+    found = decontaminate.judged(decontaminate.find_passages(spark, _rows(docs), "row", "text", bench))
     return found.where("not contaminated").select("row.*")
 
 
