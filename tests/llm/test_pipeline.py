@@ -99,3 +99,21 @@ def test_repeated_and_null_ids(spark, folder):
     docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = cp.near_copies(spark, docs, folder[0])
     assert out.count() == 3 and out.where("doc_id = 2").count() == 2
+
+
+def test_extra_columns_with_names_of_the_operators_stay(spark, folder):
+    names = ["row", "id", "raw", "score", "lang_pred", "uid", "runs", "n", "key", "starts", "items", "kept", "component_id"]
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    docs = docs.select(*docs.columns, *((docs.doc_id * 10 + i).alias(c) for i, c in enumerate(names)))
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, folder[0])
+    got = docs.collect()
+    assert len(got) > 50 and all(r[c] == r.doc_id * 10 + i for r in got for i, c in enumerate(names))
+    assert cp.STAGES[-1][1](spark, docs, folder[0]).count() >= len(got)
+
+
+def test_empty_documents_table(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, folder[0])
+        assert docs.count() == 0
