@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,7 +131,10 @@ class LogEngine:
         """Tails files into the table."""
         return tail.ingest(tail.tailed(self.spark, paths, self.jobs, earliest), self.path, checkpoint, **options)
 
-    def tail(self, notify: Callable[[DataFrame, int], None], query: str | None = None) -> StreamingQuery:
-        """Calls ``notify`` with each batch of entries that is added to the table from now on."""
-        stream = self.spark.readStream.schema(self.entries.schema).option("latestFirst", "false").parquet(self.path)
+    def tail(self, notify: Callable[[DataFrame, int], None], query: str | None = None, history: bool = False) -> StreamingQuery:
+        """Calls ``notify`` with each batch of entries added to the table from now on, with ``history`` also those already there."""
+        stream = self.spark.readStream.schema(self.entries.schema).parquet(self.path)
+        if not history:
+            now = datetime.now(timezone.utc)
+            stream = stream.where(F.col("_metadata.file_modification_time") >= F.lit(now))
         return tail.subscribe(stream, notify, parse(query) if query else None)

@@ -82,3 +82,19 @@ def test_running_metric_equals_batch(spark, tmp_path):
     q.stop()
     got = {(r.job, r.ts_ns, r.value) for r in spark.table("running").collect()}
     assert got == {(r.job, r.ts_ns, r.value) for r in metric(entries(spark, 200), query).collect()}
+
+
+def test_a_tail_has_no_history_unless_asked(spark, tmp_path):
+    e = LogEngine(spark, str(tmp_path / "t"))
+    e.ingest_lines("old error\nold")
+    time.sleep(1.1)
+    new, every = [], []
+    note = lambda to: lambda df, _: to.extend(r.message for r in df.collect())
+    tails = [e.tail(note(new), '{} |= "ERROR"'), e.tail(note(every), history=True)]
+    for q in tails:
+        q.processAllAvailable()
+    e.ingest_lines("new error\nnew")
+    for q in tails:
+        q.processAllAvailable()
+        q.stop()
+    assert new == ["new error"] and sorted(every) == ["new", "new error", "old", "old error"]
