@@ -43,8 +43,8 @@ from logquarry.llm.words import WordHashes, mixed, pair_hash, split_words
 
 CHUNKS, CHUNK, ERRORS, SYMBOL_BITS = 12, 5, 1, 16
 SYMBOLS = CHUNKS * CHUNK
-#: Members of a star that one task confirms.
-STAR = 256
+#: Members of a star that one task confirms, and of a key that one task compares.
+STAR, BLOCK = 256, 2048
 #: Pairs of two components that the first round confirms, that the first search takes from a key, and by what later ones take more.
 FIRST_PAIRS, KEY_PAIRS, MORE_PAIRS = 4, 64, 8
 BINS, DEVIATIONS, EXACT = 512, 5.0, 384
@@ -327,17 +327,22 @@ def _confirm(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
 def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, threshold: float, take: int) -> DataFrame:
     """Untested pairs (a, b, d) of different components that share a key and may link.
 
-    Of two components, at least one of several members, a key gives the closest
-    ``take`` pairs; ``more`` tells that it had others.
+    Of two components a key gives the closest ``take`` pairs; ``more`` tells
+    that it had others. A key with many members is cut into blocks: members of
+    its largest component go to one of them, all others to each, and two
+    others are compared in the block of the lesser.
     """
     own = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    mixed_keys = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    counts = own.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max_by("label", "m").alias("top"), F.count("*").alias("labels"))
+    mixed_keys = stored(counts.where("labels > 1").select("key", "top", F.ceil(F.col("m") / BLOCK).alias("blocks")))
     rows = own.join(mixed_keys, "key").join(classes.select(F.col("cid").alias("a"), "fine", "n"), "a")
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("a"), "blocks")).withColumn("is_top", F.col("label") == F.col("top"))
+    rows = rows.withColumn("block", F.explode(F.when(F.col("is_top"), F.array("home")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cid, label, n, raw in _whole(batches):
+        for cid, label, n, here, raw in _whole(batches):
             sets, fine = _fine(raw, n)
-            found = [x for i in range(0, len(cid), 512) for j in range(i, len(cid), 4096) for x in pairs_of(cid, label, n, fine, sets, i, j)]
+            found = [x for i in range(0, len(cid), 512) for j in range(i, len(cid), 4096) for x in pairs_of(cid, label, n, here, fine, sets, i, j)]
             if not found:
                 continue
             x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -351,11 +356,12 @@ def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested:
             more &= ~last
             yield pa.record_batch([pa.array(cid[y[ok]]), pa.array(cid[x[ok]]), pa.array(d[ok].astype(np.int32)), pa.array(more[ok])], names=["a", "b", "d", "more"])
 
-    def pairs_of(cid, label, n, fine, sets, i, j):
+    def pairs_of(cid, label, n, here, fine, sets, i, j):
         """Pairs of rows i to i + 512 with rows j to j + 4096."""
         rows, other = slice(i, i + 512), slice(j, j + 4096)
         size, against = n[rows, None], n[None, other]
         ok = (label[rows, None] != label[None, other]) & (cid[rows, None] < cid[None, other])
+        ok &= (here[rows, None] > 0) | (here[None, other] > 1)
         ok &= np.minimum(size, against) >= (threshold - 1e-9) * np.maximum(size, against)
         x, y = np.nonzero(ok)
         for k in range(0, len(x), 20_000):
@@ -364,25 +370,27 @@ def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested:
             if len(xi):
                 yield xi, yi, ((fine[xi] != fine[yi]).sum(1) * 1000 // np.maximum(1, n[xi] + n[yi])).astype(np.int32)
 
-    dealt = rows.select("key", F.col("a").alias("cid"), "label", "n", "fine").repartition("key").sortWithinPartitions("key", "cid")
+    # 2: of the largest component; 1: another in its own block; 0: another elsewhere
+    here = F.when(F.col("is_top"), 2).when(F.col("home") == F.col("block"), 1).otherwise(0)
+    dealt = rows.select("key", "block", F.col("a").alias("cid"), "label", "n", here.alias("here"), "fine").repartition("key", "block").sortWithinPartitions("key", "block", "cid")
     pairs = dealt.mapInArrow(run, "a long, b long, d int, more boolean").groupBy("a", "b").agg(F.min("d").alias("d"), F.max("more").alias("more"))
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns (cid, label, n, fine) of one key after the other, from rows sorted by key."""
+    """Columns (cid, label, n, here, fine) of one block of a key after the other, from rows sorted by both."""
     held: list[tuple] = []
     at = None
     for b in batches:
-        key = b.column("key").to_numpy()
-        cols = [b.column(c).to_numpy() for c in ("cid", "label", "n")]
+        key, block = b.column("key").to_numpy(), b.column("block").to_numpy()
+        cols = [b.column(c).to_numpy() for c in ("cid", "label", "n", "here")]
         fine = np.array(b.column("fine").to_pylist(), object)
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])]) if len(key) else []
         for lo, hi in zip(new, [*new[1:], len(key)], strict=True):
-            if key[lo] != at and held:
+            if (key[lo], block[lo]) != at and held:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held = []
-            at = key[lo]
+            at = key[lo], block[lo]
             held.append((*(c[lo:hi] for c in cols), fine[lo:hi]))
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))

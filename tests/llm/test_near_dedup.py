@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -58,8 +59,10 @@ def test_components_equal_brute_force(spark):
         assert sorted(map(tuple, got), key=str) == brute(rows, size)
 
 
-def test_a_chain_and_a_hot_group_connect(spark):
+@pytest.mark.parametrize("block", [2048, 7])
+def test_a_chain_and_a_hot_group_connect(spark, monkeypatch, block):
     """Neighbours of a chain link, its ends don't; many near copies of one text link through each other."""
+    monkeypatch.setattr(nd, "BLOCK", block)
     r = random.Random(4)
     chain = [" ".join(f"c{i}" for i in range(9 * k, 9 * k + 120)) for k in range(40)]
     base = [f"w{i}" for i in range(100)]
@@ -74,6 +77,21 @@ def test_a_chain_and_a_hot_group_connect(spark):
     assert sorted(map(tuple, got), key=str) == brute(rows, 2)
 
 
+def test_every_pair_of_a_key_meets_in_one_block(spark, monkeypatch):
+    """Searched with blocks of any size, a key gives the same pairs."""
+    sets = [np.sort(np.random.default_rng(i % 9).integers(0, 1 << 63, 60 + i % 3, np.uint64) * np.uint64(2)) for i in range(60)]
+    classes = spark.createDataFrame([(i, nd.halves(s).tobytes(), len(s)) for i, s in enumerate(sets)], "cid long, fine binary, n long")
+    members = spark.createDataFrame([(k, i) for k in range(3) for i in range(60) if (i + k) % 4], "key long, a long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "node long, label long")
+    none = spark.createDataFrame([], "a long, b long")
+    found = []
+    for block in (2048, 20, 3):
+        monkeypatch.setattr(nd, "BLOCK", block)
+        found.append({(r.a, r.b) for r in nd._between(members, classes, labels, none, 0.8, 1000).collect()})
+    label = lambda i: i % 2 if i < 30 else i
+    assert found[0] == found[1] == found[2] == {(j, i) for i, j in combinations(range(60), 2) if i % 9 == j % 9 and label(i) != label(j) and any((i + k) % 4 and (j + k) % 4 for k in range(3))}
+
+
 def test_empty_table(spark):
     assert nd.near_groups(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
