@@ -47,6 +47,6 @@ def first_label(name: str) -> Column:
 
 
 def stored_size() -> Column:
-    """Bytes of an entry in the reference format: fixed fields, source, encoded labels, message."""
+    """Bytes of an entry in the chunk format: fixed fields, source, encoded labels, message."""
     joined = F.array_join(F.transform("labels", lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
     return F.octet_length("source") + F.octet_length(joined) + F.octet_length("message") + 16

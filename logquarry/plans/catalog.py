@@ -59,7 +59,7 @@ def series(df: DataFrame, tenant: str | None = None) -> DataFrame:
 
 
 def totals(df: DataFrame) -> DataFrame:
-    """Entries and their bytes in the reference format."""
+    """Entries and their bytes in the chunk format."""
     return df.agg(F.count("*").alias("entries"), F.coalesce(F.sum(stored_size()), F.lit(0)).cast("long").alias("bytes"))
 
 
