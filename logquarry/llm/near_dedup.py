@@ -327,25 +327,29 @@ def _confirm(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
 def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, threshold: float, take: int) -> DataFrame:
     """Untested pairs (a, b, d) of different components that share a key and may link.
 
-    Of two components a key gives the closest ``take`` pairs; ``more`` tells
-    that it had others. A key with many members is cut into blocks: members of
+    A pair comes from the least of the keys that it shares. Of two components
+    a key gives the closest ``take`` pairs; ``more`` tells that it had others. A key with many members is cut into blocks: members of
     its largest component go to one of them, all others to each, and two
     others are compared in the block of the lesser.
     """
     own = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     counts = own.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max_by("label", "m").alias("top"), F.count("*").alias("labels"))
     mixed_keys = stored(counts.where("labels > 1").select("key", "top", F.ceil(F.col("m") / BLOCK).alias("blocks")))
-    rows = own.join(mixed_keys, "key").join(classes.select(F.col("cid").alias("a"), "fine", "n"), "a")
+    rows = own.join(mixed_keys, "key").join(classes.select(F.col("cid").alias("a"), "fine", "n", "sig"), "a")
     rows = rows.withColumn("home", F.pmod(F.xxhash64("a"), "blocks")).withColumn("is_top", F.col("label") == F.col("top"))
     rows = rows.withColumn("block", F.explode(F.when(F.col("is_top"), F.array("home")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cid, label, n, here, raw in _whole(batches):
+        for key, cid, label, n, here, raw, sig in _whole(batches):
             sets, fine = _fine(raw, n)
             found = [x for i in range(0, len(cid), 512) for j in range(i, len(cid), 4096) for x in pairs_of(cid, label, n, here, fine, sets, i, j)]
             if not found:
                 continue
             x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
+            first = _least_shared_key(sig, x, y) == key
+            x, y, d = x[first], y[first], d[first]
+            if not len(x):
+                continue
             lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
             order = np.lexsort((cid[x], cid[y], d, hi, lo))
             x, y, d, lo, hi = (v[order] for v in (x, y, d, lo, hi))
@@ -372,28 +376,40 @@ def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested:
 
     # 2: of the largest component; 1: another in its own block; 0: another elsewhere
     here = F.when(F.col("is_top"), 2).when(F.col("home") == F.col("block"), 1).otherwise(0)
-    dealt = rows.select("key", "block", F.col("a").alias("cid"), "label", "n", here.alias("here"), "fine").repartition("key", "block").sortWithinPartitions("key", "block", "cid")
+    dealt = rows.select("key", "block", F.col("a").alias("cid"), "label", "n", here.alias("here"), "fine", "sig").repartition("key", "block").sortWithinPartitions("key", "block", "cid")
     pairs = dealt.mapInArrow(run, "a long, b long, d int, more boolean").groupBy("a", "b").agg(F.min("d").alias("d"), F.max("more").alias("more"))
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns (cid, label, n, here, fine) of one block of a key after the other, from rows sorted by both."""
+    """The key and columns (cid, label, n, here, fine, sig) of one block of a key after the other, from rows sorted by both."""
     held: list[tuple] = []
     at = None
     for b in batches:
         key, block = b.column("key").to_numpy(), b.column("block").to_numpy()
         cols = [b.column(c).to_numpy() for c in ("cid", "label", "n", "here")]
-        fine = np.array(b.column("fine").to_pylist(), object)
+        cols += [np.array(b.column("fine").to_pylist(), object), np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)]
         new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])]) if len(key) else []
         for lo, hi in zip(new, [*new[1:], len(key)], strict=True):
             if (key[lo], block[lo]) != at and held:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                yield at[0], *(np.concatenate(x) for x in zip(*held, strict=True))
                 held = []
             at = key[lo], block[lo]
-            held.append((*(c[lo:hi] for c in cols), fine[lo:hi]))
+            held.append([c[lo:hi] for c in cols])
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield at[0], *(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _least_shared_key(sig: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs of rows of signatures that share a key, the least one as a signed number."""
+    used, at = np.unique(np.r_[x, y], return_inverse=True)
+    every = keys(sig[used]).view(np.int64)
+    out = np.empty(len(x), np.int64)
+    for i in range(0, len(x), 20_000):
+        s = slice(i, i + 20_000)
+        a, b = every[at[: len(x)][s]], every[at[len(x) :][s]]
+        out[s] = np.where(a == b, a, np.iinfo(np.int64).max).min(1)
+    return out
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -457,7 +473,8 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, thr
             break
         per_key *= MORE_PAIRS
     named = classes.select("cid", "digest", "id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    # written first, so that Spark can split the join at a component of many classes
+    least = stored(named.groupBy("label").agg(F.min("id").alias("component_id")))
     of = named.join(least, "label").select("digest", "component_id")
     out = sketched.join(of, "digest", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
