@@ -1,16 +1,17 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts one-word and two-word sequences of all training documents.
-Each scan task folds its sequences to sorted 64-bit hashes and counts and
-hands them on in one packed row per bucket and a few million tokens, so a
-frequent sequence leaves a task once, whatever its count. A sequence of count
-c has level 1 + floor(log2 c) and enters the filter once for each level up to
-its own; its count is read back by probing level after level until a probe
-fails. Bigrams seen once are left out, as they say nothing of the text they
-are absent from and would be most of the filter.
-
-The filter is broadcast; FILTER_BYTES bounds it. With more sequences each
-gets fewer bits: none is dropped, but more probes succeed wrongly.
+Documents are dealt into chunks of a few million bytes, which are stored. Each
+chunk sends its distinct one-word and two-word sequences, as 64-bit hashes with
+their counts in training documents, to buckets by hash. A bucket sums them and
+builds its own segment of the filter: a sequence of count c has level 1 +
+floor(log2 c) and enters once for each level up to its own; its level is read
+back by probing level after level until a probe fails. The bucket answers each
+chunk with one byte for each sequence sent, and the chunk's task scores its
+documents with the answers. Bigrams seen once are left out.
+
+The filter has BITS_PER_ENTRY bits an entry whatever the size of the corpus,
+as no task holds more than a bucket's segment: the number of buckets grows
+with the text, and nothing of the filter is broadcast or collected.
 
 Base scores need exact counts. Words above a count threshold, chosen so that
 at most HOT_WORDS are above it, are broadcast; the other words of a document
@@ -35,7 +36,6 @@ from pyspark.sql import functions as F
 from logquarry.llm.common import stored, text_bytes
 from logquarry.llm.words import REMEMBERED, WordHashes, mixed, pair_hash, split_words
 
-FILTER_BYTES = 32 << 20
 BITS_PER_ENTRY = 12
 PROBES = 3
 HOT_WORDS = 1 << 19
@@ -43,6 +43,8 @@ HOT_WORDS = 1 << 19
 FOLD_TOKENS = 1 << 21
 #: Text bytes that share a bucket.
 BUCKET_TEXT = 8 << 20
+#: Text bytes of a chunk; a longer text is one of its own.
+CHUNK_TEXT = 8 << 20
 #: Weight of the bigram estimate against the one-word estimate.
 BIGRAM_WEIGHT = 0.6
 LEAST_BIGRAM = 2
@@ -59,12 +61,26 @@ def doc_hashes(raw: bytes, hashes: WordHashes) -> np.ndarray:
 
 
 def unigram_keys(tokens: np.ndarray) -> np.ndarray:
-    return mixed(tokens ^ _UNIGRAM)
+    """Odd keys."""
+    return mixed(tokens ^ _UNIGRAM) | np.uint64(1)
 
 
-def bigram_keys(tokens: np.ndarray) -> np.ndarray:
-    """One for each token, with the token before it or the start."""
-    return pair_hash(np.concatenate(([_START], tokens[:-1])), tokens)
+def bigram_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Even keys."""
+    return pair_hash(before, tokens) & ~np.uint64(1)
+
+
+def sequences(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of ``size`` tokens, back to back: sorted keys, and the places in them of each token's word and bigram."""
+    before = np.concatenate((tokens[-1:], tokens[:-1]))
+    before[np.cumsum(size) - size] = _START
+    words, word = np.unique(tokens, return_inverse=True)
+    pairs, pair = np.unique(bigram_keys(before, tokens), return_inverse=True)
+    every = np.concatenate((unigram_keys(words), pairs))
+    order = np.argsort(every)
+    place = np.empty(len(every), np.int64)
+    place[order] = np.arange(len(every))
+    return every[order], place[word], place[len(words) + pair]
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -158,52 +174,88 @@ def _counted(training: DataFrame, keys_of, buckets: int, fold: int, out, shape:
     return packed.groupBy("bucket").applyInArrow(out, shape)
 
 
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, docs): some documents as a compressed stream."""
+    chunk = TaskContext.get().partitionId() << 33
+    held, size = [], 0
+
+    def packed() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            for x in held:
+                w.write_batch(x)
+        return pa.record_batch([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
+
+    for b in batches:
+        long = np.array([len(x.as_buffer()) for x in b.column("raw")], np.int64)
+        at = 0
+        for i, n in enumerate(long):
+            if size and size + n > most:
+                if i > at:
+                    held.append(b.slice(at, i - at))
+                yield packed()
+                held, size, at, chunk = [], 0, i, chunk + 1
+            size += n + 1
+        if b.num_rows > at:
+            held.append(b.slice(at))
+    if held:
+        yield packed()
+
+
+def _docs(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(packed).read_all()
+
+
+def _parts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's keys start among sorted keys, and the end."""
+    step = (1 << 64) // buckets
+    return np.r_[np.searchsorted(keys, np.array([i * step for i in range(buckets)], np.uint64)), len(keys)]
+
+
+def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, bucket, keys, counts): a chunk's distinct sequences and how often training documents in it have them."""
+    hashes = WordHashes()
+    for b in batches:
+        for chunk, packed in zip(b.column("chunk").to_pylist(), b.column("docs"), strict=True):
+            docs = _docs(packed.as_buffer())
+            texts = [doc_hashes(x.as_py(), hashes) for x in docs["raw"]]
+            size = np.array([len(t) for t in texts])
+            keys, word, pair = sequences(np.concatenate(texts), size)
+            train = np.repeat(~np.array(docs["held_out"].to_pylist(), bool), size)
+            counts = np.bincount(np.concatenate((word[train], pair[train])), minlength=len(keys)).astype(np.uint32)
+            at = _parts(keys, buckets)
+            full = np.flatnonzero(at[:-1] < at[1:])
+            cut = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in full], pa.binary())  # noqa: B023, E731
+            yield pa.record_batch([pa.array([chunk] * len(full), pa.int64()), pa.array(full.astype(np.int32)), cut(keys), cut(counts)], names=["chunk", "bucket", "keys", "counts"])
+
+
+def _answer(part: pa.Table) -> pa.Table:
+    """Rows (chunk, bucket, levels) of one bucket: a byte for each key that the chunk sent."""
+    keys, counts = _summed(part)
+    known = counts >= np.where(keys & np.uint64(1), 1, LEAST_BIGRAM)
+    bits = segment(keys[known], levels(counts[known]), BITS_PER_ENTRY)
+    level = Filter(bits, np.array([len(bits)])).level(keys)
+    out = [level[np.searchsorted(keys, np.frombuffer(k.as_buffer(), np.uint64))].tobytes() for k in part["keys"]]
+    return pa.table({"chunk": part["chunk"], "bucket": part["bucket"], "levels": pa.array(out, pa.binary())})
+
+
 class LanguageModel:
-    """Counts of a training table: a table of word counts, frequent words and the filter."""
+    """Counts of a training table: a table of word counts and frequent words."""
 
-    def __init__(self, training: DataFrame, text_bytes_total: int, filter_bytes: int = FILTER_BYTES, hot_words: int = HOT_WORDS, fold: int = FOLD_TOKENS):
+    def __init__(self, training: DataFrame, text_bytes_total: int, hot_words: int = HOT_WORDS, fold: int = FOLD_TOKENS, chunk_text: int = CHUNK_TEXT, bucket_text: int = BUCKET_TEXT):
         spark = training.sparkSession
-        buckets = 1 << max(4, math.ceil(math.log2(1 + text_bytes_total / BUCKET_TEXT)))
+        self.buckets = buckets = 1 << max(4, math.ceil(math.log2(1 + text_bytes_total / bucket_text)))
+        self.chunk_text = chunk_text
 
         def words(part: pa.Table) -> pa.Table:
             keys, counts = _summed(part)
             return pa.table({"word": keys.view(np.int64), "c": counts})
 
-        def entries(keys: np.ndarray, counts: np.ndarray, bucket) -> pa.Table:
-            level = levels(counts)
-            return pa.table({"bucket": pa.array([bucket], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "levels": pa.array([level.tobytes()], pa.binary()), "entries": pa.array([int(level.sum())], pa.int64())})
-
-        def bigrams(part: pa.Table) -> pa.Table:
-            keys, counts = _summed(part)
-            often = counts >= LEAST_BIGRAM
-            return entries(keys[often], counts[often], part["bucket"][0].as_py())
-
-        def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keys, counts = unigram_keys(b.column(0).to_numpy().view(np.uint64)), b.column(1).to_numpy()
-                of = (keys & np.uint64(buckets - 1)).astype(np.int64)
-                for i in np.unique(of):
-                    yield from entries(keys[of == i], counts[of == i], i).to_batches()
-
         self.words = stored(_counted(training, lambda t: t, buckets, fold, words, "word long, c long"))
-        shape = "bucket int, keys binary, levels binary, entries long"
-        both = stored(_counted(training, bigram_keys, buckets, fold, bigrams, shape).unionByName(self.words.mapInArrow(unigrams, shape)))
         total = self.words.agg(F.sum("c"), F.count("*")).first()
         self.tokens, self.vocabulary = total[0] or 0, total[1]
-        self.entries = both.agg(F.sum("entries")).first()[0] or 0
-        bits = min(BITS_PER_ENTRY, 8 * filter_bytes / max(1, self.entries))
-
-        def segments(part: pa.Table) -> pa.Table:
-            keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in part["keys"]])
-            level = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in part["levels"]])
-            return pa.table({"bucket": part["bucket"][:1], "bits": pa.array([segment(keys, level, bits)], pa.binary())})
-
-        found = {r.bucket: bytes(r.bits) for r in both.groupBy("bucket").applyInArrow(segments, "bucket int, bits binary").toLocalIterator()}
-        hot = self._frequent(hot_words)
         self.key = uuid.uuid4().hex
-        segments_in_order = [found.pop(i, b"\0" * 8) for i in range(buckets)]
-        size = np.array([len(x) for x in segments_in_order], np.int64)
-        self.sent = spark.sparkContext.broadcast((b"".join(segments_in_order), size, *hot, self.tokens, self.vocabulary))
+        self.sent = spark.sparkContext.broadcast((*self._frequent(hot_words), self.tokens, self.vocabulary))
 
     def _frequent(self, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Words over the least count that leaves at most ``most`` of them, by key, with their counts."""
@@ -227,27 +279,30 @@ class LanguageModel:
         keep = [c for c in docs.columns if c != "raw"]
         shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most, buckets = self.chunk_text, self.buckets
+
+        def run(asked: pa.Table, answers: pa.Table) -> pa.Table:
             if key not in _scorers:
                 _scorers.clear()
                 _scorers[key] = Scorer(*sent.value)
-            uid = TaskContext.get().partitionId() << 33
-            for b in batches:
-                for i in range(0, b.num_rows, 512):
-                    part = b.slice(i, 512)
-                    size, known, base, score, cut, rare, tf = _scorers[key].scores([x.as_py() for x in part.column("raw")])
-                    lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (rare, tf)]
-                    uids = np.arange(uid, uid + len(size))
-                    uid += len(size)
-                    yield pa.record_batch([pa.array(uids), *(part.column(c) for c in keep), pa.array(size), pa.array(known), pa.array(base), pa.array(score), *lists], names=["uid", *keep, "n_tokens", "known", "base", "score", "rare", "tfs"])
-
-        first = stored(docs.mapInArrow(run, f"uid long, {shape}, n_tokens long, known long, base double, score double, rare array<long>, tfs array<int>"))
+            chunk, part = asked["chunk"][0].as_py(), _docs(asked["docs"][0].as_buffer())
+            level = np.frombuffer(b"".join(answers.sort_by("bucket")["levels"].to_pylist()), np.uint8)
+            size, known, base, score, cut, rare, tf = _scorers[key].scores([x.as_py() for x in part["raw"]], level)
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (rare, tf)]
+            names = ["chunk", "place", *keep, "n_tokens", "known", "base", "score", "rare", "tfs"]
+            return pa.table([pa.array([chunk] * len(size), pa.int64()), pa.array(np.arange(len(size), dtype=np.int32)), *(part[c] for c in keep), pa.array(size), pa.array(known), pa.array(base), pa.array(score), *lists], names=names)
+
+        chunks = stored(docs.mapInArrow(lambda batches: _cut(batches, most), "chunk long, docs binary"))
+        asked = chunks.mapInArrow(lambda batches: _asked(batches, buckets), "chunk long, bucket int, keys binary, counts binary")
+        answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, levels binary")
+        together = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        first = stored(together.applyInArrow(run, f"chunk long, place int, {shape}, n_tokens long, known long, base double, score double, rare array<long>, tfs array<int>"))
         rest = (
-            first.select("uid", F.explode(F.arrays_zip("rare", "tfs")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.tfs").alias("tf"))
-            .join(self.words, "word", "left").groupBy("uid")
+            first.select("chunk", "place", F.explode(F.arrays_zip("rare", "tfs")).alias("x")).select("chunk", "place", F.col("x.rare").alias("word"), F.col("x.tfs").alias("tf"))
+            .join(self.words, "word", "left").groupBy("chunk", "place")
             .agg(F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("add"))
         )
-        return first.join(rest, "uid", "left").select(*keep, "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), "score")
+        return first.join(rest, ["chunk", "place"], "left").select(*keep, "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), "score")
 
 
 class _Numbers(dict):
@@ -265,27 +320,29 @@ class _Numbers(dict):
 class Scorer:
     """Scores documents in a worker; what it looks up for a word it remembers for a while."""
 
-    def __init__(self, joined: bytes, size: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray, n: int, v: int):
-        self.filter, self.hot, self.hot_counts, self.total = Filter(joined, size), hot, hot_counts, n + v + 1.0
+    def __init__(self, hot: np.ndarray, hot_counts: np.ndarray, n: int, v: int):
+        self.hot, self.hot_counts, self.total = hot, hot_counts, n + v + 1.0
         self._forget()
 
     def _forget(self) -> None:
         self.numbers = _Numbers()
-        self.hash, self.log, self.is_hot, self.count = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool), np.zeros(0)
+        self.hash, self.log, self.is_hot = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)
 
     def _look_up(self) -> None:
-        """For the words that are new: hash, exact log probability if frequent, count by the filter."""
+        """For the words that are new: hash and exact log probability if frequent."""
         new = np.array(self.numbers.hashes[len(self.hash) :], np.uint64)
         is_hot, log = np.zeros(len(new), bool), np.zeros(len(new))
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, new), len(self.hot) - 1)
             is_hot = self.hot[at] == new
             log[is_hot] = np.log10((self.hot_counts[at[is_hot]] + 1.0) / self.total)
-        parts = (new, log, is_hot, level_count(self.filter.level(unigram_keys(new))))
-        self.hash, self.log, self.is_hot, self.count = (np.concatenate(x) for x in zip((self.hash, self.log, self.is_hot, self.count), parts, strict=True))
+        self.hash, self.log, self.is_hot = (np.concatenate(x) for x in zip((self.hash, self.log, self.is_hot), (new, log, is_hot), strict=True))
+
+    def scores(self, texts: list[bytes], level: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Of each text: tokens, frequent ones, their base, model score; then its other words as (offsets, hashes, counts).
 
-    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Of each text: tokens, frequent ones, their base, model score; then its other words as (offsets, hashes, counts)."""
+        ``level`` has a level for each of the texts' ``sequences``; without it none was seen in training.
+        """
         if len(self.numbers) > REMEMBERED:
             self._forget()
         tokens, size = [], np.zeros(len(texts), np.int64)
@@ -301,18 +358,19 @@ class Scorer:
         rare = ~is_hot
         pairs, tf = np.unique(doc[rare] * (1 << 32) + every[rare], return_counts=True)
         cut = np.searchsorted(pairs >> 32, np.arange(len(texts) + 1)).astype(np.int32)
-        return size, known, base, self._model(every, doc, size), cut, self.hash[pairs & (1 << 32) - 1].view(np.int64), tf.astype(np.int32)
+        return size, known, base, self._model(self.hash[every], doc, size, level), cut, self.hash[pairs & (1 << 32) - 1].view(np.int64), tf.astype(np.int32)
 
-    def _model(self, every: np.ndarray, doc: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _model(self, tokens: np.ndarray, doc: np.ndarray, size: np.ndarray, level: np.ndarray | None) -> np.ndarray:
         """log10 of the product over tokens of the two estimates' mixture."""
+        keys, word, pair = sequences(tokens, size)
+        count = level_count(np.zeros(len(keys), np.uint8) if level is None else level)
+        if len(count) != len(keys):
+            raise ValueError("a chunk's answers don't fit its sequences")
+        own, together = count[word], count[pair]
         # the end stands before a document's first token as well: it is as frequent as the start
-        before = np.concatenate((every[-1:], every[:-1]))
-        left = self.hash[before]
-        left[np.cumsum(size) - size] = _START
-        together = level_count(self.filter.level(pair_hash(left, self.hash[every])))
-        seen = self.count[before]
+        seen = np.concatenate((own[-1:], own[:-1]))
         chain = np.minimum(1.0, together / np.maximum(seen, np.maximum(together, 1.0)))
-        p = (1 - BIGRAM_WEIGHT) * (self.count[every] + 1.0) / self.total + BIGRAM_WEIGHT * chain
+        p = (1 - BIGRAM_WEIGHT) * (own + 1.0) / self.total + BIGRAM_WEIGHT * chain
         return np.bincount(doc, np.log10(p), len(size))
 
 

@@ -2,8 +2,11 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 from logquarry.llm import bloom_lm as lm
 from logquarry.llm.words import mixed
@@ -52,6 +55,31 @@ def test_forgetting_words_changes_nothing(spark, monkeypatch):
         assert [x[0] for x in one[:4]] == [x[i] for x in once[:4]]
 
 
+def test_answers_are_as_exact_with_any_number_of_buckets(monkeypatch):
+    """Bits an entry don't depend on the number of entries, and no bucket holds more than its share."""
+    texts = [" ".join(f"w{(i * 37 + j * j) % 900}" for j in range(60)).encode() for i in range(300)]
+    docs = pa.record_batch([pa.array(texts, pa.binary()), pa.array([i % 7 == 2 for i in range(300)])], names=["raw", "held_out"])
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    chunks = list(lm._cut(iter([docs.slice(0, 110), docs.slice(110)]), 2000))
+    assert len(chunks) > 30 and [x for c in chunks for x in lm._docs(c["docs"][0].as_py())["raw"].to_pylist()] == texts
+    tokens = [lm.doc_hashes(t, lm.WordHashes()) for t in texts]
+    train = [t for i, t in enumerate(tokens) if i % 7 != 2]
+    pair = lambda t: lm.bigram_keys(np.r_[lm._START, t[:-1]], t).tolist()
+    c = Counter(x for t in train for x in (*lm.unigram_keys(t).tolist(), *pair(t)))
+    c = Counter({k: n for k, n in c.items() if k % 2 or n >= lm.LEAST_BIGRAM})
+    for bits, share in ((60, 0.001), (12, 0.03)):
+        monkeypatch.setattr(lm, "BITS_PER_ENTRY", bits)
+        for buckets in (16, 256):
+            asked = pa.Table.from_batches(lm._asked(iter(chunks), buckets))
+            parts = [asked.filter(pa.compute.equal(asked["bucket"], i)) for i in range(buckets)]
+            answers = pa.concat_tables(lm._answer(x) for x in parts if len(x)).sort_by([("chunk", "ascending"), ("bucket", "ascending")])
+            keys = np.frombuffer(b"".join(asked.sort_by([("chunk", "ascending"), ("bucket", "ascending")])["keys"].to_pylist()), np.uint64)
+            level = np.frombuffer(b"".join(answers["levels"].to_pylist()), np.uint8)
+            true = np.array([lm.levels(np.array(c[k])) if c[k] else 0 for k in keys.tolist()])
+            assert (level >= true).all() and (level > true).mean() <= share
+            assert max(map(len, parts)) <= len(chunks)
+
+
 def test_empty_table(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
