@@ -7,7 +7,9 @@ builds its own segment of the filter: a sequence of count c has level 1 +
 floor(log2 c) and enters once for each level up to its own; its level is read
 back by probing level after level until a probe fails. The bucket answers each
 chunk with one byte for each sequence sent, and the chunk's task scores its
-documents with the answers. Bigrams seen once are left out.
+documents with the answers. Every sequence enters, also a bigram seen once. As
+many of those are chance, bigrams' counts are lessened by Ney's absolute
+discount n1 / (n1 + 2 n2), from the numbers of bigrams seen once and twice.
 
 The filter has BITS_PER_ENTRY bits an entry whatever the size of the corpus,
 as no task holds more than a bucket's segment: the number of buckets grows
@@ -47,7 +49,6 @@ BUCKET_TEXT = 8 << 20
 CHUNK_TEXT = 8 << 20
 #: Weight of the bigram estimate against the one-word estimate.
 BIGRAM_WEIGHT = 0.6
-LEAST_BIGRAM = 2
 
 _END = np.uint64(0xE0F1D2C3B4A59687)
 _START = np.uint64(0x51A7B6C5D4E3F201)
@@ -230,13 +231,13 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 
 
 def _answer(part: pa.Table) -> pa.Table:
-    """Rows (chunk, bucket, levels) of one bucket: a byte for each key that the chunk sent."""
+    """Rows (chunk, bucket, levels) of one bucket: a byte for each key that the chunk sent; the first row has the numbers of bigrams seen once and twice."""
     keys, counts = _summed(part)
-    known = counts >= np.where(keys & np.uint64(1), 1, LEAST_BIGRAM)
+    known, pairs = counts > 0, counts[keys & np.uint64(1) == 0]
     bits = segment(keys[known], levels(counts[known]), BITS_PER_ENTRY)
     level = Filter(bits, np.array([len(bits)])).level(keys)
     out = [level[np.searchsorted(keys, np.frombuffer(k.as_buffer(), np.uint64))].tobytes() for k in part["keys"]]
-    return pa.table({"chunk": part["chunk"], "bucket": part["bucket"], "levels": pa.array(out, pa.binary())})
+    return pa.table({"chunk": part["chunk"], "bucket": part["bucket"], "levels": pa.array(out, pa.binary()), **{k: pa.array([int((pairs == c).sum())] + [0] * (len(out) - 1), pa.int64()) for k, c in (("once", 1), ("twice", 2))}})
 
 
 class LanguageModel:
@@ -287,15 +288,17 @@ class LanguageModel:
                 _scorers[key] = Scorer(*sent.value)
             chunk, part = asked["chunk"][0].as_py(), _docs(asked["docs"][0].as_buffer())
             level = np.frombuffer(b"".join(answers.sort_by("bucket")["levels"].to_pylist()), np.uint8)
-            size, known, base, score, cut, rare, tf = _scorers[key].scores([x.as_py() for x in part["raw"]], level)
+            size, known, base, score, cut, rare, tf = _scorers[key].scores([x.as_py() for x in part["raw"]], level, discount)
             lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (rare, tf)]
             names = ["chunk", "place", *keep, "n_tokens", "known", "base", "score", "rare", "tfs"]
             return pa.table([pa.array([chunk] * len(size), pa.int64()), pa.array(np.arange(len(size), dtype=np.int32)), *(part[c] for c in keep), pa.array(size), pa.array(known), pa.array(base), pa.array(score), *lists], names=names)
 
         chunks = stored(docs.mapInArrow(lambda batches: _cut(batches, most), "chunk long, docs binary"))
         asked = chunks.mapInArrow(lambda batches: _asked(batches, buckets), "chunk long, bucket int, keys binary, counts binary")
-        answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, levels binary")
-        together = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        answers = stored(asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, levels binary, once long, twice long"))
+        once, twice = (x or 0 for x in answers.agg(F.sum("once"), F.sum("twice")).first())
+        discount = once / max(1, once + 2 * twice)
+        together = chunks.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "levels").groupBy("chunk"))
         first = stored(together.applyInArrow(run, f"chunk long, place int, {shape}, n_tokens long, known long, base double, score double, rare array<long>, tfs array<int>"))
         rest = (
             first.select("chunk", "place", F.explode(F.arrays_zip("rare", "tfs")).alias("x")).select("chunk", "place", F.col("x.rare").alias("word"), F.col("x.tfs").alias("tf"))
@@ -338,7 +341,7 @@ class Scorer:
             log[is_hot] = np.log10((self.hot_counts[at[is_hot]] + 1.0) / self.total)
         self.hash, self.log, self.is_hot = (np.concatenate(x) for x in zip((self.hash, self.log, self.is_hot), (new, log, is_hot), strict=True))
 
-    def scores(self, texts: list[bytes], level: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    def scores(self, texts: list[bytes], level: np.ndarray | None = None, discount: float = 0.0) -> tuple[np.ndarray, ...]:
         """Of each text: tokens, frequent ones, their base, model score; then its other words as (offsets, hashes, counts).
 
         ``level`` has a level for each of the texts' ``sequences``; without it none was seen in training.
@@ -358,9 +361,9 @@ class Scorer:
         rare = ~is_hot
         pairs, tf = np.unique(doc[rare] * (1 << 32) + every[rare], return_counts=True)
         cut = np.searchsorted(pairs >> 32, np.arange(len(texts) + 1)).astype(np.int32)
-        return size, known, base, self._model(self.hash[every], doc, size, level), cut, self.hash[pairs & (1 << 32) - 1].view(np.int64), tf.astype(np.int32)
+        return size, known, base, self._model(self.hash[every], doc, size, level, discount), cut, self.hash[pairs & (1 << 32) - 1].view(np.int64), tf.astype(np.int32)
 
-    def _model(self, tokens: np.ndarray, doc: np.ndarray, size: np.ndarray, level: np.ndarray | None) -> np.ndarray:
+    def _model(self, tokens: np.ndarray, doc: np.ndarray, size: np.ndarray, level: np.ndarray | None, discount: float) -> np.ndarray:
         """log10 of the product over tokens of the two estimates' mixture."""
         keys, word, pair = sequences(tokens, size)
         count = level_count(np.zeros(len(keys), np.uint8) if level is None else level)
@@ -369,7 +372,7 @@ class Scorer:
         own, together = count[word], count[pair]
         # the end stands before a document's first token as well: it is as frequent as the start
         seen = np.concatenate((own[-1:], own[:-1]))
-        chain = np.minimum(1.0, together / np.maximum(seen, np.maximum(together, 1.0)))
+        chain = np.maximum(together - discount, 0.0) / np.maximum(seen, np.maximum(together, 1.0))
         p = (1 - BIGRAM_WEIGHT) * (own + 1.0) / self.total + BIGRAM_WEIGHT * chain
         return np.bincount(doc, np.log10(p), len(size))
 
