@@ -6,9 +6,11 @@ of the same language needs fewer of them. A phrase costs as many bits as a
 position in the sample, which makes samples of unequal size comparable, and
 the language of the least bits per letter wins.
 
-Automata are made from a bounded sample: up to SAMPLE_ROWS labelled texts of
-each of up to MAX_LANGUAGES languages, SAMPLE_CHARS characters together at
-most. Texts are read whole, in pieces of PIECE characters that many lanes of
+Every language with a labelled text is learned, from a sample bounded for each:
+up to SAMPLE_ROWS texts and LANGUAGE_CHARS characters; of a text of more than
+ROW_CHARS characters ROW_PIECES pieces from all over it. The LETTERS most
+frequent letters are a symbol each, any other is its code point in three
+symbols of 6 bits, so no two letters are the same. Texts are read whole, in pieces of PIECE characters that many lanes of
 arrays parse at once; a phrase ends where a piece ends.
 """
 
@@ -25,24 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_LANGUAGES = 64
 SAMPLE_ROWS = 64
-ROW_CHARS = 4000
-#: Of all languages together.
-SAMPLE_CHARS = 320_000
+ROW_CHARS, ROW_PIECES = 4000, 8
+#: Of each language.
+LANGUAGE_CHARS = 80_000
 PIECE = 512
 LETTERS = 120
 UNKNOWN = "und"
 #: Bits are scaled by this before they become a score, as phrases of one text aren't independent.
 TEMPER = 0.05
 
-#: Above the state in a step: how many phrases end with it.
-_ENDS = 28
+#: Marks a letter of three symbols.
+_CODED = 255
 _parsers: dict[str, Parser] = {}
 
 
-def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """Transitions [state, symbol] of all substrings; -1 where there is none. State 0 is the empty string."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state, of all substrings. State 0 is the empty string."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -68,38 +69,60 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.full((len(step), alphabet), -1, np.int32)
+    return step
+
+
+def double_array(step: list[dict[int, int]], alphabet: int) -> np.ndarray:
+    """Transitions in one array: at base + symbol stand the base that owns the place and the base of the next state.
+
+    Bases name states and differ; that of state 0 is 0. A place without an owner has -1.
+    """
+    room = 8 * sum(map(len, step)) + len(step) + 1000 * alphabet
+    used, taken, base = bytearray(room), bytearray(room), [0] * len(step)
+    at, degree, top = 0, None, 0
+    for s in sorted(range(len(step)), key=lambda s: (s > 0, -len(step[s]))):
+        symbols = sorted(step[s]) or [0]
+        if len(symbols) != degree:
+            at, degree = used.find(0), len(symbols)
+        p = symbols[0] if s == 0 else at
+        while (b := p - symbols[0]) < 0 or taken[b] or any(used[b + c] for c in symbols):
+            p = used.find(0, p + 1)
+        for c in step[s]:
+            used[b + c] = 1
+        taken[b], base[s], top = 1, b, max(top, b)
+        at = at if s == 0 else p
+    out = np.full(top + alphabet + 1, -1 << 32, np.int64)
     for s, d in enumerate(step):
         for c, t in d.items():
-            out[s, c] = t
+            out[base[s] + c] = base[s] << 32 | base[t]
     return out
 
 
 class Parser:
-    """Automata of several languages over one alphabet: 0 between words, 1.. for letters, the last for any other letter."""
+    """Automata of several languages over one alphabet: 0 between words, 1.. for letters, the last 64 for the parts of other letters."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         letters = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
         known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS] if ord(c) < 65536]
-        self.alphabet = len(known) + 2
+        self.coded = len(known) + 1
+        self.alphabet = self.coded + 64
         self.symbol = np.zeros(65536, np.uint8)
         for cp in range(65536):
             if unicodedata.category(chr(cp))[0] == "L":
-                self.symbol[cp] = self.alphabet - 1
+                self.symbol[cp] = _CODED
         for i, c in enumerate(known):
             self.symbol[ord(c)] = i + 1
-        self.steps, self.bits = [], []
+        self.steps, self.roots, self.bits = [], [], []
         for name in self.languages:
             s = self.symbols(samples[name].lower())
-            a = suffix_automaton(s.tolist(), self.alphabet)
+            table = double_array(suffix_automaton(s.tolist()), self.alphabet)
             # Where a phrase can't go on it ends, and a new one starts with the same symbol;
             # a symbol that the sample lacks is a phrase of its own.
-            lacks = a[0] < 0
-            again = np.where(lacks, 2 << _ENDS, a[0] * self.alphabet | 1 << _ENDS)
-            step = np.where(a < 0, again, a * self.alphabet)
-            step[0, lacks] = 1 << _ENDS
-            self.steps.append(step.astype(np.int32).ravel())
+            first = table[: self.alphabet]
+            lacks = first >> 32 != 0
+            self.steps.append(table)
+            self.roots.append((np.where(lacks, 0, first), lacks))
             self.bits.append(math.log2(max(2, len(s))))
 
     def symbols(self, text: str) -> np.ndarray:
@@ -109,8 +132,17 @@ class Parser:
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         s = self.symbol[np.minimum(cp, 65535)]
         if len(high := np.flatnonzero(cp > 65535)):
-            s[high] = [self.alphabet - 1 if chr(c).isalpha() else 0 for c in cp[high]]
-        return s[(s != 0) | np.r_[True, s[:-1] != 0]]
+            s[high] = [_CODED if chr(c).isalpha() else 0 for c in cp[high]]
+        keep = (s != 0) | np.r_[True, s[:-1] != 0]
+        s, cp = s[keep], cp[keep]
+        coded = s == _CODED
+        if coded.any():
+            size = np.where(coded, 3, 1)
+            at, c = (np.cumsum(size) - size)[coded], cp[coded]
+            s = np.repeat(s, size)
+            for i in range(3):
+                s[at + i] = self.coded + (c >> (12 - 6 * i) & 63)
+        return s
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """[text, language]: number of phrases."""
@@ -127,12 +159,15 @@ class Parser:
                 lanes[: n[k], k] = texts[i][p : p + PIECE]
             active = np.searchsorted(-n, -np.arange(len(lanes)), "left")  # lanes longer than each position
             doc = np.array([pieces[j][0] for j in part])
-            for l, step in enumerate(self.steps):
-                state, count = np.zeros(len(part), np.int32), np.zeros(len(part), np.int32)
+            for l, (step, (again, lacks)) in enumerate(zip(self.steps, self.roots, strict=True)):
+                state, count = np.zeros(len(part), np.int64), np.zeros(len(part), np.int32)
                 for pos, m in enumerate(active):
                     v = step[state[:m] + lanes[pos, :m]]
-                    count[:m] += v >> _ENDS
-                    state[:m] = v & (1 << _ENDS) - 1
+                    ends = np.flatnonzero(v >> 32 != state[:m])
+                    c = lanes[pos, ends]
+                    count[ends] += lacks[c].astype(np.int32) + (state[ends] != 0)
+                    v[ends] = again[c]
+                    state[:m] = v & (1 << 32) - 1
                 np.add.at(out[:, l], doc, count + (state != 0))
         return out
 
@@ -148,7 +183,8 @@ class Parser:
                 continue
             best = int(b.argmin())
             share = np.exp2((b[best] - b) * TEMPER)
-            out.append((self.languages[best], float(1 / share.sum()), float(b[best] / len(s))))
+            letters = len(s) - int((s >= self.coded).sum()) * 2 // 3
+            out.append((self.languages[best], float(1 / share.sum()), float(b[best] / letters)))
         return out
 
 
@@ -160,19 +196,20 @@ def held_out(id_col: str) -> F.Column:
 def samples_of(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, str]:
     """The bounded training sample: the rows of each language whose salted ids hash lowest."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()]
-    if not langs:
-        return {}
     first = Window.partitionBy("lang").orderBy("h", "text")
+    n = F.length("text")
+    pieces = [F.substring("text", (F.lit(i) * (n - ROW_CHARS // ROW_PIECES) / (ROW_PIECES - 1)).cast("int") + 1, F.lit(ROW_CHARS // ROW_PIECES)) for i in range(ROW_PIECES)]
     picked = (
-        rows.where(F.col(lang_col).isin(langs))
-        .select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(7), F.col(id_col)).alias("h"), F.substring(text_col, 1, ROW_CHARS).alias("text"))
-        .withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS).orderBy("lang", "n").collect()
+        rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(7), F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
+        .withColumn("text", F.when(n > ROW_CHARS, F.concat_ws("\n", *pieces)).otherwise(F.col("text")))
+        .withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS)
+        .withColumn("before", F.sum(F.length("text") + 1).over(first.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < LANGUAGE_CHARS)
+        .orderBy("lang", "n").collect()
     )
-    most, out = SAMPLE_CHARS // len(langs), {}
-    for lang in langs:
-        out[lang] = "\n".join(r.text for r in picked if r.lang == lang)[:most]
-    return out
+    out: dict[str, list[str]] = {}
+    for r in picked:
+        out.setdefault(r.lang, []).append(r.text)
+    return {lang: "\n".join(texts)[:LANGUAGE_CHARS] for lang, texts in out.items()}
 
 
 def identify(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, samples: dict[str, str]) -> DataFrame:

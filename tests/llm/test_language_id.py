@@ -53,3 +53,23 @@ def test_nothing_learned_and_empty_table(spark):
     assert li.samples_of(df, "doc_id", "text", "lang") == {}
     assert li.identify(spark, df, "doc_id", "text", {}).first().lang_pred == "und"
     assert li.identify(spark, df.limit(0), "doc_id", "text", {}).count() == 0
+
+
+def test_every_language_is_learned_and_large_alphabets_are_told_apart(spark):
+    r = random.Random(3)
+    rows = []
+    for k in range(70):
+        words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)]
+        rows += [(f"l{k:02}", " ".join(r.choice(words) for _ in range(40))) for _ in range(4)]
+    for k, lo in (("zh", 0x4E00), ("ko", 0xAC00), ("hi", 0x20000)):
+        words = ["".join(chr(lo + r.randrange(150)) for _ in range(4)) for _ in range(30)]
+        rows += [(k, " ".join(r.choice(words) for _ in range(30))) for _ in range(4)]
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    samples = li.samples_of(df, "doc_id", "text", "lang")
+    assert len(samples) == 73
+    assert [x[0] for x in li.Parser(samples).judge([t for _, t in rows])] == [k for k, _ in rows]
+
+
+def test_long_texts_are_sampled_all_over(spark):
+    df = spark.createDataFrame([(1, "a" * 9000 + "b" * 9000 + "c" * 9000, "x")], "doc_id long, text string, lang string")
+    assert set("abc") <= set(li.samples_of(df, "doc_id", "text", "lang")["x"])
