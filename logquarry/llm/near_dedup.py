@@ -325,10 +325,11 @@ def _confirm(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
 
 
 def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, threshold: float, take: int) -> DataFrame:
-    """Untested pairs (a, b, d) of different components that share a key and may link.
+    """Pairs (a, b, d, more, done) of different components that share a key and may link.
 
     A pair comes from the least of the keys that it shares. Of two components
-    a key gives the closest ``take`` pairs; ``more`` tells that it had others. A key with many members is cut into blocks: members of
+    a key gives the closest ``take`` pairs; ``more`` tells that it had others.
+    Pairs tested before (``done``) come only to tell that. A key with many members is cut into blocks: members of
     its largest component go to one of them, all others to each, and two
     others are compared in the block of the lesser.
     """
@@ -378,7 +379,8 @@ def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested:
     here = F.when(F.col("is_top"), 2).when(F.col("home") == F.col("block"), 1).otherwise(0)
     dealt = rows.select("key", "block", F.col("a").alias("cid"), "label", "n", here.alias("here"), "fine", "sig").repartition("key", "block").sortWithinPartitions("key", "block", "cid")
     pairs = dealt.mapInArrow(run, "a long, b long, d int, more boolean").groupBy("a", "b").agg(F.min("d").alias("d"), F.max("more").alias("more"))
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = pairs.join(tested.select("a", "b", F.lit(True).alias("done")).distinct(), ["a", "b"], "left")
+    return pairs.withColumn("done", F.coalesce("done", F.lit(False))).where("more or not done")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -458,9 +460,9 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, thr
     judged, labels = confirm(todo)
     while True:
         tested = judged.select("a", "b")
-        rest = close.join(tested, ["a", "b"], "left_anti").withColumn("more", F.lit(False))
-        found = stored(_apart(rest.unionByName(_between(members, classes, labels, tested, threshold, per_key)), labels).select("a", "b", "d", "more"))
-        left, take = found, FIRST_PAIRS
+        rest = close.join(tested, ["a", "b"], "left_anti").withColumns({"more": F.lit(False), "done": F.lit(False)})
+        found = stored(_apart(rest.unionByName(_between(members, classes, labels, tested, threshold, per_key)), labels).select("a", "b", "d", "more", "done"))
+        left, take = found.where("not done"), FIRST_PAIRS
         todo = stored(_closest(_apart(left, labels), take))
         while (n := todo.count()) > 0:
             if progress:

@@ -96,6 +96,20 @@ def test_every_pair_of_a_key_meets_in_one_block(spark, monkeypatch):
     assert len(found[0]) > 50
 
 
+def test_a_tested_pair_still_tells_that_its_key_has_more(spark):
+    sets = [np.sort(np.random.default_rng(i % 9).integers(0, 1 << 63, 60 + i % 3, np.uint64) * np.uint64(2)) for i in range(30)]
+    sig = np.stack([nd.signature(s) for s in sets])
+    classes = spark.createDataFrame([(i, nd.halves(s).tobytes(), len(s), sig[i].tobytes()) for i, s in enumerate(sets)], "cid long, fine binary, n long, sig binary")
+    members = spark.createDataFrame([(int(k), i) for i, row in enumerate(nd.keys(sig).view(np.int64)) for k in row], "key long, a long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "node long, label long")
+    none = spark.createDataFrame([], "a long, b long")
+    first = nd._between(members, classes, labels, none, 0.8, 1).collect()
+    assert any(r.more for r in first)
+    tested = spark.createDataFrame([(r.a, r.b) for r in first], "a long, b long")
+    again = nd._between(members, classes, labels, tested, 0.8, 1).collect()
+    assert {(r.a, r.b) for r in again} == {(r.a, r.b) for r in first if r.more} and all(r.more and r.done for r in again)
+
+
 def test_empty_table(spark):
     assert nd.near_groups(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
