@@ -2,7 +2,7 @@
 
 One Aho-Corasick pass per text finds anchors: at-signs, plus signs, pairs of
 digits (side by side, or around a space, hyphen or dot), URL schemes and cues
-of accounts and street addresses. Parsers then expand each anchor to the
+of secrets and accounts, in any case of ASCII letters. Parsers then expand each anchor to the
 boundaries of the datum and validate it. A parser never looks outside the run
 of characters that its kind allows, so the work follows the text's length.
 
@@ -39,7 +39,7 @@ _IBAN = re.compile(r"[ \t:]*([A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30})")
 
 #: Anchors and the parser that each calls.
 _SECRET_CUES = ("password", "passwd", "token", "secret", "api_key", "apikey")
-_ACCOUNT_CUES = ("account", "acct", "IBAN", "passport", "SSN")
+_ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn")
 
 
 def _anchors() -> ahocorasick.Automaton:
@@ -48,7 +48,7 @@ def _anchors() -> ahocorasick.Automaton:
         a.add_word(cue, ("url", len(cue)))
     for cue in _SECRET_CUES:
         a.add_word(cue, ("secret", len(cue)))
-    a.add_word("AKIA", ("access", 4))
+    a.add_word("akia", ("access", 4))
     for cue in _ACCOUNT_CUES:
         a.add_word(cue, ("account", len(cue)))
     a.add_word("@", ("email", 1))
@@ -125,7 +125,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if got[2]:
                 found[kind].append(got[:2])
 
-    for end, (kind, length) in _AUTOMATON.iter(text):
+    # bytes fold ASCII letters only, so offsets stay
+    low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    for end, (kind, length) in _AUTOMATON.iter(low):
         at = end - length + 1
         if kind == "ip":
             if at >= past["ip"]:
@@ -155,9 +157,9 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if at >= past["secret"] and (m := _VALUE.match(text, end + 1)) and any(c in _DIGITS for c in m[1]):
                 keep("secret", (m.start(1), m.end(1), True))
         elif at >= past["account"]:
-            cue = text[at : end + 1]
-            if m := (_IBAN if cue == "IBAN" else _NUMBER).match(text, end + 1):
-                keep("account", (m.start(1), m.end(1), cue != "IBAN" or iban(m[1])))
+            cue = low[at : end + 1]
+            if m := (_IBAN if cue == "iban" else _NUMBER).match(text, end + 1):
+                keep("account", (m.start(1), m.end(1), cue != "iban" or iban(m[1])))
     return [(k, s, e) for k in KINDS for s, e in sorted(found[k])]
 
 

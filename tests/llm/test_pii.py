@@ -50,6 +50,15 @@ def test_added_kinds_and_redaction():
     assert pii.redact("a x@y.zz b", pii.find("a x@y.zz b")) == "a <email> b"
 
 
+def test_cues_match_in_any_case():
+    for pad in ("", "İé "):
+        text = pad + 'TOKEN = "9233A8ECF0" Password: abc12345 HTTPS://a.example/x Account 12345678 iban DE89 3704 0044 0532 0130 00, SSN 123-45-6789'
+        spans = pii.find(text)
+        said = lambda kind: [text[s:e] for k, s, e in spans if k == kind]  # noqa: B023, E731
+        assert said("secret") == ["9233A8ECF0", "abc12345"] and said("url") == ["HTTPS://a.example/x"]
+        assert said("account") == ["12345678", "DE89 3704 0044 0532 0130 00", "123-45-6789"]
+
+
 def test_frame_with_nulls_repeats_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "x@y.zz", 5), (1, "x@y.zz", 6), (None, None, 7), (2, "", 8)], "doc_id long, text string, spans int")
     rows = sorted(pii.find_pii(df, "doc_id", "text", redacted=True).collect(), key=str)
