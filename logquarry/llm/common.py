@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.workfolder import work_folder as work_dir
 
-__all__ = ["broadcast_if_small", "stored", "text_bytes", "work_dir"]
+__all__ = ["broadcast_if_small", "discard", "stored", "text_bytes", "work_dir"]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, or in a ``folder`` made there, and read again.
 
     It cuts the lineage in a way that a lost executor can't undo, and fixes
     rows whose values (generated ids) must not be computed twice.
     """
     spark = df.sparkSession
-    path = work_dir(spark)
+    path = f"{folder}/{uuid.uuid4().hex}" if folder else work_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a work folder whose tables nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     """Hint a broadcast of a table of ``rows`` narrow rows only if they are few; else Spark shuffles both sides."""
     return F.broadcast(df) if rows <= most else df
