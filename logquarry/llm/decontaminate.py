@@ -1,40 +1,54 @@
-"""Benchmark decontamination with one Aho-Corasick automaton.
-
-All windows of the benchmark go into one automaton over normalised text, in
-which a space stands before, between and after the words. A document is
-normalised once and read once; every occurrence maps back from normalised
-offsets to word numbers, and from those to offsets of the original text.
-
-The benchmark is the stated query set. It is read in blocks of bounded size;
-each block is broadcast and read against all documents, and the hit words of
-several blocks are joined per document. One block is the usual case.
+"""Benchmark decontamination with an Aho-Corasick automaton over word numbers.
+
+A document word is hit when it lies in WINDOW consecutive words that also
+follow each other in a benchmark item, or in the words of a shorter item. The
+automaton's letters are words, by number. Of a long item it holds every ANCHOR
+words from a multiple of ANCHOR on: each window has one of these inside, so an
+occurrence of an anchor is compared with the item around it, WINDOW - ANCHOR
+words to both sides, and what agrees over WINDOW words or more is hit. That is
+a node for each word of the benchmark, where whole windows would take WINDOW.
+A text is read once, and word numbers map back to offsets of the original.
+
+The benchmark is the stated query set. It is cut into segments that overlap by
+a window less a word and stored in files of about BLOCK_BYTES; tasks read these
+from the shared folder. A benchmark of one file, the usual case, is one
+automaton that a worker builds once. Of a larger one a task holds HELD_BYTES of
+documents and takes them through one automaton after the other, so documents
+are scanned once, nothing is broadcast, and memory does not grow with the
+benchmark; only time does.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logquarry.llm.common import stored, text_bytes
+from logquarry.llm.common import text_bytes, work_dir
 
 WINDOW = 13
-#: Bytes of benchmark text in one automaton. A trie node a character of each window makes that some 150 MB.
-BLOCK_BYTES = 256 << 10
+ANCHOR = (WINDOW + 1) // 2
+#: Bytes of benchmark text in one automaton, which is some 30 times as large, and words of a segment.
+BLOCK_BYTES, SEGMENT_WORDS = 8 << 20, 1 << 14
+#: Bytes of documents that a task holds while it goes through several automata.
+HELD_BYTES = 64 << 20
 
 #: Maps A-Z to a-z and every ASCII byte that is neither letter nor digit to a space.
 _NORMAL = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
 _WORD = re.compile(rb"[^ ]+")
-_automata: dict[str, ahocorasick.Automaton] = {}
+#: The block that a worker built last.
+_built: dict[str, Block] = {}
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -42,42 +56,58 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_NORMAL).split()
 
 
-def windows_of(raw: bytes, size: int = WINDOW) -> set[bytes]:
-    w = words_of(raw)
-    return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
-
-
-def automaton(key: str, items: list[tuple[str, bytes]]) -> ahocorasick.Automaton:
-    """Over all windows of the items; built once per worker. Values: (length, item numbers)."""
-    if key not in _automata:
-        _automata.clear()
-        of: dict[bytes, list[int]] = {}
-        for n, (_, raw) in enumerate(items):
-            for w in windows_of(raw):
-                of.setdefault(w, []).append(n)
-        a = ahocorasick.Automaton()
-        for w, n in of.items():
-            a.add_word(f" {w.decode('latin-1')} ", (len(w) + 2, tuple(n)))
-        if of:
-            a.make_automaton()
-        _automata[key] = a
-    return _automata[key]
-
-
-def hits(raw: bytes, a: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set[int]]:
-    """Number of words, merged spans of hit words (end exclusive), numbers of the items found."""
+def segments_of(raw: bytes, size: int = SEGMENT_WORDS) -> Iterator[bytes]:
+    """The words of an item in pieces that hold all its windows; no words, no piece."""
     w = words_of(raw)
-    if not w or not len(a):
-        return len(w), [], set()
-    text, found, spans = f" {b' '.join(w).decode('latin-1')} ", set(), []
-    for end, (length, items) in a.iter(text):
-        found.update(items)
-        spans.append((end - length + 1, end))
-    if not spans:
-        return len(w), [], found
-    gaps = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-    at = np.searchsorted(gaps, np.array(spans))
-    return len(w), merged([(int(s), int(e)) for s, e in at]), found
+    for i in range(0, max(1, len(w) - WINDOW + 1), size):
+        if w:
+            yield b" ".join(w[i : i + size + WINDOW - 1])
+
+
+class Block:
+    """The automaton of some segments (item, words). Its values: for an anchor's or a short item's occurrence, where it stands in ``words`` and in which items."""
+
+    def __init__(self, segments: Iterable[tuple[str, bytes]]):
+        self.numbers: dict[bytes, int] = {}
+        self.words = [-1] * WINDOW
+        # pattern -> (words around it, if it is an anchor) -> [place, items]
+        patterns: dict[tuple, dict[tuple, list]] = {}
+        for item, text in segments:
+            w = [self.numbers.setdefault(x, len(self.numbers) + 1) for x in text.split()]
+            first, short = len(self.words), len(w) < WINDOW
+            self.words += (*w, *[-1] * WINDOW)
+            for i in (0,) if short else range(0, len(w) - ANCHOR + 1, ANCHOR):
+                at = first + i
+                around = () if short else tuple(self.words[at + ANCHOR - WINDOW : at + WINDOW])
+                patterns.setdefault(tuple(w if short else w[i : i + ANCHOR]), {}).setdefault(around, [None if short else at, set()])[1].add(item)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, uses in patterns.items():
+            self.automaton.add_word(key, (len(key), list(uses.values())))
+        if patterns:
+            self.automaton.make_automaton()
+
+    def hits(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Spans of hit words of a text (end exclusive, unordered) and the items found."""
+        spans: list[tuple[int, int]] = []
+        items: set[str] = set()
+        if not len(self.automaton) or not w:
+            return spans, items
+        seq, own = tuple(map(self.numbers.get, w, repeat(0))), self.words
+        for end, (length, uses) in self.automaton.iter(seq):
+            start, stop = end - length + 1, end + 1
+            for at, names in uses:
+                lo, hi = start, stop
+                if at is not None:
+                    far = at - start
+                    while lo > 0 and start - lo < WINDOW - ANCHOR and seq[lo - 1] == own[far + lo - 1]:
+                        lo -= 1
+                    while hi < len(seq) and hi - stop < WINDOW - ANCHOR and seq[hi] == own[far + hi]:
+                        hi += 1
+                    if hi - lo < WINDOW:
+                        continue
+                spans.append((lo, hi))
+                items |= names
+        return spans, items
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -91,88 +121,93 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def char_spans(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Word spans as code-point offsets of the original text."""
+    """Sorted word spans as code-point offsets of the original text."""
     if not spans:
         return []
     at = [(m.start(), m.end()) for m in _WORD.finditer(raw.translate(_NORMAL))]
-    points = lambda b: len(raw[:b].decode())
-    return [(points(at[s][0]), points(at[e - 1][1])) for s, e in spans]
+    out, byte, point = [], 0, 0
+    for edge in (x for s, e in spans for x in (at[s][0], at[e - 1][1])):
+        point += len(raw[byte:edge].decode())
+        byte = edge
+        out.append(point)
+    return list(zip(out[::2], out[1::2], strict=True))
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of about ``most`` bytes; only one is on the driver at a time."""
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("string"), text_bytes(F.col(f"`{text_col}`"))).toLocalIterator()
-    block, size = [], 0
-    for item, raw in rows:
-        block.append((item, bytes(raw)))
-        size += len(raw)
-        if size >= most:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _stored_blocks(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> str:
+    """The folder of the files of segments (item, words)."""
+    rows = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), text_bytes(F.col(f"`{text_col}`")).alias("raw"))
+    total = rows.agg(F.sum(F.length("raw"))).first()[0] or 0
 
-
-_SHAPE = "uid long, n_words long, starts array<int>, ends array<int>, items array<string>, chars array<int>"
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, raw in zip(b.column("item").to_pylist(), b.column("raw"), strict=True):
+                found = list(segments_of(raw.as_py()))
+                yield pa.record_batch([pa.array([item] * len(found), pa.string()), pa.array(found, pa.binary())], names=["item", "words"])
+
+    folder = work_dir(spark)
+    rows.mapInArrow(cut, "item string, words binary").repartition(-(-total // block_bytes) or 1).write.parquet(folder)
+    return folder
+
+
+def _block(folder: str, name: str) -> Block:
+    key = f"{folder}/{name}"
+    if key not in _built:
+        _built.clear()
+        where, root = pafs.FileSystem.from_uri(folder)
+        t = pq.read_table(f"{root}/{name}", filesystem=where)
+        _built[key] = Block(zip(t["item"].to_pylist(), t["words"].to_pylist(), strict=True))
+    return _built[key]
+
+
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    group, size = [], 0
+    for b in batches:
+        group.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def find_passages(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: its id, n_words, spans of hit words, their character offsets (flat: start, end, start, ...), items found.
 
-    A null text has no words; an empty benchmark hits nothing. An item with a
-    null id is named "". Two rows with one document id stay two rows.
+    Whole texts are read, long ones as well; a null or empty text has no
+    words. An empty benchmark hits nothing, an empty table has no rows. An
+    item with a null id is named "", and items that share an id count as one.
+    Spans that overlap or touch are one, and so ties cannot arise. Two rows
+    with one document id stay two rows. Other columns are not looked at.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    shape = f"id {id_type}, n_words long, starts array<int>, ends array<int>, items array<string>, chars array<int>"
-
-    def scan(d: DataFrame, block: list[tuple[str, bytes]]) -> DataFrame:
-        key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(block)
-
-        def run(batches):
-            a, names = automaton(key, sent.value), [x[0] or "" for x in sent.value]
-            for b in batches:
-                out: list[list] = [[], [], [], [], []]
-                for raw in b.column(1):
-                    raw = raw.as_py()
-                    n, spans, items = hits(raw, a)
-                    for o, x in zip(out, (n, [s for s, _ in spans], [e for _, e in spans], sorted({names[i] for i in items}), [p for se in char_spans(raw, spans) for p in se]), strict=True):
-                        o.append(x)
-                ints = pa.list_(pa.int32())
-                yield pa.record_batch([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], ints), pa.array(out[2], ints), pa.array(out[3], pa.list_(pa.string())), pa.array(out[4], ints)], names=["id", "n_words", "starts", "ends", "items", "chars"])
-
-        return d.mapInArrow(run, shape.replace(f"id {id_type}", f"id {d.schema['id'].dataType.simpleString()}"))
-
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_bytes(F.col(f"`{text_col}`")).alias("raw"))
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    first, second = next(blocks, []), next(blocks, None)
-    if second is None:
-        return scan(rows, first).withColumnRenamed("id", id_col)
-    # More than one block: rows get a number of their own, as ids may repeat.
-    rows = stored(rows.withColumn("uid", F.monotonically_increasing_id()))
-    numbered = rows.select(F.col("uid").alias("id"), "raw")
-    parts = [scan(numbered, b) for b in (first, second)] + [scan(numbered, b) for b in blocks]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-
-    def join_spans(batches):
-        for b in batches:
-            out = [[], [], []]
-            for s, e, c in zip(b.column("starts").to_pylist(), b.column("ends").to_pylist(), b.column("chars").to_pylist(), strict=True):
-                words = merged([x for ss, ee in zip(s, e, strict=True) for x in zip(ss, ee, strict=True)])
-                points = merged([x for cc in c for x in zip(cc[::2], cc[1::2], strict=True)])
-                out[0].append([x for x, _ in words])
-                out[1].append([x for _, x in words])
-                out[2].append([p for x in points for p in x])
-            ints = pa.list_(pa.int32())
-            yield pa.record_batch([b.column("uid"), b.column("n_words"), pa.array(out[0], ints), pa.array(out[1], ints), b.column("items"), pa.array(out[2], ints)], names=["uid", "n_words", "starts", "ends", "items", "chars"])
-
-    joined = (
-        every.groupBy(F.col("id").alias("uid"))
-        .agg(F.max("n_words").alias("n_words"), F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("chars").alias("chars"))
-        .mapInArrow(join_spans, _SHAPE)
-    )
-    return rows.select("uid", "id").join(joined, "uid").drop("uid").withColumnRenamed("id", id_col)
+    folder = _stored_blocks(spark, benchmark, item_col, item_text_col, block_bytes)
+    ints = T.ArrayType(T.IntegerType())
+    shape = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("starts", ints), T.StructField("ends", ints), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("chars", ints)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = pafs.FileSystem.from_uri(folder)
+        names = sorted(f.base_name for f in where.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".parquet"))
+        for group in _held(batches, HELD_BYTES if len(names) > 1 else 0):
+            texts = [raw for b in group for raw in b.column(1)]
+            n, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+            for name in names:
+                block = _block(folder, name)
+                for i, raw in enumerate(texts):
+                    w = words_of(raw.as_py())
+                    n[i], found = len(w), block.hits(w)
+                    spans[i] += found[0]
+                    items[i] |= found[1]
+            names = names[::-1]  # the next group begins with the automaton that is there
+            done = 0
+            for b in group:
+                part = slice(done, done + b.num_rows)
+                done += b.num_rows
+                words = [merged(s) for s in spans[part]]
+                chars = [[p for se in char_spans(raw.as_py(), s) for p in se] if s else [] for raw, s in zip(texts[part], words, strict=True)]
+                lists = pa.list_(pa.int32())
+                yield pa.record_batch([b.column(0), pa.array(n[part], pa.int64()), pa.array([[x for x, _ in s] for s in words], lists), pa.array([[x for _, x in s] for s in words], lists), pa.array([sorted(x) for x in items[part]], pa.list_(pa.string())), pa.array(chars, lists)], names=shape.names)
+
+    return docs.select(F.col(f"`{id_col}`"), text_bytes(F.col(f"`{text_col}`")).alias("raw")).mapInArrow(run, shape)
 
 
 def judged(found: DataFrame) -> DataFrame:
