@@ -31,6 +31,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     commands.add_parser("tail", help="print entries as they arrive")
     commands.add_parser("labels", help="names of all labels")
     commands.add_parser("metrics", help="totals of the table")
+    commands.add_parser("index", help="bring the keyword index up to date")
     commands.add_parser("version")
     return top.parse_args(argv)
 
@@ -47,7 +48,7 @@ def main(argv: list[str] | None = None) -> int:
 
     settings = load_config(a.config)
     spark = SparkSession.builder.appName("logquarry").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    e = LogEngine(spark, a.data or settings.data_dir, jobs=settings.jobs())
+    e = LogEngine(spark, a.data or settings.data_dir, jobs=settings.jobs(), positions=settings.positions_path)
     if a.command == "query":
         rows = render.text_lines(e.query(a.keyword, a.start, a.end, settings.default_query_limit if a.limit is None else a.limit)).collect()
         print(*(r.text for r in rows), f"found {len(rows)} results", sep="\n")
@@ -57,6 +58,8 @@ def main(argv: list[str] | None = None) -> int:
         print(render.list_json(r.name for r in e.labels().collect()))
     elif a.command == "metrics":
         print(e.metrics_text(), end="")
+    elif a.command == "index":
+        print(f"{e.index_terms()} files added")
     elif a.command == "ingest":
         files = a.files or [p for j in settings.jobs() for p in j["paths"]]
         stream = e.follow(files, a.checkpoint, a.earliest, every=f"{settings.flush_interval_ms} milliseconds")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,22 +33,38 @@ def _bound(value: Time, read: Callable[[str], int | None]) -> int | None:
 class LogEngine:
     """Queries over a table of log entries, at a path that is also written, or given as a DataFrame.
 
-    Every read returns a DataFrame that hasn't run yet.
+    Every read returns a DataFrame that hasn't run yet. ``promoted`` names
+    labels that are stored as columns; writers and readers of one table may
+    promote different ones. ``positions`` is a JSON file of read offsets that
+    followed files start from, and ``strict`` fails on broken stored files
+    instead of passing over them.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, entries: DataFrame | None = None, promoted: Sequence[str] = (), jobs: Sequence[Mapping] = ()):
+    def __init__(self, spark: SparkSession, path: str | None = None, entries: DataFrame | None = None, promoted: Sequence[str] = (), jobs: Sequence[Mapping] = (), positions: str = "", strict: bool = False):
         self.spark, self.path, self._entries = spark, path, entries
-        self.promoted, self.jobs = frozenset(promoted), list(jobs)
+        self.promoted, self.jobs, self.positions, self.strict = frozenset(promoted), list(jobs), positions, strict
+        self.started = time.time()
 
     @property
     def entries(self) -> DataFrame:
-        return self._entries if self._entries is not None else table.open_table(self.spark, self.path)
+        return self._entries if self._entries is not None else table.open_table(self.spark, self.path, sorted(self.promoted), self.strict)
+
+    @property
+    def label_sets(self) -> DataFrame:
+        """Entries, or of a stored table the kept catalogue, where label sets are concerned."""
+        if self._entries is not None:
+            return self._entries
+        try:
+            return table.open_series(self.spark, self.path)
+        except AnalysisException:  # written without a catalogue
+            return self.entries
 
     # Reading
 
     def query(self, keyword: str | None = None, start: Time = None, end: Time = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
         """Entries whose message holds the keyword in either case; times are dates or nanoseconds, both inclusive (a date is its midnight)."""
-        rows = within(self.entries, _bound(start, parse_datetime), _bound(end, parse_datetime))
+        rows = self.entries if keyword is None or self._entries is not None else table.open_for_keyword(self.spark, self.path, f"{self.path}/_terms", keyword, sorted(self.promoted))
+        rows = within(rows, _bound(start, parse_datetime), _bound(end, parse_datetime))
         if keyword is not None:
             rows = rows.where(contains_folded("message", keyword))
         return ordered(rows, limit)
@@ -64,7 +82,7 @@ class LogEngine:
         q = q if tenant is None else q.scoped(ingest.tenant_id(tenant))
         since, until = _bound(start, parse_timestamp), _bound(end, parse_timestamp)
         if q.metric:
-            return metric(self.entries, q, since, until, parse_step(step) if isinstance(step, str) else step, sliding, regex)
+            return metric(self.entries, q, since, until, parse_step(step) if isinstance(step, str) else step, sliding, regex, self.promoted)
         return ordered(selected(self.entries, q, since, until, regex, self.promoted), q.row_limit(limit), direction)
 
     #: An instant query is a range query without a window of its own.
@@ -85,24 +103,28 @@ class LogEngine:
         return catalog.label_values(self._of(tenant), name).orderBy("value")
 
     def series(self, tenant: str | None = ingest.DEFAULT_TENANT) -> DataFrame:
-        return catalog.series(self.entries, tenant).orderBy("stream_fp")
+        return catalog.series(self.label_sets, tenant).orderBy("stream_fp")
 
     def metrics(self) -> dict[str, int]:
-        """Entries, bytes and files of the table."""
-        t = catalog.totals(self.entries).first()
-        files = self.entries.select(F.col("_metadata.file_path").alias("f")).distinct().count() if self._entries is None else 0
-        return {"log_entries_total": t["entries"], "log_bytes_total": t["bytes"], "chunks_total": files}
+        """Entries, bytes and files of the table, seconds since this engine began, streams that run."""
+        t = catalog.totals(self.label_sets).first()
+        files = len(self.entries.inputFiles()) if self._entries is None else 0
+        return {"log_entries_total": t["entries"], "log_bytes_total": t["bytes"], "chunks_total": files, "uptime_seconds": int(time.time() - self.started), "active_connections": len(self.spark.streams.active)}
 
     def metrics_text(self) -> str:
         return render.exposition(self.metrics())
 
     def _of(self, tenant: str | None) -> DataFrame:
-        return self.entries if tenant is None else selected(self.entries, Query().scoped(tenant))
+        return self.label_sets if tenant is None else selected(self.label_sets, Query().scoped(tenant))
+
+    def index_terms(self) -> int:
+        """Brings the keyword index up to date; later queries skip files by it. Says how many files were new."""
+        return table.build_terms(self.spark, self.path, f"{self.path}/_terms")
 
     # Writing
 
     def ingest_lines(self, text: DataFrame | str, column: str = "text", source: str = ingest.HTTP_SOURCE) -> DataFrame:
-        """Appends the lines of a text, or of a column of texts, and returns them."""
+        """Appends the lines of a text, or of a column of texts, and returns them as read."""
         df = self.spark.createDataFrame([(text,)], f"{column} string") if isinstance(text, str) else text
         lines = ingest.split_lines(df, column, source)
         return self._append(ingest.enriched(ingest.parsed(lines), self._labels()))
@@ -128,8 +150,9 @@ class LogEngine:
     # Streams
 
     def follow(self, paths: Sequence[str], checkpoint: str, earliest: bool = False, **options) -> StreamingQuery:
-        """Tails files into the table."""
-        return tail.ingest(tail.tailed(self.spark, paths, self.jobs, earliest), self.path, checkpoint, **options)
+        """Tails files into the table, which other writers may add to meanwhile."""
+        stream = tail.tailed(self.spark, paths, self.jobs, earliest, self.positions)
+        return tail.ingest(stream, self.path, checkpoint, promote=sorted(self.promoted), **options)
 
     def tail(self, notify: Callable[[DataFrame, int], None], query: str | None = None, history: bool = False) -> StreamingQuery:
         """Calls ``notify`` with each batch of entries added to the table from now on, with ``history`` also those already there."""

@@ -50,3 +50,8 @@ def stored_size() -> Column:
     """Bytes of an entry in the chunk format: fixed fields, source, encoded labels, message."""
     joined = F.array_join(F.transform("labels", lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
     return F.octet_length("source") + F.octet_length(joined) + F.octet_length("message") + 16
+
+
+def arrival(df: DataFrame) -> list[str]:
+    """Columns that tell in which order entries arrived: the stored table's batches first."""
+    return ["batch", "seq"] if "batch" in df.columns else ["seq"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions.text import folded, tokens
-from logquarry.model import label, stored_size
+from logquarry.model import arrival, label, stored_size
 
 SEPARATOR = "\x1f"
 
@@ -35,7 +35,7 @@ def with_stream(df: DataFrame) -> DataFrame:
 
 def streams(df: DataFrame) -> DataFrame:
     """One row per stream of a bounded query result: stream_fp, stream, values in order of time and arrival."""
-    value = F.struct("ts_ns", "seq", "message")
+    value = F.struct("ts_ns", *arrival(df), "message")
     return with_stream(df).groupBy("stream_fp").agg(F.first("stream").alias("stream"), F.sort_array(F.collect_list(value)).alias("values"))
 
 
@@ -59,7 +59,9 @@ def series(df: DataFrame, tenant: str | None = None) -> DataFrame:
 
 
 def totals(df: DataFrame) -> DataFrame:
-    """Entries and their bytes in the chunk format."""
+    """Entries and their bytes in the chunk format, of entries or of the kept catalogue."""
+    if {"entries", "bytes"} <= set(df.columns):
+        return df.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
     return df.agg(F.count("*").alias("entries"), F.coalesce(F.sum(stored_size()), F.lit(0)).cast("long").alias("bytes"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions.text import contains_folded
-from logquarry.model import first_label
+from logquarry.model import arrival, first_label
 from logquarry.plans.language import LineFilter, Matcher, Query
 
 #: The tenant of entries without a tenant label.
@@ -34,12 +34,13 @@ def within(df: DataFrame, from_ns: int | None, to_ns: int | None) -> DataFrame:
 def label_value(name: str, promoted: frozenset[str] = frozenset()) -> Column:
     """What a matcher sees: source and filename are the entry's source, an untagged entry has the default tenant.
 
-    ``promoted`` names labels that the table also stores as columns, which a
-    filter on them can use to skip row groups.
+    ``promoted`` names labels that the table also stores as columns; where a
+    column is null, as in files of a writer that did not promote it, the label
+    itself is looked up.
     """
     if name in ("source", "filename"):
         return F.col("source")
-    value = F.col(name) if name in promoted else first_label(name)
+    value = F.coalesce(F.col(name), first_label(name)) if name in promoted else first_label(name)
     return F.coalesce(value, F.lit(DEFAULT_TENANT)) if name == "tenant" else value
 
 
@@ -52,6 +53,9 @@ def matches(m: Matcher, regex: bool = False, promoted: frozenset[str] = frozense
         hit = F.rlike(value, F.lit(f"^(?:{m.value})$"))
     else:
         hit = contains_folded(value, m.value)
+    if m.op == "=" and m.name in promoted and m.name not in ("source", "filename"):
+        # this half reaches the scan, where statistics skip row groups
+        hit = ((F.col(m.name) == F.lit(m.value)) | F.col(m.name).isNull()) & hit
     # a null is no match to WHERE, and a bare comparison reaches the scan
     return hit if m.op[0] == "=" else F.coalesce(~hit, F.lit(True))
 
@@ -74,6 +78,6 @@ def selected(df: DataFrame, query: Query, from_ns: int | None = None, to_ns: int
 
 def ordered(df: DataFrame, limit: int = 0, direction: str = "forward") -> DataFrame:
     """The first ``limit`` rows by time and arrival (0: all), or the last ones first."""
-    by = [F.col(c).desc() if direction == "backward" else F.col(c) for c in ("ts_ns", "seq")]
+    by = [F.col(c).desc() if direction == "backward" else F.col(c) for c in ("ts_ns", *arrival(df))]
     df = df.orderBy(*by)
     return df.limit(limit) if limit else df

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logquarry import render
 from logquarry.engine import LogEngine
 from logquarry.functions.text import contains_folded, tokens
 from logquarry.functions.times import SECOND
-from logquarry.model import label, no_labels
+from logquarry.model import first_label, label, no_labels
 from logquarry.operators import ingest
 from logquarry.plans import catalog
 from logquarry.plans.language import parse
 from logquarry.plans.predicates import selected
 from logquarry.sources import chunkfile, table
+from logquarry.sources.bytetail import ByteTail
 from logquarry.sources.mapping import EVENTS_SQL, event_entries
 from logquarry.streaming import tail
 from logquarry.workfolder import work_folder
@@ -35,7 +36,7 @@ _FP = """concat_ws(chr(31), 'job=' || job, 'level=' || level, 'source=' || sourc
 
 def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
     QUERIES[name] = run
-    SQL[name] = f"WITH {EVENTS_SQL} {sql}" if " e" in sql else sql
+    SQL[name] = f"WITH {EVENTS_SQL}{sql if sql.startswith(',') else ' ' + sql}" if " e" in sql else sql
 
 
 def _engine(spark: SparkSession, d: str) -> LogEngine:
@@ -133,10 +134,6 @@ _add("term_postings", lambda s, d: catalog.postings(event_entries(s, d), "day").
 _add("tokens_documents", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(F.explode(tokens("text")).alias("term")).groupBy("term").agg(F.count("*").alias("documents")), f"SELECT term, count(*) AS documents FROM (SELECT unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY 1")
 
 # Ingest
-
-
-
-
 def _json_lines(s: SparkSession, d: str) -> DataFrame:
     """Events written as JSON lines of several shapes, and read back."""
     e = s.read.parquet(f"{d}/events.parquet")
@@ -200,23 +197,113 @@ def _stored(s: SparkSession, d: str) -> str:
 
 
 def _terms(s: SparkSession, d: str) -> DataFrame:
-    path, terms = _stored(s, d), work_folder(s)
-    table.build_terms(s, path, terms)
-    found = table.open_for_keyword(s, path, terms, "error user=8 ")
-    return LogEngine(s, entries=found).query("error user=8 ", limit=0).select(*ROW)
+    e = LogEngine(s, _stored(s, d))
+    e.index_terms()
+    return e.query("error user=8 ", limit=0).select(*ROW)
 
 
-def _streamed(s: SparkSession, d: str, out: str, run: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+def _streamed(s: SparkSession, d: str, run: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """The rows that a stream over the stored table gives once all of it is read."""
-    path, out = _stored(s, d), f"{out}_{uuid.uuid4().hex}"
-    stream = s.readStream.schema(table.open_table(s, path).schema).parquet(path)
-    q = run(stream).writeStream.outputMode(mode).format("memory").queryName(out).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.table(out)
+    path, out = _stored(s, d), work_folder(s)
+    found = run(s.readStream.schema(table.schema()).parquet(path))
+    # in complete mode each batch has the whole result, and the last one stands
+    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    found.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(found.schema).parquet(out)
+
+
+def _log_files(s: SparkSession, lines: DataFrame) -> list[str]:
+    """Globs over text files of the lines in the shared folder, as a tail source opens them."""
+    path = work_folder(s)
+    lines.write.text(path)
+    return [path.removeprefix("file://") + "/part-*"]
+
+
+def _followed(s: SparkSession, d: str) -> DataFrame:
+    """Events added to one table by batch, by a followed file and by a push: errors, views and the rest."""
+    json = F.to_json(F.struct("message", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")))
+    events = event_entries(s, d).select(first_label("job").alias("job"), "message", json.alias("line"))
+    e = LogEngine(s, work_folder(s), promoted=["job", "tenant"])
+    e.ingest_lines(events.where("job = 'error'"), "line")
+    files = _log_files(s, events.where("job = 'view'").select("line"))
+    e.follow(files, work_folder(s), earliest=True, available_now=True).awaitTermination()
+    value = F.array(F.struct(F.struct(F.col("job").alias("job")).alias("stream"), F.array(F.array(F.lit("1"), "line")).alias("values")))
+    e.push(events.where("job not in ('error', 'view')").select(F.to_json(F.struct(value.alias("streams"))).alias("body")), tenant="team-a")
+    return e.query(limit=0).select("message", "ts_ns", F.coalesce(first_label("tenant"), F.lit("")).alias("tenant"))
+
+
+def _tailed(s: SparkSession, d: str) -> DataFrame:
+    """All lines of followed files, read in ranges of 100,000 bytes."""
+    s.dataSource.register(ByteTail)
+    files, out = _log_files(s, event_entries(s, d).select("message")), work_folder(s)
+    lines = s.readStream.format("bytetail").options(paths=files[0], startingOffset="earliest", rangeBytes="100000").load()
+    lines.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(out)).trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(lines.schema).parquet(out).select("line")
+
+
+def _subscribed(s: SparkSession, d: str) -> DataFrame:
+    """What a subscriber with a query of its own is told of."""
+    path, out = _stored(s, d), work_folder(s)
+    stream = s.readStream.schema(table.schema()).parquet(path)
+    q = tail.subscribe(stream, lambda batch, _: batch.select(*ROW).write.mode("append").parquet(out), parse('{job="purchase", level="warn"} != "user=1"'))
+    q.processAllAvailable()
+    q.stop()
+    return s.read.parquet(out)
+
+
+def _journals(s: SparkSession, d: str) -> DataFrame:
+    """Entries of journals, which are frames without a header, each with a frame at its end that was cut off."""
+    files = chunkfile.encoded(event_entries(s, d), compressed=False)
+    cut = files.select("path", F.expr("concat(substring(content, 33), X'0102030405')").alias("content"))
+    return chunkfile.decoded(cut, journal=True).select("ts_ns", "source", "message")
+
+
+def _text(s: SparkSession, text: str) -> DataFrame:
+    return s.createDataFrame([(text,)], "text string")
 
 
 _add("stored_range_and_label", lambda s, d: LogEngine(s, _stored(s, d), promoted=["job", "tenant"]).logql('{job="error"}', start=FROM, end=TO, limit=0, tenant="team-a").select(*ROW), f"SELECT {_ROW} FROM e WHERE {_IN} AND job = 'error' AND tenant = 'team-a'")
 _add("stored_keyword_index", _terms, f"SELECT {_ROW} FROM e WHERE contains({_MESSAGE}, 'error user=8 ')")
 _add("chunk_files", lambda s, d: chunkfile.decoded(chunkfile.encoded(event_entries(s, d))).select("ts_ns", "source", "message", catalog.fingerprint(F.col("labels")).alias("labels")), "SELECT ts_ns, source, message, concat_ws(chr(31), 'job=' || job, 'level=' || level, 'tenant=' || tenant) AS labels FROM e")
-_add("stream_tail", lambda s, d: _streamed(s, d, "stream_tail", lambda x: tail.frame_json(selected(x, parse('{job="error"} |= "user=8"'))), "append"), """SELECT '{"streams":[{"stream":{"source":"' || source || '"},"values":[["' || ts_ns || '","' || replace(message, '"', chr(92) || '"') || '"]]}]}' AS frame FROM e WHERE job = 'error' AND contains(message, 'user=8')""")
-_add("stream_metric", lambda s, d: _streamed(s, d, "stream_metric", lambda x: tail.running_metric(x, parse("sum by (level) (count_over_time({}[1h]))"), "1 hour"), "complete"), f"SELECT level, (ts_ns // {_HOUR}) * {_HOUR} AS ts_ns, count(*)::DOUBLE AS value FROM e GROUP BY ALL")
+_FRAME = """SELECT '{"streams":[{"stream":{"source":"' || source || '"},"values":[["' || ts_ns || '","' || replace(message, '"', chr(92) || '"') || '"]]}]}' AS frame FROM e WHERE job = 'error' AND contains(message, 'user=8')"""
+_add("stream_tail", lambda s, d: _streamed(s, d, lambda x: tail.frame_json(selected(x, parse('{job="error"} |= "user=8"'))), "append"), _FRAME)
+_add("stream_metric", lambda s, d: _streamed(s, d, lambda x: tail.running_metric(x, parse("sum by (level) (count_over_time({}[1h]))"), "1 hour"), "complete"), f"SELECT level, (ts_ns // {_HOUR}) * {_HOUR} AS ts_ns, count(*)::DOUBLE AS value FROM e GROUP BY ALL")
+_ESCAPED = """replace(message, '"', chr(92) || '"')"""
+_add("stream_events", lambda s, d: _streamed(s, d, lambda x: tail.event_json(x), "append"), f"""SELECT 'data: {{"ts":' || ts_ns || ',"src":"' || source || '","msg":"' || {_ESCAPED} || '"}}' || chr(10) || chr(10) AS event FROM e""")
+_add("stream_subscriber", _subscribed, f"SELECT {_ROW} FROM e WHERE job = 'purchase' AND NOT contains({_MESSAGE}, 'user=1')")
+_add("stored_after_follow", _followed, "SELECT message, ts_ns // 1000000000 * 1000000000 AS ts_ns, CASE WHEN job IN ('error', 'view') THEN '' ELSE 'team-a' END AS tenant FROM e")
+_add("tail_lines", _tailed, "SELECT message AS line FROM e")
+_add("journal_files", _journals, "SELECT ts_ns, source, message FROM e")
+_add("stored_series", lambda s, d: LogEngine(s, _stored(s, d)).series(None).select("stream_fp"), f"SELECT DISTINCT {_FP} AS stream_fp FROM e")
+_add("stored_label_values", lambda s, d: LogEngine(s, _stored(s, d)).label_values("job", "team-b"), "SELECT DISTINCT job AS value FROM e WHERE tenant = 'team-b'")
+_add("stored_label_names", lambda s, d: LogEngine(s, _stored(s, d)).labels("team-a"), "SELECT unnest(['job', 'level', 'source', 'tenant']) AS name")
+_add("stored_totals", lambda s, d: catalog.totals(LogEngine(s, _stored(s, d)).label_sets), f"SELECT count(*) AS entries, sum({_SIZE})::BIGINT AS bytes FROM e")
+_add("stored_tenant_metric", lambda s, d: LogEngine(s, _stored(s, d), promoted=["job", "tenant"]).logql('sum by (level) (rate({job="view"}[10m]))', start=FROM, end=TO, step="1h", tenant="team-b"), f"SELECT level, {_BUCKET.format(_HOUR)}, count(*) / 600.0::DOUBLE AS value FROM e WHERE {_IN} AND ts_ns < {TO} AND job = 'view' AND tenant = 'team-b' GROUP BY ALL")
+
+# Response texts: of a limited selection, of a metric, of the catalogue
+_add("text_lines", lambda s, d: render.text_lines(_engine(s, d).query(limit=0)).select("text"), "SELECT '[' || strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z] ' || source || ': ' || message AS text FROM e")
+_FIRST = "x AS (SELECT * FROM e WHERE job = 'error' AND tenant = 'team-a' ORDER BY ts_ns, seq LIMIT 60)"
+_LABELS = """'{"job":"' || job || '","level":"' || level || '","source":"' || source || '","tenant":"' || tenant || '"}'"""
+_add(
+    "response_streams", lambda s, d: _text(s, _engine(s, d).logql_json('{job="error"} | limit 60', tenant="team-a")),
+    f""", {_FIRST}, g AS (SELECT {_FP} AS fp, any_value({_LABELS}) AS labels, string_agg('["' || ts_ns || '","' || {_ESCAPED} || '"]', ',' ORDER BY ts_ns, seq) AS v FROM x GROUP BY 1)
+    SELECT '{{"status":"success","data":{{"resultType":"streams","result":[' || string_agg('{{"stream":' || labels || ',"values":[' || v || ']}}', ',' ORDER BY fp) || '],"stats":{{"summary":{{"bytesProcessed":0,"linesProcessed":0}}}}}}}}' AS text FROM g""",
+)
+_add(
+    "response_matrix", lambda s, d: _text(s, _engine(s, d).logql_json("sum by (level) (count_over_time({}[1m]))", start=FROM, end=TO, step=3600, tenant=None)),
+    f""", b AS (SELECT level, {_BUCKET.format(_HOUR)}, count(*) AS n FROM e WHERE {_IN} AND ts_ns < {TO} GROUP BY ALL),
+    g AS (SELECT level, string_agg('[' || (ts_ns // 1000000000) || '.000,"' || n || '"]', ',' ORDER BY ts_ns) AS v FROM b GROUP BY 1)
+    SELECT '{{"status":"success","data":{{"resultType":"matrix","result":[' || string_agg('{{"metric":{{"level":"' || level || '"}},"values":[' || v || ']}}', ',' ORDER BY level) || ']}}}}' AS text FROM g""",
+)
+_add("response_label_values", lambda s, d: _text(s, render.list_json(r.value for r in _engine(s, d).label_values("job").collect())), """SELECT '{"status":"success","data":[' || string_agg('"' || job || '"', ',' ORDER BY job) || ']}' AS text FROM (SELECT DISTINCT job FROM e)""")
+_add("response_series", lambda s, d: _text(s, render.series_json(_engine(s, d).series("team-b"))), f"""SELECT '{{"status":"success","data":[' || string_agg(labels, ',' ORDER BY fp) || ']}}' AS text FROM (SELECT DISTINCT {_FP} AS fp, {_LABELS} AS labels FROM e WHERE tenant = 'team-b')""")
+_add(
+    "response_native", lambda s, d: _text(s, render.native_json(_engine(s, d).logql('{job="error"}', limit=60, tenant="team-a"))),
+    f""", {_FIRST} SELECT '{{"count":' || count(*) || ',"results":[' || string_agg('{{"timestamp":' || ts_ns || ',"source":"' || source || '","message":"' || {_ESCAPED} || '","labels":{{"job":"' || job || '","level":"' || level || '","tenant":"' || tenant || '"}}}}', ',' ORDER BY ts_ns, seq) || ']}}' AS text FROM x""",
+)
+_add("response_error", lambda s, d: _text(s, _engine(s, d).logql_json("rate({})")), """SELECT '{"status":"error","errorType":"bad_request","error":"rate needs a range such as [5m]"}' AS text""")
+_HEADS = ["# HELP logquarry_{0} {1}\n# TYPE logquarry_{0} {2}\nlogquarry_{0} ".format(k, *v) for k, v in render.EXPORTED.items()]
+_add(
+    "response_exposition", lambda s, d: _text(s, render.exposition({f"log_{k}_total": v for k, v in catalog.totals(event_entries(s, d)).first().asDict().items()})),
+    f"SELECT '{_HEADS[0]}' || count(*) || '\n{_HEADS[1]}' || sum({_SIZE})::BIGINT || '\n{_HEADS[2]}0\n{_HEADS[3]}0\n{_HEADS[4]}0\n' AS text FROM e",
+)

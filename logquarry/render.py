@@ -69,11 +69,11 @@ def text_lines(df: DataFrame) -> DataFrame:
 
 #: Name, help and type of each exported number.
 EXPORTED = {
-    "log_entries_total": ("Total number of log entries ingested.", "counter"),
-    "log_bytes_total": ("Total bytes of log data written.", "counter"),
-    "chunks_total": ("Total number of chunk files created.", "counter"),
-    "uptime_seconds": ("Server uptime in seconds.", "gauge"),
-    "active_connections": ("Number of active HTTP connections.", "gauge"),
+    "log_entries_total": ("Entries in the table.", "counter"),
+    "log_bytes_total": ("Size of all entries in the chunk format, in bytes.", "counter"),
+    "chunks_total": ("Parquet files of the table.", "counter"),
+    "uptime_seconds": ("Seconds since this engine was made.", "gauge"),
+    "active_connections": ("Streaming queries that run in the session.", "gauge"),
 }
 
 

@@ -3,7 +3,8 @@
 Spark's own file source reads each file once and misses what is appended
 later. Here the offset of a batch is {path: bytes read}, always after a line
 feed, so a line that is still being written waits for its end. A file that
-has become smaller than its offset is read from the start again.
+has become smaller than its offset is read from the start again; one that is
+missing or can't be read keeps its offset.
 
 The driver only looks at sizes and at the ends of files; the tasks read, each
 the lines that begin in its range, so a long backlog spreads over executors.
@@ -16,13 +17,14 @@ Where they are on other machines, the files must be on a folder all of them see.
 from __future__ import annotations
 
 import glob
-import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from logquarry.config import Positions
+
 #: Bytes of a file that one task reads.
 RANGE_BYTES = 64 << 20
 _BLOCK = 1 << 16
@@ -59,25 +61,37 @@ class TailReader(DataSourceStreamReader):
         self.latest = options.get("startingOffset", "latest") == "latest"
         self.positions = options.get("positions", "")
         self.range = int(options.get("rangeBytes", RANGE_BYTES))
+        #: Offsets that files had last: one that can't be read for a while goes on from there.
+        self.known: dict[str, int] = {}
+        #: Those that only the log of an earlier run knows.
+        self.away: dict[str, int] = {}
 
     def _files(self) -> list[str]:
         """Paths as written, or what a glob finds now."""
         return sorted({f for p in self.patterns for f in (glob.glob(p) or ([] if glob.has_magic(p) else [p]))})
 
     def initialOffset(self) -> dict:
-        saved = {}
-        if self.positions and os.path.exists(self.positions):
-            with open(self.positions) as f:
-                saved = json.load(f)
-        return {p: saved[p] if p in saved else _last_line_end(p) if self.latest else 0 for p in self._files()}
+        saved = Positions(self.positions).load().offsets
+        start = {}
+        for p in self._files():
+            end = _last_line_end(p)
+            start[p] = saved[p] if p in saved else (end or 0) if self.latest else 0
+        return self._seen(start)
 
     def latestOffset(self) -> dict:
-        return {p: _last_line_end(p) for p in self._files()}
+        ends = {p: _last_line_end(p) for p in self._files()}
+        return self._seen({p: e for p, e in ends.items() if e is not None})
+
+    def _seen(self, ends: dict) -> dict:
+        self.known |= ends
+        return dict(self.known)
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+        self.away |= {p: at for p, at in start.items() if p not in end}
+        self.known = {**self.away, **self.known}
         found = []
         for path, stop in end.items():
-            first = start.get(path, 0)
+            first = start.get(path, self.away.get(path, 0))
             first = first if first <= stop else 0  # the file was cut
             found += [ByteRange(path, first, a, min(a + self.range, stop), stop) for a in range(first, stop, self.range)]
         return found
@@ -86,11 +100,7 @@ class TailReader(DataSourceStreamReader):
         return lines(partition)
 
     def commit(self, end: dict) -> None:
-        if self.positions:
-            part = self.positions + ".tmp"
-            with open(part, "w") as f:
-                json.dump(end, f)
-            os.replace(part, self.positions)
+        Positions(self.positions, dict(end)).save()
 
 
 def lines(p: ByteRange) -> Iterator[tuple]:
@@ -120,8 +130,8 @@ def lines(p: ByteRange) -> Iterator[tuple]:
         return
 
 
-def _last_line_end(path: str) -> int:
-    """The offset after the last line feed, found from the end."""
+def _last_line_end(path: str) -> int | None:
+    """The offset after the last line feed, found from the end; none if the file can't be read."""
     try:
         with open(path, "rb") as f:
             stop = f.seek(0, os.SEEK_END)
@@ -132,6 +142,6 @@ def _last_line_end(path: str) -> int:
                 if at >= 0:
                     return start + at + 1
                 stop = start
+            return 0
     except OSError:
-        pass
-    return 0
+        return None

@@ -113,8 +113,8 @@ def read_chunks(spark: SparkSession, path: str, journal: bool = False, ignore_co
     files by name and entries by place.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    # one row per file, in name order
-    numbers = files.select("path").orderBy("path").withColumn("file", F.monotonically_increasing_id())
+    # one row per file, in name order; of at most 512 ranges, so that a number of 42 bits leaves 20 for the place
+    numbers = files.select("path").repartitionByRange(512, "path").sortWithinPartitions("path").withColumn("file", F.monotonically_increasing_id())
     rows = decoded(files, journal, ignore_corrupt).join(numbers, "path").withColumn("seq", F.shiftleft("file", 20) + F.col("at"))
     return with_time(rows.select("seq", "ts_ns", "source", "message", F.col("message").alias("raw_line"), "labels"))
 

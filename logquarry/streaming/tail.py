@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from logquarry.operators.ingest import enriched, entries, label_table, parsed
 from logquarry.plans.language import Query
 from logquarry.plans.metrics import group_label
 from logquarry.plans.predicates import selected
+from logquarry.sources import table
 from logquarry.sources.bytetail import ByteTail
 
 #: A live-tail event above this many bytes is left out.
@@ -23,14 +25,26 @@ def tailed(spark: SparkSession, paths: Sequence[str], jobs: Sequence[Mapping] =
     spark.dataSource.register(ByteTail)
     options = {"paths": ",".join(paths), "startingOffset": "earliest" if earliest else "latest", "positions": positions}
     lines = spark.readStream.format("bytetail").options(**options).load()
-    table = label_table(spark, jobs) if jobs else None
-    return entries(enriched(parsed(lines), table), F.col("at"))
+    return entries(enriched(parsed(lines), label_table(spark, jobs) if jobs else None), F.col("at"))
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, every: str = "1 second", available_now: bool = False) -> StreamingQuery:
-    """Appends a stream of entries to the table, each entry exactly once across restarts, by the sink's commit log."""
-    writer = stream.writeStream.format("parquet").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+def ingest(stream: DataFrame, path: str, checkpoint: str, every: str = "1 second", available_now: bool = False, promote: Sequence[str] = ()) -> StreamingQuery:
+    """Appends a stream of entries to the table, each entry exactly once across restarts.
+
+    A batch that Spark runs again has the same rows, time and number, so the
+    same name, and takes the place of the first attempt. seq becomes the place
+    in the batch.
+    """
+    writer = f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+
+    def add(batch: DataFrame, number: int) -> None:
+        if first := batch.head(1):
+            rows = batch.drop("arrived").withColumn("seq", F.monotonically_increasing_id())
+            table.append(rows, path, promote, batch=table.batch_name(first[0].arrived, f"{writer}-{number}"))
+
+    timed = stream.withColumn("arrived", F.unix_micros(F.current_timestamp()))  # the batch's time, also when it is run again
+    out = timed.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=every)).start()
 
 
 def subscribe(stream: DataFrame, notify: Callable[[DataFrame, int], None], query: Query | None = None, checkpoint: str | None = None) -> StreamingQuery:
@@ -58,5 +72,7 @@ def running_metric(stream: DataFrame, query: Query, step: str = "60 seconds", la
     names = list(query.metric.by)
     rows = selected(stream, query).select("ts", *(group_label(n).alias(n) for n in names)).withWatermark("ts", late)
     counted = rows.groupBy(*names, F.window("ts", step).alias("w")).agg(F.count("*").alias("n"))
-    value = F.col("n").cast("double") / F.lit(float(query.metric.range_s or 1)) if query.metric.op == "rate" else F.col("n").cast("double")
+    value = F.col("n").cast("double")
+    if query.metric.op == "rate":
+        value = value / F.lit(float(query.metric.range_s)) if query.metric.range_s else F.lit(float("inf"))
     return counted.select(*names, (F.unix_micros("w.start") * 1000).alias("ts_ns"), value.alias("value"))

@@ -108,7 +108,7 @@ def test_scan_gets_bounds_columns_and_promoted_labels(spark, rows, tmp_path):
     df = e.logql('{job="a"}', start=100 * S, end=900 * S, limit=0).select("seq")
     assert sorted(r.seq for r in df.collect()) == sorted(r[0] for r in rows if 100 * S <= r[1] <= 900 * S and model(r, parse('{job="a",tenant="default"}').matchers, ()))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(ts_ns,100000000000)" in plan and "EqualTo(job,a)" in plan and "PartitionFilters: [isnotnull(day" in plan and "raw_line" not in plan
+    assert "GreaterThanOrEqual(ts_ns,100000000000)" in plan and "Or(EqualTo(job,a),IsNull(job))" in plan and "PartitionFilters: [isnotnull(day" in plan and "raw_line" not in plan
     assert "Exchange rangepartitioning" in plan and "Python" not in plan
 
 
@@ -125,3 +125,33 @@ def test_keyword_index_never_loses_a_match(spark, rows, tmp_path):
     few = table.open_for_keyword(spark, path, terms, "disk nearly full")
     assert len(few.inputFiles()) == 1 < len(table.open_table(spark, path).inputFiles())
     assert table.open_table(spark, path).where(F.col("day").isNull()).count() == 0
+    assert table.open_for_keyword(spark, path, terms, "disk nearly full", most=0).count() == 201
+    # files that came after the index was built are read as well, until it knows them
+    table.append(frame(spark, [entry(901, 5 * S, message="disk nearly full again")]), path)
+    assert len(table.open_for_keyword(spark, path, terms, "disk nearly full").inputFiles()) == 2
+    assert table.build_terms(spark, path, terms) == 1 and table.build_terms(spark, path, terms) == 0
+    assert len(table.open_for_keyword(spark, path, terms, " error ").inputFiles()) == 6
+
+
+def test_engine_queries_use_the_index(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    for part in (rows[:100], rows[100:], [entry(900, 5 * S, message="disk nearly full now")]):
+        table.append(frame(spark, part), path)
+    e = LogEngine(spark, path)
+    assert e.query("disk nearly full").count() == 1 and e.index_terms() == len(e.entries.inputFiles())
+    found = e.query("disk nearly full", limit=0)
+    assert len(found.inputFiles()) == 1 and [r.seq for r in found.collect()] == [900]
+    assert e.query("ERROR", limit=0).count() == LogEngine(spark, entries=e.entries).query("ERROR", limit=0).count()
+
+
+def test_broken_files_are_passed_over_unless_strict(spark, rows, tmp_path):
+    path = tmp_path / "t"
+    table.append(frame(spark, rows), str(path))
+    table.append(frame(spark, rows[:5]), str(path), batch="9-broken")
+    for f in path.glob("day=*/batch=9-broken/*.parquet"):
+        f.write_bytes(b"no parquet")
+    for f in path.glob("day=*/batch=9-broken/.*.crc"):
+        f.unlink()
+    assert LogEngine(spark, str(path)).query(limit=0).count() == 200
+    with pytest.raises(Exception, match="FAILED_READ_FILE|not a Parquet"):
+        LogEngine(spark, str(path), strict=True).query(limit=0).collect()

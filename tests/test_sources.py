@@ -73,3 +73,31 @@ def test_ranges_share_out_the_lines(tmp_path, texts, size):
     r = TailReader({"paths": str(path), "startingOffset": "earliest", "rangeBytes": str(size)})
     rows, _ = batch(r, r.initialOffset())
     assert [x[1] for x in rows] == [t.removesuffix(b"\r").decode("utf-8", "replace") for t in texts if t.removesuffix(b"\r")]
+
+
+def test_a_file_that_is_away_for_a_while_goes_on_where_it_was(tmp_path):
+    path, other = tmp_path / "a.log", tmp_path / "b.log"
+    path.write_bytes(b"one\ntwo\n")
+    options = {"paths": str(path), "startingOffset": "earliest", "positions": str(tmp_path / "p.json")}
+    for restart in (False, True):
+        r = TailReader(options)
+        rows, at = batch(r, {str(path): 4})
+        path.rename(other)
+        r = TailReader(options) if restart else r
+        rows, gone = batch(r, at)
+        assert rows == []
+        other.rename(path)
+        with path.open("ab") as f:
+            f.write(b"three\n")
+        assert [x[1] for x in batch(r, gone)[0]] == ["three"]
+        path.write_bytes(b"one\ntwo\n")
+    (tmp_path / "p.json").write_text("{no json")
+    assert TailReader(options).initialOffset() == {str(path): 0}
+
+
+def test_chunk_files_are_numbered_in_name_order(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i:02d}.chunk").write_bytes(c.encode_chunk(ENTRIES[:2]))
+    rows = c.read_chunks(spark, str(tmp_path)).orderBy("seq").collect()
+    assert len({r.seq for r in rows}) == 80 and all(0 <= r.seq < 1 << 62 for r in rows)
+    assert [r.ts_ns for r in rows] == [e[0] for e in ENTRIES[:2]] * 40

@@ -98,3 +98,52 @@ def test_a_tail_has_no_history_unless_asked(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert new == ["new error"] and sorted(every) == ["new", "new error", "old", "old error"]
+
+
+def test_batch_and_stream_share_a_table(spark, tmp_path):
+    log, store = tmp_path / "a.log", str(tmp_path / "t")
+    log.write_text("f1\nf2\nf3\n")
+    e = LogEngine(spark, store, promoted=["job", "tenant"], jobs=[{"job": "web", "paths": [str(log)], "labels": {"tenant": "team-a"}}])
+    e.ingest_lines("x\ny")
+    e.follow([str(log)], str(tmp_path / "state"), earliest=True, available_now=True).awaitTermination()
+    e.ingest_lines("z")
+    e.push('{"streams":[{"stream":{"job":"p"},"values":[["1","hello"]]}]}', tenant="team-b")
+    rows = e.query().collect()
+    assert [r.message for r in rows] == ["x", "y", "f1", "f2", "f3", "z", "hello"]
+    assert len({(r.batch, r.seq) for r in rows}) == 7
+    for engine in (e, LogEngine(spark, store), LogEngine(spark, store, promoted=["job", "level"])):
+        assert {r.message for r in engine.logql("{}", tenant="team-a").collect()} == {"f1", "f2", "f3"}
+        assert {r.message for r in engine.logql("{}").collect()} == {"x", "y", "z"}
+        assert engine.logql('{job="web"}', tenant=None).count() == 3 and engine.logql('{job!="web"}', tenant=None).count() == 4
+        assert {r.tenant: r.value for r in engine.logql("sum by (tenant) (count_over_time({}[1d]))", tenant=None, step="1d", end=2**62).collect()} == {"": 3.0, "team-a": 3.0, "team-b": 1.0}
+    assert e.metrics()["log_entries_total"] == 7 and e.metrics()["log_bytes_total"] == LogEngine(spark, entries=e.entries).metrics()["log_bytes_total"]
+    for what in (lambda x: x.labels(), lambda x: x.label_values("job"), lambda x: x.series(None), lambda x: x.label_values("tenant", "team-a")):
+        assert what(e).collect() == what(LogEngine(spark, entries=e.entries)).collect()
+    assert [r.name for r in e.labels().collect()] == ["filename", "job", "source", "tenant"]
+
+
+def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table.append(entries(spark, 3), path)
+    for n in (5, 7):
+        table.append(entries(spark, n), path, ["job"], batch=table.batch_name(17, "w-0"))
+    assert table.open_table(spark, path).count() == 10
+    assert table.open_series(spark, path).groupBy().sum("entries").first()[0] == 10
+
+
+def test_a_range_of_zero_gives_an_infinite_rate(spark, tmp_path):
+    entries(spark, 20).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(entries(spark).schema).parquet(str(tmp_path / "in"))
+    q = tail.running_metric(stream, parse("rate({}[0])")).writeStream.outputMode("complete").format("memory").queryName("zero").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.value for r in spark.table("zero").collect()} == {float("inf")}
+
+
+def test_positions_reach_followed_files(spark, tmp_path):
+    log, positions = tmp_path / "a.log", tmp_path / "p.json"
+    log.write_text("old\nnew\n")
+    positions.write_text(json.dumps({str(log): 4}))
+    e = LogEngine(spark, str(tmp_path / "t"), positions=str(positions))
+    e.follow([str(log)], str(tmp_path / "state"), available_now=True).awaitTermination()
+    assert [r.message for r in e.query().collect()] == ["new"]
