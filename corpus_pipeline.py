@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from logquarry.llm import decontaminate, language_id, line_dedup, near_dedup, packing
 from logquarry.llm.common import broadcast_if_small, stored
 
-#: Below this share no language stands out among those learned.
-LEAST_LANGUAGE_SCORE = 0.3
-
 
 def _rows(docs: DataFrame) -> DataFrame:
     """Whole rows as one column, out of the way of columns that operators add, and the text."""
@@ -23,10 +20,10 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that stands out; those without a letter go."""
+    """Keeps documents in a language, the likeliest of those learned; those without a letter go."""
     samples = language_id.samples_of(docs.where(~language_id.held_out("doc_id")), "doc_id", "text", "lang")
     judged = language_id.identify(spark, _rows(docs), "row", "text", samples)
-    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+    return judged.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +40,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if n == ids:
         rows, key = docs, "doc_id"
     else:  # ids that repeat or are null can't tell rows apart
-        rows, key = stored(docs.withColumn("__row", F.monotonically_increasing_id())), "__row"
+        names = {c.lower() for c in docs.columns}
+        key = next(k for i in range(len(names) + 1) if (k := f"row_number_{i}") not in names)
+        rows = stored(docs.withColumn(key, F.monotonically_increasing_id()))
     gone = stored(near_dedup.near_groups(rows, key, "text").where("not kept").select(key))
     return rows.join(broadcast_if_small(gone, gone.count()), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -3,15 +3,18 @@
 For each language a suffix automaton of labelled text is built. A text is cut
 into the longest phrases that occur in that sample, one after another; a text
 of the same language needs fewer of them. A phrase costs as many bits as a
-position in the sample, which makes samples of unequal size comparable, and
-the language of the least bits per letter wins.
-
-Every language with a labelled text is learned, from a sample bounded for each:
-up to SAMPLE_ROWS texts and LANGUAGE_CHARS characters; of a text of more than
-ROW_CHARS characters ROW_PIECES pieces from all over it. The LETTERS most
-frequent letters are a symbol each, any other is its code point in three
-symbols of 6 bits, so no two letters are the same. Texts are read whole, in pieces of PIECE characters that many lanes of
-arrays parse at once; a phrase ends where a piece ends.
+position in the sample, LEAST_SAMPLE positions at least, which makes samples of
+unequal size comparable and a tiny one no bargain; a symbol that the sample
+lacks costs the same whatever the language, more than any phrase. The language
+of the least bits per letter wins.
+
+Every language with a labelled text that has a letter is learned, from a sample
+bounded for each: up to SAMPLE_ROWS texts, until they have LANGUAGE_CHARS
+characters; of a text of more than ROW_CHARS characters ROW_PIECES pieces from
+all over it. The LETTERS most frequent letters are a symbol each, any other is
+its code point in three symbols of 6 bits, so no two letters are the same.
+Texts are read whole, in pieces of PIECE characters that many lanes of arrays
+parse at once; a phrase ends where a piece ends, for every language alike.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_ROWS = 64
 ROW_CHARS, ROW_PIECES = 4000, 8
@@ -33,6 +37,8 @@ ROW_CHARS, ROW_PIECES = 4000, 8
 LANGUAGE_CHARS = 80_000
 PIECE = 512
 LETTERS = 120
+#: Positions of a sample that a phrase's bits reckon with at least.
+LEAST_SAMPLE = 4096
 UNKNOWN = "und"
 #: Bits are scaled by this before they become a score, as phrases of one text aren't independent.
 TEMPER = 0.05
@@ -102,8 +108,8 @@ class Parser:
     """Automata of several languages over one alphabet: 0 between words, 1.. for letters, the last 64 for the parts of other letters."""
 
     def __init__(self, samples: dict[str, str]):
-        self.languages = sorted(samples)
-        letters = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
+        self.languages = sorted(k for k, t in samples.items() if any(map(str.isalpha, t)))
+        letters = Counter(c for k in self.languages for c in samples[k].lower() if c.isalpha())
         known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS] if ord(c) < 65536]
         self.coded = len(known) + 1
         self.alphabet = self.coded + 64
@@ -123,7 +129,9 @@ class Parser:
             lacks = first >> 32 != 0
             self.steps.append(table)
             self.roots.append((np.where(lacks, 0, first), lacks))
-            self.bits.append(math.log2(max(2, len(s))))
+            self.bits.append(math.log2(max(LEAST_SAMPLE, len(s))))
+        #: Of a symbol that a sample lacks: a position in the largest sample, and which symbol it is.
+        self.lack = max(self.bits, default=0.0) + math.log2(self.alphabet)
 
     def symbols(self, text: str) -> np.ndarray:
         """Symbols of a lower-cased text; what lies between words is one 0."""
@@ -144,10 +152,10 @@ class Parser:
                 s[at + i] = self.coded + (c >> (12 - 6 * i) & 63)
         return s
 
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """[text, language]: number of phrases."""
+    def phrases(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """[text, language]: number of phrases, and of symbols that the language's sample lacks."""
         pieces = [(i, p) for i, t in enumerate(texts) for p in range(0, len(t), PIECE)]
-        out = np.zeros((len(texts), len(self.languages)), np.int64)
+        out = np.zeros((2, len(texts), len(self.languages)), np.int64)
         size = np.array([min(PIECE, len(texts[i]) - p) for i, p in pieces])
         order = np.argsort(-size, kind="stable")
         for lo in range(0, len(order), 8192):
@@ -160,22 +168,25 @@ class Parser:
             active = np.searchsorted(-n, -np.arange(len(lanes)), "left")  # lanes longer than each position
             doc = np.array([pieces[j][0] for j in part])
             for l, (step, (again, lacks)) in enumerate(zip(self.steps, self.roots, strict=True)):
-                state, count = np.zeros(len(part), np.int64), np.zeros(len(part), np.int32)
+                state, count, lack = np.zeros(len(part), np.int64), np.zeros(len(part), np.int32), np.zeros(len(part), np.int32)
                 for pos, m in enumerate(active):
                     v = step[state[:m] + lanes[pos, :m]]
                     ends = np.flatnonzero(v >> 32 != state[:m])
                     c = lanes[pos, ends]
-                    count[ends] += lacks[c].astype(np.int32) + (state[ends] != 0)
+                    count[ends] += state[ends] != 0
+                    lack[ends] += lacks[c]
                     v[ends] = again[c]
                     state[:m] = v & (1 << 32) - 1
-                np.add.at(out[:, l], doc, count + (state != 0))
-        return out
+                np.add.at(out[0, :, l], doc, count + (state != 0))
+                np.add.at(out[1, :, l], doc, lack)
+        return out[0], out[1]
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, score, bits per letter) of each text; und and 0 for one without a letter."""
         symbols = [self.symbols((t or "").lower()) for t in texts]
         symbols = [s if s.any() else s[:0] for s in symbols]
-        bits = self.phrases(symbols) * np.array(self.bits)
+        count, lack = self.phrases(symbols)
+        bits = count * np.array(self.bits) + lack * self.lack
         out = []
         for s, b in zip(symbols, bits, strict=True):
             if not len(s) or not len(b):
@@ -209,21 +220,24 @@ def samples_of(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -
     out: dict[str, list[str]] = {}
     for r in picked:
         out.setdefault(r.lang, []).append(r.text)
-    return {lang: "\n".join(texts)[:LANGUAGE_CHARS] for lang, texts in out.items()}
+    return {lang: "\n".join(texts) for lang, texts in out.items()}
 
 
 def identify(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, samples: dict[str, str]) -> DataFrame:
     """Adds lang_pred, score and bits_per_letter to the rows of ``df``, from the text alone.
 
     A null text, one without a letter, or any text when nothing was learned,
-    is ``und`` with score 0. Ties go to the language that sorts first. All
-    rows and columns stay; columns of ``df`` named as the added ones give way.
+    is ``und`` with score 0. Whole texts are read, however long. Ties go to the
+    language that sorts first. All rows stay, repeated ones too, and an empty
+    table has none. All columns stay, whatever their names, but those named as
+    the added ones, which give way; one of them may be the text.
     """
     key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(samples)
-    added = "lang_pred string, score double, bits_per_letter double"
-    df = df.drop("lang_pred", "score", "bits_per_letter")
-    shape = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    at = df.columns.index(text_col)
+    added = {"lang_pred": T.StringType(), "score": T.DoubleType(), "bits_per_letter": T.DoubleType()}
+    stays = [c for c in df.columns if c not in added]
+    shape = T.StructType([*(df.schema[c] for c in stays), *(T.StructField(c, k) for c, k in added.items())])
+    df = df.select(*(F.col(f"`{c}`") for c in stays), F.col(f"`{text_col}`"))
+    at = len(stays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _parsers:
@@ -234,9 +248,9 @@ def identify(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, sam
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
                 lang, score, bits = zip(*parser.judge(part.column(at).to_pylist()), strict=True)
-                yield pa.record_batch([*part.columns, pa.array(lang), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*part.schema.names, "lang_pred", "score", "bits_per_letter"])
+                yield pa.record_batch([*part.columns[:at], pa.array(lang), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=shape.names)
 
-    return df.mapInArrow(run, f"{shape}, {added}")
+    return df.mapInArrow(run, shape)
 
 
 def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -29,12 +30,50 @@ def test_automaton_parse_equals_greedy_search():
     p = li.Parser(samples)
     texts = [p.symbols(t.lower()) for t in [say("aa"), say("bb", 400), "x", "zz abc zz", say("cc") + say("aa")]]
     as_text = lambda s: "".join(chr(65 + c) for c in s)
-    got = p.phrases(texts)
+    count, lack = p.phrases(texts)
+    got = count + lack
     for j, k in enumerate(p.languages):
         sample = as_text(p.symbols(samples[k].lower()))
         assert [greedy(sample, as_text(t)) for t in texts] == got[:, j].tolist()
 
 
+def test_language_and_score_equal_a_plain_computation():
+    samples = {"aa": say("aa", 900), "bb": say("bb", 300), "cc": say("cc", 40), "dd": "1 2", "ee": "q"}
+    texts = [say(k, n) for k in WORDS for n in (1, 3, 40, 500)] + ["qqq", "Zz abc ñ", "x", "12", None]
+    p = li.Parser(samples)
+    known = {k: p.symbols(samples[k].lower()).tolist() for k in ("aa", "bb", "cc", "ee")}
+    width = {k: math.log2(max(4096, len(s))) for k, s in known.items()}
+    for text, (lang, score, bits) in zip(texts, p.judge(texts), strict=True):
+        s = p.symbols((text or "").lower()).tolist()
+        if not any(s):
+            assert (lang, score, bits) == ("und", 0.0, 0.0)
+            continue
+        cost = {}
+        for k, sample in known.items():
+            whole = "".join(map(chr, sample))
+            lacks = sum(c not in sample for c in s)
+            phrases = greedy(whole, "".join(map(chr, s)))
+            cost[k] = (phrases - lacks) * width[k] + lacks * (max(width.values()) + math.log2(p.alphabet))
+        best = min(cost, key=lambda k: (cost[k], k))
+        assert lang == best and abs(score - 1 / sum(2 ** ((cost[best] - c) * li.TEMPER) for c in cost.values())) < 1e-9
+
+
+def test_a_label_of_one_tiny_or_letterless_text_takes_nothing(spark):
+    rows = [(i, say(k := R.choice(list(WORDS))), k) for i in range(200)]
+    for odd in ("123", "hello.", "a", "é b"):
+        labelled = spark.createDataFrame([*rows, (900, odd, "zz")], "doc_id long, text string, lang string")
+        p = li.Parser(li.samples_of(labelled, "doc_id", "text", "lang"))
+        told = [(say(k, n), k) for k in WORDS for n in (8, 60) for _ in range(30)]
+        assert np.mean([x[0] == k for x, (_, k) in zip(p.judge([t for t, _ in told]), told, strict=True)]) >= 0.98
+        assert ("zz" in p.languages) == (odd != "123")
+
+
+def test_columns_with_odd_names_and_a_text_named_as_an_added_one(spark):
+    df = spark.createDataFrame([(1, say("aa"), 7), (1, say("aa"), 7)], "doc_id long, score string, `a-b c` long")
+    got = li.identify(spark, df.selectExpr("doc_id", "score", "struct(`a-b c`) as `x y`"), "doc_id", "score", {k: say(k, 300) for k in WORDS}).collect()
+    assert [(r["x y"]["a-b c"], r.lang_pred) for r in got] == [(7, "aa")] * 2 and all(isinstance(r.score, float) for r in got)
+
+
 def test_frame(spark):
     rows = [(i, say(k := R.choice(list(WORDS))), k, 0.5) for i in range(300)]
     rows += [(900, None, "aa", 0.1), (901, "", None, 0.1), (902, "12 -- 3!", "bb", 0.1), (903, say("aa", 5000), None, 0.1), (903, say("cc"), None, 0.1), (None, say("bb"), None, 0.1)]
@@ -58,15 +97,15 @@ def test_nothing_learned_and_empty_table(spark):
 def test_every_language_is_learned_and_large_alphabets_are_told_apart(spark):
     r = random.Random(3)
     rows = []
-    for k in range(70):
+    for k in range(100):
         words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)]
         rows += [(f"l{k:02}", " ".join(r.choice(words) for _ in range(40))) for _ in range(4)]
-    for k, lo in (("zh", 0x4E00), ("ko", 0xAC00), ("hi", 0x20000)):
-        words = ["".join(chr(lo + r.randrange(150)) for _ in range(4)) for _ in range(30)]
-        rows += [(k, " ".join(r.choice(words) for _ in range(30))) for _ in range(4)]
+    for k, lo, n in (("zh", 0x4E00, 3000), ("ko", 0xAC00, 150), ("hi", 0x20000, 150)):
+        words = ["".join(chr(lo + r.randrange(n)) for _ in range(4)) for _ in range(30 if n < 3000 else 700)]
+        rows += [(k, " ".join(r.choice(words) for _ in range(30 if n < 3000 else 400))) for _ in range(4)]
     df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string")
     samples = li.samples_of(df, "doc_id", "text", "lang")
-    assert len(samples) == 73
+    assert len(samples) == 103
     assert [x[0] for x in li.Parser(samples).judge([t for _, t in rows])] == [k for k, _ in rows]
 
 

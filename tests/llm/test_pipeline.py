@@ -39,7 +39,7 @@ def brute(spark, d, rows, items):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     parser = language_id.Parser(language_id.samples_of(docs.where(~language_id.held_out("doc_id")), "doc_id", "text", "lang"))
     judged = parser.judge([r[1] for r in rows])
-    kept = {r[0]: r[1] for r, (lang, score, _) in zip(rows, judged, strict=True) if lang != "und" and score >= 0.3}
+    kept = {r[0]: r[1] for r, (lang, _, _) in zip(rows, judged, strict=True) if lang != "und"}
     seen, texts = set(), {}
     for i in sorted(kept):
         lines, gone = kept[i].split("\n"), set()
