@@ -19,10 +19,15 @@ sketch of the sets can't tell from links are confirmed, closest first, more of
 them each round, until every pair of a common key is either inside one
 component or refuted. So of pairs that meet, no link between components is lost.
 
+A key with many members is cut into blocks of them, and each pair of blocks is
+compared by itself, so a task holds two blocks whatever the size of the key.
+
 The finer sketch of a set of EXACT shingles or fewer is the set itself, in
-halved hashes, which can refute a link but never loses one. Of a larger set it
-is one hash dealt out to BINS bins, of which each keeps a byte of its least
-value; pairs within DEVIATIONS of the threshold pass.
+halved hashes, which can refute a link but never loses one; before that, sets
+are compared by the parities of their numbers of members in BINS bins, as no
+more of those can differ than members do. Of a larger set the sketch is one
+hash dealt out to BINS bins, of which each keeps a byte of its least value;
+pairs within DEVIATIONS of the threshold pass.
 """
 
 from __future__ import annotations
@@ -43,8 +48,12 @@ from logquarry.llm.words import WordHashes, mixed, pair_hash, split_words
 
 CHUNKS, CHUNK, ERRORS, SYMBOL_BITS = 12, 5, 1, 16
 SYMBOLS = CHUNKS * CHUNK
-#: Members of a star that one task confirms, and of a key that one task compares.
-STAR, BLOCK = 256, 2048
+#: Members of a star that one task confirms.
+STAR = 256
+#: Members of a key in a block: the third times the square root of all, so that copies stay few, between the first and the second.
+BLOCK, LARGEST_BLOCK, BLOCK_ROOT = 512, 8192, 8
+#: Keys of classes that a task brings together, of 16 bytes each.
+PART_KEYS = 4_000_000
 #: Pairs of two components that the first round confirms, that the first search takes from a key, and by what later ones take more.
 FIRST_PAIRS, KEY_PAIRS, MORE_PAIRS = 4, 64, 8
 BINS, DEVIATIONS, EXACT = 512, 5.0, 384
@@ -91,6 +100,12 @@ def bins(half: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(half: np.ndarray) -> np.ndarray:
+    """A bit for each bin: whether it has an odd number of members. Bits of two sets differ in no more places than the sets have members of their own."""
+    odd = np.bincount(half >> np.uint32(32 - int(math.log2(BINS))), minlength=BINS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def linked_halves(halves_of: list[np.ndarray], n: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     """Whether the sets x[i] and y[i] link as far as halved hashes tell, which take no common shingle for a different one."""
     order = np.argsort(x, kind="stable")
@@ -182,10 +197,10 @@ def _met(classes: DataFrame, parts: int) -> DataFrame:
             key1, cid1 = key[first], cid[first]
             part = (key1 % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            at = np.searchsorted(part[order], np.arange(parts + 1))
-            full = [p for p in range(parts) if at[p] < at[p + 1]]
+            full, at = np.unique(part[order], return_index=True)
+            cut = list(zip(at, [*at[1:], len(order)], strict=True))
             own = links(key, cid, start, size)
-            cols = ([key1[order[at[p] : at[p + 1]]].tobytes() for p in full], [cid1[order[at[p] : at[p + 1]]].tobytes() for p in full])
+            cols = ([key1[order[lo:hi]].tobytes() for lo, hi in cut], [cid1[order[lo:hi]].tobytes() for lo, hi in cut])
             to = int(b.column("cid")[0].as_py()) % parts
             yield pa.record_batch([pa.array([*full, to], pa.int32()), *(pa.array([*c, o], none) for c, o in zip((*cols, [None] * len(full)), own, strict=True))], names=names)
 
@@ -198,25 +213,23 @@ def _met(classes: DataFrame, parts: int) -> DataFrame:
                 yield pa.record_batch([pa.array(k[s].view(np.int64)), pa.array(x[s]), pa.nulls(len(x[s]), pa.int64()) if y is None else pa.array(y[s])], names=["key", "a", "b"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packed rows of one or more parts, whose keys are disjoint."""
-        held: dict[int, tuple[list, list]] = {}
+        """Packed rows of one part."""
+        held: tuple[list, list] = [], []
         for b in batches:
-            for part, k, a, c in zip(*(b.column(n) for n in names), strict=True):
+            for k, a, c in zip(*(b.column(n) for n in names[1:]), strict=True):
                 k, a = np.frombuffer(k.as_py(), np.uint64), np.frombuffer(a.as_py(), np.int64)
                 if c.is_valid:
                     yield from out(k, a, np.frombuffer(c.as_py(), np.int64))
                 else:
-                    x = held.setdefault(part.as_py(), ([], []))
-                    x[0].append(k)
-                    x[1].append(a)
-        while held:
-            _, (k, a) = held.popitem()
-            key, cid, start, size = _grouped(np.concatenate(k), np.concatenate(a))
+                    held[0].append(k)
+                    held[1].append(a)
+        if held[0]:
+            key, cid, start, size = _grouped(*map(np.concatenate, held))
             many = size > 1
             yield from out(key[many], cid[many], cid[start][many])
 
     packed = classes.select("cid", "sig").mapInArrow(fold, "part int, keys binary, a binary, b binary")
-    return packed.repartition(parts, "part").mapInArrow(meet, "key long, a long, b long")
+    return packed.repartitionById(parts, "part").mapInArrow(meet, "key long, a long, b long")
 
 
 def _close(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -244,29 +257,41 @@ def _sifted(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
         for b in batches:
             if b.num_rows:
                 n = np.concatenate([b.column(c).to_numpy() for c in ("na", "nb")])
-                sets, fine = _fine([*b.column("x").to_pylist(), *b.column("y").to_pylist()], n)
+                fine = Fine([*b.column("x").to_pylist(), *b.column("y").to_pylist()], n)
                 x = np.arange(b.num_rows)
                 ok = np.zeros(b.num_rows, bool)
-                ok[_survivors(sets, fine, n, x, x + b.num_rows, threshold)[0]] = True
+                ok[fine.survivors(x, x + b.num_rows, threshold)[0]] = True
                 yield pa.record_batch([pa.array(b.column(c).to_numpy()[ok]) for c in ("a", "b", "d")], names=["a", "b", "d"])
 
     side = lambda c, s, n: classes.select(F.col("cid").alias(c), F.col("fine").alias(s), F.col("n").alias(n))
     return pairs.join(side("a", "x", "na"), "a").join(side("b", "y", "nb"), "b").mapInArrow(run, "a long, b long, d int")
 
 
-def _fine(raw: list[bytes], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sketches as arrays, halves or bins, and the bins of all."""
-    sets = [np.frombuffer(f, np.uint32 if k <= EXACT else np.uint8) for f, k in zip(raw, n, strict=True)]
-    return sets, np.stack([bins(f) if k <= EXACT else f for f, k in zip(sets, n, strict=True)])
+class Fine:
+    """The finer sketches of some sets, by place."""
 
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        self.n, self.known = n, n <= EXACT
+        self.sets = [np.frombuffer(f, np.uint32 if k else np.uint8) for f, k in zip(raw, self.known, strict=True)]
+        self.bins = np.stack([bins(f) if k else f for f, k in zip(self.sets, self.known, strict=True)])
+        self.odd = np.stack([parities(f) if k else np.zeros(BINS // 64, np.uint64) for f, k in zip(self.sets, self.known, strict=True)])
 
-def _survivors(sets: list[np.ndarray], fine: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    for width in (BINS // 8, BINS):
-        near = may_link(fine[x, :width], fine[y, :width], n[x] + n[y], threshold)
-        x, y = x[near], y[near]
-    known = (n[x] <= EXACT) & (n[y] <= EXACT)
-    known[known] = ~linked_halves(sets, n, x[known], y[known], threshold)
-    return x[~known], y[~known]
+    def survivors(self, x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (x[i], y[i]) that may link."""
+        known = self.known[x] & self.known[y]
+        a, b = x[known], y[known]
+        near = np.bitwise_count(self.odd[a] ^ self.odd[b]).sum(1) <= (self.n[a] + self.n[b]) * ((1 - threshold) / (1 + threshold)) + 1e-6
+        a, b = a[near], b[near]
+        near = linked_halves(self.sets, self.n, a, b, threshold)
+        a, b = a[near], b[near]
+        x, y = x[~known], y[~known]
+        for width in (BINS // 8, BINS):
+            near = may_link(self.bins[x, :width], self.bins[y, :width], self.n[x] + self.n[y], threshold)
+            x, y = x[near], y[near]
+        return np.concatenate((a, x)), np.concatenate((b, y))
+
+    def distance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return ((self.bins[x] != self.bins[y]).sum(1) * 1000 // np.maximum(1, self.n[x] + self.n[y])).astype(np.int32)
 
 
 def _confirm(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -324,26 +349,46 @@ def _confirm(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
     return found.repartition("b", "share").sortWithinPartitions("b", "share", "member", "cid").mapInArrow(judge, "a long, b long, linked boolean")
 
 
+def _units(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, unit, a, label, side): the members of keys that hold several components, dealt out to units in which all pairs of different components meet once.
+
+    A key of few members is one unit, side 0. Else members of its largest
+    component, which need not meet each other, and all others are cut into
+    blocks. A unit is a block of the one (side 1) with one of the other (side
+    2), two blocks of others (1 and 2), or one of others (0); so a member has
+    as many copies as there are blocks to meet.
+    """
+    own = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    counts = own.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels"))
+    size = F.least(F.lit(LARGEST_BLOCK), F.greatest(F.lit(BLOCK), (BLOCK_ROOT * F.sqrt("m")).cast("int")))
+    several = counts.where("labels > 1").select("key", F.col("top.label").alias("top"), (F.col("m") <= 2 * size).alias("one"), F.ceil(F.col("top.m") / size).alias("tops"), F.ceil((F.col("m") - F.col("top.m")) / size).alias("others"))
+    # written first: a join of two plain exchanges is one that Spark can split at a key of many members
+    rows = own.join(stored(several), "key").withColumn("is_top", F.col("label") == F.col("top"))
+    block = F.pmod(F.xxhash64("a"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others")))
+    rows = rows.withColumn("block", F.when(F.col("one"), F.lit(0)).otherwise(block))
+    unit = lambda i, side: F.struct(i.cast("long").alias("unit"), side.alias("side"))
+    each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    mine, tops, others = F.col("block"), F.col("tops"), F.col("others")
+    top = F.transform(each(others), lambda o: unit(mine * others + o, F.lit(1)))
+    with_tops = F.transform(each(tops), lambda t: unit(t * others + mine, F.lit(2)))
+    with_others = F.transform(each(others), lambda o: unit((tops + F.least(o, mine)) * others + F.greatest(o, mine), F.when(o == mine, 0).when(mine < o, 1).otherwise(2)))
+    dealt = F.when(F.col("one"), F.array(unit(F.lit(0), F.lit(0)))).when(F.col("is_top"), top).otherwise(F.concat(with_tops, with_others))
+    return rows.withColumn("u", F.explode(dealt)).select("key", "u.unit", "a", "label", "u.side")
+
+
 def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, threshold: float, take: int) -> DataFrame:
     """Pairs (a, b, d, more, done) of different components that share a key and may link.
 
     A pair comes from the least of the keys that it shares. Of two components
-    a key gives the closest ``take`` pairs; ``more`` tells that it had others.
-    Pairs tested before (``done``) come only to tell that. A key with many members is cut into blocks: members of
-    its largest component go to one of them, all others to each, and two
-    others are compared in the block of the lesser.
+    a unit of a key gives the closest ``take`` pairs; ``more`` tells that it
+    had others. Pairs tested before (``done``) come only to tell that.
     """
-    own = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    counts = own.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max_by("label", "m").alias("top"), F.count("*").alias("labels"))
-    mixed_keys = stored(counts.where("labels > 1").select("key", "top", F.ceil(F.col("m") / BLOCK).alias("blocks")))
-    rows = own.join(mixed_keys, "key").join(classes.select(F.col("cid").alias("a"), "fine", "n", "sig"), "a")
-    rows = rows.withColumn("home", F.pmod(F.xxhash64("a"), "blocks")).withColumn("is_top", F.col("label") == F.col("top"))
-    rows = rows.withColumn("block", F.explode(F.when(F.col("is_top"), F.array("home")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    rows = _units(members, labels).join(classes.select(F.col("cid").alias("a"), "fine", "n", "sig"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, cid, label, n, here, raw, sig in _whole(batches):
-            sets, fine = _fine(raw, n)
-            found = [x for i in range(0, len(cid), 512) for j in range(i, len(cid), 4096) for x in pairs_of(cid, label, n, here, fine, sets, i, j)]
+        for key, cid, label, n, side, raw, sig in _whole(batches):
+            fine = Fine(raw, n)
+            found = [x for i in range(0, len(cid), 512) for j in range(i, len(cid), 4096) for x in pairs_of(cid, label, n, side, fine, i, j)]
             if not found:
                 continue
             x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -361,42 +406,39 @@ def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested:
             more &= ~last
             yield pa.record_batch([pa.array(cid[y[ok]]), pa.array(cid[x[ok]]), pa.array(d[ok].astype(np.int32)), pa.array(more[ok])], names=["a", "b", "d", "more"])
 
-    def pairs_of(cid, label, n, here, fine, sets, i, j):
+    def pairs_of(cid, label, n, side, fine, i, j):
         """Pairs of rows i to i + 512 with rows j to j + 4096."""
         rows, other = slice(i, i + 512), slice(j, j + 4096)
         size, against = n[rows, None], n[None, other]
         ok = (label[rows, None] != label[None, other]) & (cid[rows, None] < cid[None, other])
-        ok &= (here[rows, None] > 0) | (here[None, other] > 1)
+        ok &= (side[rows, None] == 0) | (side[rows, None] != side[None, other])
         ok &= np.minimum(size, against) >= (threshold - 1e-9) * np.maximum(size, against)
         x, y = np.nonzero(ok)
         for k in range(0, len(x), 20_000):
-            xi, yi = x[k : k + 20_000] + i, y[k : k + 20_000] + j
-            xi, yi = _survivors(sets, fine, n, xi, yi, threshold)
+            xi, yi = fine.survivors(x[k : k + 20_000] + i, y[k : k + 20_000] + j, threshold)
             if len(xi):
-                yield xi, yi, ((fine[xi] != fine[yi]).sum(1) * 1000 // np.maximum(1, n[xi] + n[yi])).astype(np.int32)
+                yield xi, yi, fine.distance(xi, yi)
 
-    # 2: of the largest component; 1: another in its own block; 0: another elsewhere
-    here = F.when(F.col("is_top"), 2).when(F.col("home") == F.col("block"), 1).otherwise(0)
-    dealt = rows.select("key", "block", F.col("a").alias("cid"), "label", "n", here.alias("here"), "fine", "sig").repartition("key", "block").sortWithinPartitions("key", "block", "cid")
+    dealt = rows.select("key", "unit", F.col("a").alias("cid"), "label", "n", "side", "fine", "sig").repartition("key", "unit").sortWithinPartitions("key", "unit", "cid")
     pairs = dealt.mapInArrow(run, "a long, b long, d int, more boolean").groupBy("a", "b").agg(F.min("d").alias("d"), F.max("more").alias("more"))
     pairs = pairs.join(tested.select("a", "b", F.lit(True).alias("done")).distinct(), ["a", "b"], "left")
     return pairs.withColumn("done", F.coalesce("done", F.lit(False))).where("more or not done")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The key and columns (cid, label, n, here, fine, sig) of one block of a key after the other, from rows sorted by both."""
+    """The key and columns (cid, label, n, side, fine, sig) of one unit of a key after the other, from rows sorted by both."""
     held: list[tuple] = []
     at = None
     for b in batches:
-        key, block = b.column("key").to_numpy(), b.column("block").to_numpy()
-        cols = [b.column(c).to_numpy() for c in ("cid", "label", "n", "here")]
+        key, unit = b.column("key").to_numpy(), b.column("unit").to_numpy()
+        cols = [b.column(c).to_numpy() for c in ("cid", "label", "n", "side")]
         cols += [np.array(b.column("fine").to_pylist(), object), np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)]
-        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])]) if len(key) else []
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])]) if len(key) else []
         for lo, hi in zip(new, [*new[1:], len(key)], strict=True):
-            if (key[lo], block[lo]) != at and held:
+            if (key[lo], unit[lo]) != at and held:
                 yield at[0], *(np.concatenate(x) for x in zip(*held, strict=True))
                 held = []
-            at = key[lo], block[lo]
+            at = key[lo], unit[lo]
             held.append([c[lo:hi] for c in cols])
     if held:
         yield at[0], *(np.concatenate(x) for x in zip(*held, strict=True))
@@ -435,7 +477,9 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, thr
     nothing and stay, with their own id. Rows that repeat an id are judged by
     their own texts and all kept if that id is the least of its component. A
     null id is greater than any other: such a row is kept only when all ids of
-    its component are null, which then has a null component_id.
+    its component are null, which then has a null component_id. Whole texts
+    count, however long; an empty table has no rows; other columns of ``df``
+    are not looked at.
     """
     spark = df.sparkSession
     percent = round(100 * threshold)
@@ -444,8 +488,8 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, thr
     rows = rows.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key_id"), "raw")
     classes = sketched.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("fine").alias("fine"))
     classes = stored(classes.withColumn("key_id", F.coalesce(F.col("id").cast("string"), F.lit(""))).withColumn("cid", F.monotonically_increasing_id()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    met = stored(_met(classes, parts))
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    met = stored(_met(classes, max(least, -(-classes.count() * CHUNKS * math.comb(CHUNK, ERRORS) // PART_KEYS))))
     links = met.where("b is not null").select("a", "b").distinct()
     close = stored(_sifted(stored(_close(links, classes, threshold)), classes, threshold))
     members = stored(met.where("b is null").select("key", "a").distinct())
@@ -453,8 +497,8 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, thr
     judged, todo, per_key = None, stored(best), KEY_PAIRS
 
     def confirm(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        new = _confirm(rows, classes, pairs, shingle, percent)
-        every = stored(new if judged is None else judged.unionByName(new))
+        new = stored(_confirm(rows, classes, pairs, shingle, percent))
+        every = new if judged is None else judged.unionByName(new)
         return every, components(every.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     judged, labels = confirm(todo)

@@ -59,10 +59,11 @@ def test_components_equal_brute_force(spark):
         assert sorted(map(tuple, got), key=str) == brute(rows, size)
 
 
-@pytest.mark.parametrize("block", [2048, 7])
+@pytest.mark.parametrize("block", [512, 7])
 def test_a_chain_and_a_hot_group_connect(spark, monkeypatch, block):
     """Neighbours of a chain link, its ends don't; many near copies of one text link through each other."""
     monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "BLOCK_ROOT", 0)
     r = random.Random(4)
     chain = [" ".join(f"c{i}" for i in range(9 * k, 9 * k + 120)) for k in range(40)]
     base = [f"w{i}" for i in range(100)]
@@ -77,8 +78,9 @@ def test_a_chain_and_a_hot_group_connect(spark, monkeypatch, block):
     assert sorted(map(tuple, got), key=str) == brute(rows, 2)
 
 
-def test_every_pair_of_a_key_meets_in_one_block(spark, monkeypatch):
+def test_every_pair_of_a_key_meets_in_one_unit(spark, monkeypatch):
     """Searched with blocks of any size, a key gives the same pairs."""
+    monkeypatch.setattr(nd, "BLOCK_ROOT", 0)
     sets = [np.sort(np.random.default_rng(i % 9).integers(0, 1 << 63, 60 + i % 3, np.uint64) * np.uint64(2)) for i in range(60)]
     sig = np.stack([nd.signature(s) for s in sets])
     classes = spark.createDataFrame([(i, nd.halves(s).tobytes(), len(s), sig[i].tobytes()) for i, s in enumerate(sets)], "cid long, fine binary, n long, sig binary")
@@ -86,13 +88,13 @@ def test_every_pair_of_a_key_meets_in_one_block(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "node long, label long")
     none = spark.createDataFrame([], "a long, b long")
     found = []
-    for block in (2048, 20, 3):
+    for block in (512, 4, 2, 1):
         monkeypatch.setattr(nd, "BLOCK", block)
         pairs = [(r.a, r.b) for r in nd._between(members, classes, labels, none, 0.8, 1000).collect()]
         found.append(set(pairs))
         assert len(pairs) == len(found[-1])
     label = lambda i: i % 2 if i < 30 else i
-    assert found[0] == found[1] == found[2] == {(j, i) for i, j in combinations(range(60), 2) if i % 9 == j % 9 and label(i) != label(j) and (nd.keys(sig[[i, j]])[0] == nd.keys(sig[[i, j]])[1]).any()}
+    assert found[0] == found[1] == found[2] == found[3] == {(j, i) for i, j in combinations(range(60), 2) if i % 9 == j % 9 and label(i) != label(j) and (nd.keys(sig[[i, j]])[0] == nd.keys(sig[[i, j]])[1]).any()}
     assert len(found[0]) > 50
 
 
@@ -110,6 +112,32 @@ def test_a_tested_pair_still_tells_that_its_key_has_more(spark):
     assert {(r.a, r.b) for r in again} == {(r.a, r.b) for r in first if r.more} and all(r.more and r.done for r in again)
 
 
+def test_units_of_a_hot_key_are_bounded(spark):
+    """20,000 members that nothing links yet, and as many with a large component: rows sent, and rows of a task."""
+    members = spark.range(20_000).selectExpr("1L as key", "id as a")
+    none = spark.createDataFrame([], "node long, label long")
+    half = spark.range(15_000).selectExpr("id as node", "0L as label")
+    size = int(nd.BLOCK_ROOT * 20_000**0.5)
+    for labels, most in ((none, 20_000 * (20_000 // size + 2)), (half, 15_000 * 5 + 5000 * (15_000 // size + 6))):
+        rows = nd._units(members, labels)
+        assert rows.count() <= most < 400_000
+        assert rows.groupBy("unit").count().agg({"count": "max"}).first()[0] < 2.5 * size
+    several = nd._units(members.where("a < 100"), none)
+    assert several.count() == 100 and several.select("unit").distinct().count() == 1
+
+
+def test_parities_never_refute_a_link():
+    r = np.random.default_rng(5)
+    for n in (1, 5, 40, 384):
+        for _ in range(50):
+            u = np.unique(r.integers(0, 1 << 63, n + n // 5, np.uint64) * np.uint64(2))
+            x, y = u[: len(u) - len(u) // 10], u[len(u) // 10 :]
+            fine = nd.Fine([nd.halves(x).tobytes(), nd.halves(y).tobytes()], np.array([len(x), len(y)]))
+            both = len(np.intersect1d(x, y))
+            link = both / (len(x) + len(y) - both) >= 0.8
+            assert (len(fine.survivors(np.array([0]), np.array([1]), 0.8)[0]) == 1) == link
+
+
 def test_empty_table(spark):
     assert nd.near_groups(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
