@@ -128,7 +128,7 @@ def test_units_of_a_hot_key_are_bounded(spark):
 
 def test_parities_never_refute_a_link():
     r = np.random.default_rng(5)
-    for n in (1, 5, 40, 384):
+    for n in (1, 5, 40, 320):
         for _ in range(50):
             u = np.unique(r.integers(0, 1 << 63, n + n // 5, np.uint64) * np.uint64(2))
             x, y = u[: len(u) - len(u) // 10], u[len(u) // 10 :]
