@@ -7,7 +7,9 @@ Features are the words of the whole text, hashed, with damped and normalised
 counts, and metadata computed from the text alone: lengths and shares of
 characters, words and lines of some kinds, each in a few soft bins.
 
-The machine learns on a bounded sample, TRAIN_ROWS labelled rows at most.
+The machine learns on a bounded sample of labelled rows: TRAIN_ROWS at most,
+and no more once they have TRAIN_FEATURES features together. A row that is
+learned is learned whole.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logquarry.llm.common import text_bytes
+from logquarry.llm.common import stored, text_bytes
 from logquarry.llm.words import WordHashes, split_words
 
 TRAIN_ROWS = 6000
-#: Distinct words of a training row that are learned from; a longer row gives a random choice of fixed seed.
-TRAIN_WORDS = 400
+#: 8 bytes each; about 300 a row in prose of ordinary length.
+TRAIN_FEATURES = 8_000_000
 WORD_BITS = 15
 RANK = 8
 EPOCHS = 12
@@ -76,16 +79,13 @@ def soft_bins(stats: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
-def features(raw: bytes, hashes: WordHashes, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def features(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers, ascending, and values; words' values have a norm of one together."""
     words = split_words(raw)
     at, tf = np.unique(hashes.of(words) >> np.uint64(64 - WORD_BITS), return_counts=True)
     stats = soft_bins(structure(raw, words, len(at), int(tf.max(initial=0))))
     value = 1 + np.log(tf)
     value /= max(1e-9, float(np.sqrt((value**2).sum())))
-    if most is not None and len(at) > most:
-        keep = np.sort(np.random.default_rng(len(at)).permutation(len(at))[:most])
-        at, value = at[keep], value[keep]
     full = np.flatnonzero(stats)
     return np.concatenate([full, at.astype(np.int64) + N_STATS]).astype(np.int32), np.concatenate([stats[full], value]).astype(np.float32)
 
@@ -102,6 +102,20 @@ class Machine:
         v = self.v[at] * x[:, None]
         return float(self.b + self.w[at] @ x + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum()))
 
+    def margins(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The margin of each row; every row has a feature, as the statistics give some."""
+        size = np.array([len(a) for a, _ in rows])
+        out = np.empty(len(rows))
+        part = np.cumsum(size) // (1 << 18)  # rows of about as many features at once
+        for p in np.unique(part):
+            mine = np.flatnonzero(part == p)
+            at, x = (np.concatenate([rows[i][k] for i in mine]) for k in (0, 1))
+            start = np.cumsum(size[mine]) - size[mine]
+            vx = self.v[at] * x[:, None]
+            total = np.add.reduceat(vx, start)
+            out[mine] = self.b + np.add.reduceat(self.w[at] * x, start) + 0.5 * ((total**2).sum(1) - np.add.reduceat((vx**2).sum(1), start))
+        return out
+
     def learn(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rate: float = 0.1, decay: float = 1e-5) -> None:
         r = np.random.default_rng(2)
         gb, gw, gv = 1e-6, np.full(N_FEATURES, 1e-6, np.float32), np.full((N_FEATURES, RANK), 1e-6, np.float32)
@@ -134,23 +148,33 @@ def held_out(id_col: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = TRAIN_ROWS) -> Machine:
-    """From the ``rows`` labelled rows, not held out, whose salted ids hash lowest. Labels other than 0 and 1 and null ids teach nothing."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = TRAIN_ROWS, most: int = TRAIN_FEATURES) -> Machine:
+    """From the ``rows`` labelled rows, not held out, whose salted ids hash lowest, as long as they have ``most`` features.
+
+    Labels other than 0 and 1, null ids and ids with labels of both kinds teach
+    nothing; a label that is repeated counts once. Of several texts with one id
+    the least in byte order is learned; null counts as an empty text. Whole
+    texts count, however long.
+    """
     picked = (
-        labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-        .dropDuplicates(["id"]).orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(rows)
+        labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+        .groupBy("id").agg(F.min("label").cast("int").alias("label"), F.max("label").cast("int").alias("other")).where((F.col("label") == F.col("other")) & ~held_out("id"))
+        .select("id", "label", F.xxhash64(F.lit(11), "id").alias("h")).orderBy("h", "id").limit(rows)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            at, x = zip(*(features(r.as_py(), hashes, TRAIN_WORDS) for r in b.column("raw")), strict=True) if b.num_rows else ((), ())
-            yield pa.record_batch([b.column("id"), b.column("label"), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([a.tobytes() for a in x], pa.binary())], names=["id", "label", "at", "x"])
+            at, x = zip(*(features(r.as_py(), hashes) for r in b.column("raw")), strict=True) if b.num_rows else ((), ())
+            yield pa.record_batch([b.column("id"), b.column("label"), b.column("h"), pa.array([len(a) for a in at], pa.int64()), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([a.tobytes() for a in x], pa.binary())], names=shape.names)
 
     # at most ``rows`` narrow rows: a broadcast of proven size
-    texts = docs.select(F.col(id_col).alias("id"), text_bytes(F.col(text_col)).alias("raw"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = texts.join(F.broadcast(picked), "id").mapInArrow(run, f"id {kind}, label int, at binary, x binary").dropDuplicates(["id"]).toArrow().sort_by("id")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_bytes(F.col(f"`{text_col}`")).alias("raw"))
+    shape = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("x", T.BinaryType())])
+    found = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.first("label").alias("label"), F.first("h").alias("h"), F.min("raw").alias("raw"))
+    found = stored(found.select("id", "label", "h", "raw").mapInArrow(run, shape))
+    before = F.sum("n").over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1))  # of at most ``rows`` rows
+    found = found.join(F.broadcast(found.select("id", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < most)), "id").orderBy("h", "id").toArrow()
     machine = Machine()
     label = found["label"].to_numpy().astype(np.float32)
     if len(label):
@@ -164,10 +188,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 def score(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, machine: Machine) -> DataFrame:
     """Per row of docs: id, held_out, score, predicted. Null counts as empty, and empty texts get a score too.
 
-    Rows that repeat an id stay apart. With no training row every score is 0.5.
+    Whole texts are scored, however long. Rows that repeat an id stay apart and
+    an empty table has none. With no training row every score is 0.5. Other
+    columns of docs are not looked at.
     """
     key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast((machine.b, machine.w, machine.v))
-    kind = docs.schema[id_col].dataType.simpleString()
+    shape = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _machines:
@@ -176,11 +202,12 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, mach
             m.b, m.w, m.v = sent.value
         m, hashes = _machines[key], WordHashes()
         for b in batches:
-            z = np.array([m.margin(*features(r.as_py(), hashes)) for r in b.column("raw")], float)
-            yield pa.record_batch([b.column("id"), b.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], names=["id", "held_out", "score"])
+            z = m.margins([features(r.as_py(), hashes) for r in b.column("raw")]) if b.num_rows else np.zeros(0)
+            yield pa.record_batch([b.column("id"), b.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], names=shape.names)
 
-    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), text_bytes(F.col(text_col)).alias("raw"))
-    return rows.mapInArrow(run, f"id {kind}, held_out boolean, score double").select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    own = F.col(f"`{id_col}`")
+    rows = docs.select(own.alias("id"), held_out(f"`{id_col}`").alias("held_out"), text_bytes(F.col(f"`{text_col}`")).alias("raw"))
+    return rows.mapInArrow(run, shape).select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

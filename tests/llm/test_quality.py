@@ -43,6 +43,42 @@ def test_held_out_accuracy_and_edge_rows(spark):
     assert len([r for r in got if r.doc_id == 1003]) == 2
 
 
+def test_scores_equal_a_plain_computation_over_all_pairs(spark):
+    docs, labels = rows(90)
+    docs += [(500, None), (501, good() * 40), (502, "x")]
+    df = spark.createDataFrame([(i, t, i) for i, t in docs], "`a-b` long, text string, score long")
+    m = q.fit(df, spark.createDataFrame(labels, "`a-b` long, quality int"), "a-b", "text", "quality")
+    got = {r["a-b"]: r.score for r in q.score(spark, df, "a-b", "text", m).collect()}
+    for i, t in docs:
+        at, x = q.features((t or "").encode(), WordHashes())
+        gram = (m.v[at] * x[:, None]).astype(float)
+        gram = gram @ gram.T
+        z = float(m.b) + float(m.w[at].astype(float) @ x) + (gram.sum() - np.trace(gram)) / 2
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_ties_do_not_change_what_is_learned(spark):
+    """Ids with two labels or texts, in any order of rows and partitions; a bound on features takes whole rows."""
+    docs, labels = rows(120)
+    twice = [(i, t[::-1]) for i, t in docs[:50]]
+    wrong = [(i, 1 - y) for i, y in labels[50:70]]
+    learned = []
+    for seed, parts in ((1, 1), (2, 5)):
+        r = random.Random(seed)
+        d, lab = docs + twice, labels + wrong + labels[:10]
+        r.shuffle(d)
+        r.shuffle(lab)
+        df = spark.createDataFrame(d, "doc_id long, text string").repartition(parts)
+        lf = spark.createDataFrame(lab, "doc_id long, quality int").repartition(parts)
+        learned.append(q.fit(df, lf, "doc_id", "text", "quality"))
+    assert (learned[0].v == learned[1].v).all() and (learned[0].w == learned[1].w).all()
+    least = [(i, min(t, dict(twice).get(i, t), key=str.encode)) for i, t in docs if not 50 <= i < 70]
+    plain = q.fit(spark.createDataFrame(least, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), "doc_id", "text", "quality")
+    assert (plain.v == learned[0].v).all()
+    few = q.fit(df, lf, "doc_id", "text", "quality", most=1)
+    assert 0 < (few.w != 0).sum() < (plain.w != 0).sum() / 2
+
+
 def test_nothing_to_learn_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
