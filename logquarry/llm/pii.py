@@ -2,12 +2,15 @@
 
 One Aho-Corasick pass per text finds anchors: at-signs, plus signs, pairs of
 digits (side by side, or around a space, hyphen or dot), URL schemes and cues
-of secrets and accounts, in any case of ASCII letters. Parsers then expand each anchor to the
-boundaries of the datum and validate it. A parser never looks outside the run
-of characters that its kind allows, so the work follows the text's length.
+of secrets, accounts and streets, in any case of ASCII letters. Parsers then
+expand each anchor to the boundaries of the datum and validate it. A parser
+never looks outside the run of characters that its kind allows, so the work
+follows the text's length.
 
 Kinds email, ip, card and phone are exactly the leftmost non-overlapping
-matches of the patterns in the contract; url, secret and account are added.
+matches of the patterns in the contract; url, secret, account and street are
+added. A street is a house number, one to four capitalised words and a word
+such as Street or Avenue, or a capitalised word in -strasse and a house number.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-KINDS = ("email", "ip", "card", "phone", "url", "secret", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "secret", "account", "street")
 BASE = KINDS[:4]
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
@@ -40,6 +44,13 @@ _IBAN = re.compile(r"[ \t:]*([A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30})")
 #: Anchors and the parser that each calls.
 _SECRET_CUES = ("password", "passwd", "token", "secret", "api_key", "apikey")
 _ACCOUNT_CUES = ("account", "acct", "iban", "passport", "ssn")
+_STREET_CUES = (" street", " avenue", " road", " lane", " boulevard", " drive", " square")
+_STREET_ENDS = ("strasse", "straße")
+#: Characters before a street cue that can belong to the address.
+_STREET_REACH = 64
+_HOUSE = re.compile(r"(?<![0-9A-Za-z.,-])[0-9]{1,5}[A-Za-z]?(?: [A-Z][A-Za-z'.-]*){1,4}\Z")
+_CAPITAL = re.compile(r"(?<!\w)[A-ZÄÖÜ][\w-]*\Z")
+_BEHIND = re.compile(r" [0-9]{1,4}(?:[a-z](?!\w))?(?![0-9])")
 
 
 def _anchors() -> ahocorasick.Automaton:
@@ -51,6 +62,10 @@ def _anchors() -> ahocorasick.Automaton:
     a.add_word("akia", ("access", 4))
     for cue in _ACCOUNT_CUES:
         a.add_word(cue, ("account", len(cue)))
+    for cue in _STREET_CUES:
+        a.add_word(cue, ("house", len(cue)))
+    for cue in _STREET_ENDS:
+        a.add_word(cue, ("street", len(cue)))
     a.add_word("@", ("email", 1))
     a.add_word("+", ("phone", 1))
     for x in "0123456789":
@@ -156,6 +171,12 @@ def find(text: str) -> list[tuple[str, int, int]]:
         elif kind == "secret":
             if at >= past["secret"] and (m := _VALUE.match(text, end + 1)) and any(c in _DIGITS for c in m[1]):
                 keep("secret", (m.start(1), m.end(1), True))
+        elif kind == "house":
+            if not text[end + 1 : end + 2].isalnum() and text[at + 1].isupper() and (m := _HOUSE.search(text, max(past["street"], at - _STREET_REACH), at)):
+                keep("street", (m.start(), end + 1, True))
+        elif kind == "street":
+            if (m := _BEHIND.match(text, end + 1)) and (w := _CAPITAL.search(text, max(past["street"], at - _STREET_REACH), at + 1)):
+                keep("street", (w.start(), m.end(), True))
         elif at >= past["account"]:
             cue = low[at : end + 1]
             if m := (_IBAN if cue == "iban" else _NUMBER).match(text, end + 1):
@@ -180,12 +201,13 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: Callable[[str], s
 def find_pii(df: DataFrame, id_col: str, text_col: str, redacted: bool = False) -> DataFrame:
     """Per row: id, spans (joined), counts of the base kinds, base_sha256 and, if asked for, the redacted text.
 
-    Null counts as empty and has no spans. Rows that repeat an id stay apart.
-    Columns other than the two named are not looked at.
+    Null counts as empty and has no spans. Whole texts are read, however long.
+    Spans of one kind never overlap, those of two kinds may, and each is given.
+    Rows that repeat an id stay apart, and an empty table has none. Columns
+    other than the two named are not looked at.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
-    counts = ", ".join(f"n_{k} long" for k in BASE)
-    shape = f"`{id_col}` {id_type}, {counts}, base_sha256 string, spans string" + ", redacted string" * redacted
+    names = [*(f"n_{k}" for k in BASE), "base_sha256", "spans", *["redacted"] * redacted]
+    shape = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(n, T.LongType() if n[:2] == "n_" else T.StringType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,8 +221,7 @@ def find_pii(df: DataFrame, id_col: str, text_col: str, redacted: bool = False)
                 for o, x in zip(out, row + [redact(text, spans)] * redacted, strict=True):
                     o.append(x)
             kinds = [pa.int64()] * len(BASE) + [pa.string()] * (2 + redacted)
-            names = [id_col, *(f"n_{k}" for k in BASE), "base_sha256", "spans", *["redacted"] * redacted]
-            yield pa.record_batch([b.column(0), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=names)
+            yield pa.record_batch([b.column(0), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=shape.names)
 
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, shape)
 

@@ -59,6 +59,17 @@ def test_cues_match_in_any_case():
         assert said("account") == ["12345678", "DE89 3704 0044 0532 0130 00", "123-45-6789"]
 
 
+def test_streets():
+    text = "at 221B Baker Street, or 10 Martin Luther King Boulevard; Lange Straße 7 no, Goethestraße 12a yes, Hauptstrasse 5. 12 angry street 3 Road 1.5 Main Street, 7 Elm Streetcar"
+    assert [text[s:e] for k, s, e in pii.find(text) if k == "street"] == ["221B Baker Street", "10 Martin Luther King Boulevard", "Straße 7", "Goethestraße 12a", "Hauptstrasse 5"]
+    assert pii.redact("of 5 Elm Road.", pii.find("of 5 Elm Road.")) == "of <street>."
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "x@y.zz")], "`a-b` long, text string").selectExpr("struct(`a-b` as `c d`) as `x y`", "text")
+    assert pii.find_pii(df, "x y", "text").first()["x y"]["c d"] == 1
+
+
 def test_frame_with_nulls_repeats_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "x@y.zz", 5), (1, "x@y.zz", 6), (None, None, 7), (2, "", 8)], "doc_id long, text string, spans int")
     rows = sorted(pii.find_pii(df, "doc_id", "text", redacted=True).collect(), key=str)
