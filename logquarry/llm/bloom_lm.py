@@ -24,9 +24,10 @@ distinct words two share one with a probability of 3e-6.
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logquarry.llm.common import stored, text_bytes
 from logquarry.llm.words import REMEMBERED, WordHashes, mixed, pair_hash, split_words
@@ -138,6 +140,13 @@ def held_out(id_col: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+def _runs(buckets: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], pa.Array]]:
+    """The buckets that occur in a sorted array, and what cuts arrays of its length into their bytes; the work follows the array, not the number of buckets."""
+    full, at = np.unique(buckets, return_index=True)
+    at = [*at, len(buckets)]
+    return full, lambda x: pa.array([x[lo:hi].tobytes() for lo, hi in itertools.pairwise(at)], pa.binary())
+
+
 def _folded(batches: Iterator[pa.RecordBatch], keys_of, buckets: int, fold: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, keys, counts), each packed as little-endian integers."""
     hashes, held, size = WordHashes(), [], 0
@@ -146,10 +155,8 @@ def _folded(batches: Iterator[pa.RecordBatch], keys_of, buckets: int, fold: int)
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
         b = (keys & np.uint64(buckets - 1)).astype(np.int64)
         order = np.argsort(b, kind="stable")
-        keys, counts, b = keys[order], counts[order].astype(np.uint32), b[order]
-        at = np.searchsorted(b, np.arange(buckets + 1))
-        full = [i for i in range(buckets) if at[i] < at[i + 1]]
-        yield pa.record_batch([pa.array(full, pa.int32()), pa.array([keys[at[i] : at[i + 1]].tobytes() for i in full], pa.binary()), pa.array([counts[at[i] : at[i + 1]].tobytes() for i in full], pa.binary())], names=["bucket", "keys", "counts"])
+        full, cut = _runs(b[order])
+        yield pa.record_batch([pa.array(full, pa.int32()), cut(keys[order]), cut(counts[order].astype(np.uint32))], names=["bucket", "keys", "counts"])
 
     for b in batches:
         for raw in b.column(0):
@@ -207,12 +214,6 @@ def _docs(packed: bytes) -> pa.Table:
     return pa.ipc.open_stream(packed).read_all()
 
 
-def _parts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's keys start among sorted keys, and the end."""
-    step = (1 << 64) // buckets
-    return np.r_[np.searchsorted(keys, np.array([i * step for i in range(buckets)], np.uint64)), len(keys)]
-
-
 def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (chunk, bucket, keys, counts): a chunk's distinct sequences and how often training documents in it have them."""
     hashes = WordHashes()
@@ -224,17 +225,15 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             keys, word, pair = sequences(np.concatenate(texts), size)
             train = np.repeat(~np.array(docs["held_out"].to_pylist(), bool), size)
             counts = np.bincount(np.concatenate((word[train], pair[train])), minlength=len(keys)).astype(np.uint32)
-            at = _parts(keys, buckets)
-            full = np.flatnonzero(at[:-1] < at[1:])
-            cut = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in full], pa.binary())  # noqa: B023, E731
+            full, cut = _runs(keys >> np.uint64(64 - int(math.log2(buckets))))  # in the order of the keys
             yield pa.record_batch([pa.array([chunk] * len(full), pa.int64()), pa.array(full.astype(np.int32)), cut(keys), cut(counts)], names=["chunk", "bucket", "keys", "counts"])
 
 
-def _answer(part: pa.Table) -> pa.Table:
+def _answer(part: pa.Table, bits_per_entry: float = BITS_PER_ENTRY) -> pa.Table:
     """Rows (chunk, bucket, levels) of one bucket: a byte for each key that the chunk sent; the first row has the numbers of bigrams seen once and twice."""
     keys, counts = _summed(part)
     known, pairs = counts > 0, counts[keys & np.uint64(1) == 0]
-    bits = segment(keys[known], levels(counts[known]), BITS_PER_ENTRY)
+    bits = segment(keys[known], levels(counts[known]), bits_per_entry)
     level = Filter(bits, np.array([len(bits)])).level(keys)
     out = [level[np.searchsorted(keys, np.frombuffer(k.as_buffer(), np.uint64))].tobytes() for k in part["keys"]]
     return pa.table({"chunk": part["chunk"], "bucket": part["bucket"], "levels": pa.array(out, pa.binary()), **{k: pa.array([int((pairs == c).sum())] + [0] * (len(out) - 1), pa.int64()) for k, c in (("once", 1), ("twice", 2))}})
@@ -243,10 +242,10 @@ def _answer(part: pa.Table) -> pa.Table:
 class LanguageModel:
     """Counts of a training table: a table of word counts and frequent words."""
 
-    def __init__(self, training: DataFrame, text_bytes_total: int, hot_words: int = HOT_WORDS, fold: int = FOLD_TOKENS, chunk_text: int = CHUNK_TEXT, bucket_text: int = BUCKET_TEXT):
+    def __init__(self, training: DataFrame, text_bytes_total: int, hot_words: int = HOT_WORDS, fold: int = FOLD_TOKENS, chunk_text: int = CHUNK_TEXT, bucket_text: int = BUCKET_TEXT, bits_per_entry: float = BITS_PER_ENTRY):
         spark = training.sparkSession
         self.buckets = buckets = 1 << max(4, math.ceil(math.log2(1 + text_bytes_total / bucket_text)))
-        self.chunk_text = chunk_text
+        self.chunk_text, self.bits_per_entry = chunk_text, bits_per_entry
 
         def words(part: pa.Table) -> pa.Table:
             keys, counts = _summed(part)
@@ -274,13 +273,12 @@ class LanguageModel:
         order = np.argsort(keys)
         return keys[order], counts[order]
 
-    def scores(self, docs: DataFrame, id_col: str) -> DataFrame:
-        """Per row of docs (id, raw, ...): id, n_tokens, n_known, base_score, score."""
+    def scores(self, docs: DataFrame) -> DataFrame:
+        """Per row of docs (id, held_out, raw): id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
         key, sent, n, v = self.key, self.sent, self.tokens, self.vocabulary
         keep = [c for c in docs.columns if c != "raw"]
-        shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-        most, buckets = self.chunk_text, self.buckets
+        most, buckets, bits = self.chunk_text, self.buckets, self.bits_per_entry
 
         def run(asked: pa.Table, answers: pa.Table) -> pa.Table:
             if key not in _scorers:
@@ -295,11 +293,13 @@ class LanguageModel:
 
         chunks = stored(docs.mapInArrow(lambda batches: _cut(batches, most), "chunk long, docs binary"))
         asked = chunks.mapInArrow(lambda batches: _asked(batches, buckets), "chunk long, bucket int, keys binary, counts binary")
-        answers = stored(asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, levels binary, once long, twice long"))
+        answers = stored(asked.groupBy("bucket").applyInArrow(lambda part: _answer(part, bits), "chunk long, bucket int, levels binary, once long, twice long"))
         once, twice = (x or 0 for x in answers.agg(F.sum("once"), F.sum("twice")).first())
         discount = once / max(1, once + 2 * twice)
         together = chunks.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "levels").groupBy("chunk"))
-        first = stored(together.applyInArrow(run, f"chunk long, place int, {shape}, n_tokens long, known long, base double, score double, rare array<long>, tfs array<int>"))
+        numbers = {"n_tokens": T.LongType(), "known": T.LongType(), "base": T.DoubleType(), "score": T.DoubleType(), "rare": T.ArrayType(T.LongType()), "tfs": T.ArrayType(T.IntegerType())}
+        shape = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("place", T.IntegerType()), *(docs.schema[c] for c in keep), *(T.StructField(c, k) for c, k in numbers.items())])
+        first = stored(together.applyInArrow(run, shape))
         rest = (
             first.select("chunk", "place", F.explode(F.arrays_zip("rare", "tfs")).alias("x")).select("chunk", "place", F.col("x.rare").alias("word"), F.col("x.tfs").alias("tf"))
             .join(self.words, "word", "left").groupBy("chunk", "place")
@@ -374,20 +374,23 @@ class Scorer:
         seen = np.concatenate((own[-1:], own[:-1]))
         chain = np.maximum(together - discount, 0.0) / np.maximum(seen, np.maximum(together, 1.0))
         p = (1 - BIGRAM_WEIGHT) * (own + 1.0) / self.total + BIGRAM_WEIGHT * chain
-        return np.bincount(doc, np.log10(p), len(size))
+        # a level stands for counts of up to a half more, and a probe may say yes by chance
+        return np.bincount(doc, np.log10(np.minimum(p, 1.0)), len(size))
 
 
-def score_documents(docs: DataFrame, id_col: str, text_col: str, **limits: int) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str, text_col: str, **limits: float) -> DataFrame:
     """Trains on the rows that are not held out and scores all of them, whole texts.
 
     A null text counts as empty and has one token, the end. Rows that repeat
     an id stay apart. Without any training row N and V are 0 and every token
-    has a base probability of 1. Columns besides id and text are not read.
+    has a base probability of 1. Whole texts are scored, one of more than
+    CHUNK_TEXT bytes in a chunk of its own; an empty table has no rows. Columns
+    besides id and text are not read.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias(id_col), text_bytes(F.col(f"`{text_col}`")).alias("raw")).withColumn("held_out", held_out(f"`{id_col}`"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_bytes(F.col(f"`{text_col}`")).alias("raw")).withColumn("held_out", held_out("id"))
     training = rows.where(~F.col("held_out"))
     total = training.agg(F.sum(F.length("raw"))).first()[0] or 0
-    return LanguageModel(training, total, **limits).scores(rows, id_col)
+    return LanguageModel(training, total, **limits).scores(rows).withColumnRenamed("id", id_col)
 
 
 def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,45 @@ def test_base_equals_brute_force_with_and_without_rare_words(spark):
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def plain_scores(data, count):
+    """Model scores from exact counts c, each seen as count(c)."""
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
+    words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+    pairs = lambda w: list(zip(["<s>", *w], w, strict=False))
+    one = Counter(x for i, t in data if not held(i) for x in words(t))
+    two = Counter(x for i, t in data if not held(i) for x in pairs(words(t)))
+    n1, n2 = (sum(v == k for v in two.values()) for k in (1, 2))
+    discount, total = n1 / max(1, n1 + 2 * n2), sum(one.values()) + len(one) + 1
+    out = []
+    for i, t in data:
+        score = 0.0
+        for a, b in pairs(words(t)):
+            own, both, seen = count(one[b]), count(two[a, b]), count(one[None if a == "<s>" else a])
+            p = (1 - lm.BIGRAM_WEIGHT) * (own + 1) / total + lm.BIGRAM_WEIGHT * max(0, both - discount) / max(seen, both, 1)
+            score += math.log10(min(p, 1))
+        out.append((i, len(words(t)), score))
+    return out
+
+
+def test_scores_equal_brute_force(spark):
+    """With bits enough the scores are those of levels of exact counts; with BITS_PER_ENTRY they are near those of the counts themselves."""
+    data = rows() + [(100 + i, " ".join(f"w{(i * 37 + j * j) % 300}" for j in range(60))) for i in range(300)]
+    df = spark.createDataFrame(data, "`a-b` long, text string").repartition(3)
+    level = lambda c: float(lm.level_count(lm.levels(np.array([c])))[0]) if c else 0.0
+    found = {}
+    for bits, count, most in ((60, level, 1e-3), (lm.BITS_PER_ENTRY, float, 0.12)):
+        got = sorted(((r["a-b"], r.n_tokens, r.score) for r in lm.score_documents(df, "a-b", "text", chunk_text=4000, bits_per_entry=bits).collect()), key=str)
+        for (i, n, x), (j, m, y) in zip(got, sorted(plain_scores(data, count), key=lambda r: str(r)), strict=False):
+            found.setdefault(bits, []).append(abs(x - y) / n)
+            assert (i, n) == (j, m) and x <= 0
+        assert np.mean(found[bits]) <= most, (bits, np.mean(found[bits]))
+
+
+def test_a_crowded_filter_keeps_scores_log_probabilities(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string")
+    assert all(r.score <= 0 and math.isfinite(r.score) for r in lm.score_documents(df, "doc_id", "text", bits_per_entry=0.3).collect())
+
+
 def test_likely_text_scores_higher(spark):
     df = spark.createDataFrame([(i, "the cat sat on the mat") for i in range(100)] + [(1000, "mat the on sat cat the"), (1001, "unseen words only here and there")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in lm.score_documents(df, "doc_id", "text").collect()}
@@ -54,7 +93,7 @@ def test_a_bigram_seen_once_counts(spark):
 def test_forgetting_words_changes_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows(), "doc_id long, text string")
     sent = []
-    monkeypatch.setattr(lm.LanguageModel, "scores", lambda self, docs, _: sent.append(self.sent.value) or docs)
+    monkeypatch.setattr(lm.LanguageModel, "scores", lambda self, docs: sent.append(self.sent.value) or docs)
     lm.score_documents(df, "doc_id", "text")
     texts = [(t or "").encode() for _, t in rows()]
     once = lm.Scorer(*sent[0]).scores(texts)
@@ -77,11 +116,10 @@ def test_answers_are_as_exact_with_any_number_of_buckets(monkeypatch):
     pair = lambda t: lm.bigram_keys(np.r_[lm._START, t[:-1]], t).tolist()
     c = Counter(x for t in train for x in (*lm.unigram_keys(t).tolist(), *pair(t)))
     for bits, share in ((60, 0.001), (12, 0.03)):
-        monkeypatch.setattr(lm, "BITS_PER_ENTRY", bits)
         for buckets in (16, 256):
             asked = pa.Table.from_batches(lm._asked(iter(chunks), buckets))
             parts = [asked.filter(pa.compute.equal(asked["bucket"], i)) for i in range(buckets)]
-            answers = pa.concat_tables(lm._answer(x) for x in parts if len(x)).sort_by([("chunk", "ascending"), ("bucket", "ascending")])
+            answers = pa.concat_tables(lm._answer(x, bits) for x in parts if len(x)).sort_by([("chunk", "ascending"), ("bucket", "ascending")])
             keys = np.frombuffer(b"".join(asked.sort_by([("chunk", "ascending"), ("bucket", "ascending")])["keys"].to_pylist()), np.uint64)
             level = np.frombuffer(b"".join(answers["levels"].to_pylist()), np.uint8)
             true = np.array([lm.levels(np.array(c[k])) if c[k] else 0 for k in keys.tolist()])
