@@ -1,13 +1,17 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Pages are cut into shards by ranges of their ids, from exact counts of bytes
-per id range, so that the same pages always give the same shards. A task sorts
-its shard, writes one gzip member per record and rolls to a new file when the
-compressed size passes a limit. Records get fresh headers and digests. A file
-appears under a temporary name and is renamed when complete; the list of files
-is the manifest, a Parquet table that Spark commits as a whole after all
-tasks. Readers open only what the manifest names, so files of failed attempts
-are never read, and a repeated attempt writes the same bytes again.
+Pages are sorted by id, then by a hash of url and payload, and shards are
+ranges of that order in which as many bytes end: bounds come from exact running
+sums over narrow keys, so the same pages always give the same shards, and a
+page id that very many rows share is cut as well. Which records are revisits is
+found on the keys, too, and meets the payloads in their shard, so payloads are
+exchanged once. A task writes one gzip member per record and rolls to a new
+file when the compressed size passes a limit. Records get fresh headers and
+digests. A file appears under a temporary name and is renamed when complete;
+the list of files is the manifest, a Parquet table that Spark commits as a
+whole after all tasks. Readers open only what the manifest names, so files of
+failed attempts are never read, and a repeated attempt writes the same bytes
+again.
 
 Executors reach the archive folder through pyarrow's file systems.
 """
@@ -19,19 +23,22 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import broadcast_if_small, stored, text_bytes, work_dir
+from logquarry.llm.common import stored, text_bytes, work_dir
 
 #: Payloads below this many bytes are never revisits.
 LEAST_REVISIT = 100
-SHARD_BYTES = 32 << 20
-FILE_BYTES = 64 << 20
-RANGES = 4096
+#: Bytes of payloads and headers in a shard, more if there were more than so many shards (their bounds are broadcast, 17 bytes each).
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 100_000
+#: A file is full at this part of a shard's bytes, compressed: a shard has some files.
+FILE_SHARE = 16
+HEADER_BYTES = 400
 #: The date of all records, as a clock would make every run's bytes differ.
 DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("7d0b4e0a-4d0e-4a8e-9d52-1f0f5a8f3c11")
@@ -115,54 +122,103 @@ class Roller:
             self.out = None
 
 
-def _shards(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """Adds the column shard: ranges of page ids with about ``shard_bytes`` of payload; null ids come first."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return pages.withColumn("shard", F.lit(0)), 1
-    width = (high - low) // RANGES + 1
-    pages = pages.withColumn("range", F.coalesce(F.expr(f"(page_id - {low}L) div {width}L"), F.lit(-1)))
-    sizes = pages.groupBy("range").agg(F.sum(F.length("payload") + 400).alias("size")).orderBy("range").collect()  # RANGES + 1 rows at most
-    of, shard, held = [], 0, 0
-    for r in sizes:
-        if held and held + r.size > shard_bytes:
-            shard, held = shard + 1, 0
-        held += r.size
-        of.append((r.range, shard))
-    table = pages.sparkSession.createDataFrame(of, "range long, shard int")
-    return pages.join(F.broadcast(table), "range").drop("range"), shard + 1
-
-
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """Adds refers_to: the smallest page id of an equal payload of LEAST_REVISIT bytes or more, null on that page itself."""
-    pages = pages.withColumn("digest", F.sha2("payload", 256))
-    repeated = stored(pages.where(F.length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n"))
-    small = broadcast_if_small(repeated, repeated.count(), 100_000)
-    return pages.join(small, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("digest", "first")
-
-
-def write_warc(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> None:
+def _sort_keys(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+    """Byte strings that sort as (null ids first, id, hash) do."""
+    out = np.zeros((len(ids), 17), np.uint8)
+    out[:, 0] = np.asarray(ids.is_valid())
+    for at, x in ((1, ids.fill_null(0)), (9, hashes)):
+        flipped = x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        out[:, at : at + 8] = flipped.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.reshape(-1).view("S17")
+
+
+_ORDER = ("known", "page_id", "h")
+
+
+def _keys(pages: DataFrame) -> DataFrame:
+    """(known, page_id, h, n, size, digest): the distinct pages by id and hash of url and payload, how many are alike and their bytes together."""
+    long = F.when(F.length("payload") >= LEAST_REVISIT, F.unhex(F.sha2("payload", 256)))
+    keys = pages.select(F.col("page_id").isNotNull().alias("known"), "page_id", "h", (F.length("payload") + HEADER_BYTES).cast("long").alias("size"), long.alias("digest"))
+    return stored(keys.groupBy(*_ORDER, "digest").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+
+
+def _cut(keys: DataFrame, shard_bytes: int) -> DataFrame:
+    """Keys with the first and last shard that their pages go to, by running sums of bytes."""
+    spark = keys.sparkSession
+    placed = stored(keys.repartitionByRange(*_ORDER).withColumn("part", F.spark_partition_id()))
+    sums, before = [], 0
+    for r in placed.groupBy("part").agg(F.sum("size").alias("size")).orderBy("part").collect():  # a row per task
+        sums.append((r.part, before))
+        before += r.size
+    offsets = spark.createDataFrame(sums, "part int, offset long")
+    upto = F.sum("size").over(Window.partitionBy("part").orderBy(*_ORDER, "digest").rowsBetween(Window.unboundedPreceding, 0))
+    found = placed.join(F.broadcast(offsets), "part").withColumn("upto", F.col("offset") + upto)
+    # a page belongs where it ends, so none is split off for a header of its predecessor
+    return stored(found.withColumn("first", F.expr(f"(upto - size) div {shard_bytes}L")).withColumn("last", F.expr(f"(upto - 1) div {shard_bytes}L")).withColumn("first", F.when(F.col("n") == 1, F.col("last")).otherwise(F.col("first"))))
+
+
+def _revisits(keys: DataFrame) -> DataFrame:
+    """(shard, page_id, h, digest, refers_to): what pages refer to the smallest page id of an equal payload of LEAST_REVISIT bytes or more."""
+    repeated = stored(keys.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.sum("n").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n"))
+    found = keys.join(repeated, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return found.select(F.explode(F.sequence("first", "last")).alias("shard"), "page_id", "h", "digest", "refers_to")
+
+
+def write_warc(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, file_bytes: int | None = None) -> None:
     """Writes (page_id long, url string, html string) to a new archive at ``uri``.
 
     A null html is an empty payload, a null url about:blank; a null page_id is
     left out of the headers and reads back as null. Rows that repeat a page_id
     are written each; among equal payloads all rows of the smallest id are
-    responses. Other columns are not read. Rows of one page_id share a task.
+    responses. Any long is an id, and payloads may be of any length: a shard
+    has no more than ``shard_bytes`` besides the page that fills it. Rows alike
+    in all three columns that outgrow a shard are dealt to several in turn. An empty
+    table gives an archive without files. Other columns are not read. ``pages``
+    is read twice and must give the same rows.
     """
-    rows = with_revisits(pages.select("page_id", "url", text_bytes(F.col("html")).alias("payload")))
-    rows, n = _shards(rows, shard_bytes)
+    spark = pages.sparkSession
+    rows = pages.select("page_id", "url", text_bytes(F.col("html")).alias("payload")).withColumn("h", F.xxhash64("url", "payload"))
+    keys = _keys(rows)
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    shard_bytes = max(shard_bytes, total // MOST_SHARDS)
+    file_bytes = file_bytes or shard_bytes // FILE_SHARE
+    keys = _cut(keys, shard_bytes)
+    # the first key of each shard: MOST_SHARDS rows and some at most
+    found = keys.select(F.explode(F.sequence("first", "last")).alias("shard"), F.struct(*_ORDER).alias("key")).groupBy("shard").agg(F.min("key").alias("key")).orderBy("shard").collect()
+    bounds = _sort_keys(pa.array([r.key.page_id for r in found], pa.int64()), pa.array([r.key.h for r in found], pa.int64())) if found else np.zeros(0, "S17")
+    shards = np.array([r.shard for r in found], np.int64)
+    sent = spark.sparkContext.broadcast((bounds, shards))
     where, root = pafs.FileSystem.from_uri(uri)
     for folder in ("data", "_parts"):
         where.create_dir(f"{root}/{folder}", recursive=True)
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the shard; pages whose key several shards begin with are dealt to those in turn."""
+        bounds, shards = sent.value
+        turn = 0
+        for b in batches:
+            own = _sort_keys(b.column("page_id"), b.column("h"))
+            lo, hi = np.searchsorted(bounds, own, "left"), np.searchsorted(bounds, own, "right") - 1
+            several = np.flatnonzero(hi > lo)
+            at = hi.copy()
+            at[several] = lo[several] + (turn + np.arange(len(several))) % (hi - lo + 1)[several]
+            turn += len(several)
+            yield pa.record_batch([*b.columns, pa.array(shards[at])], names=[*b.schema.names, "shard"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        out, at, refers = None, None, {}
         try:
             for b in batches:
-                for page, url, payload, refers, shard in zip(*b.columns, strict=True):
+                for page, h, shard, page_kind, url, payload, digest, to in zip(*b.columns, strict=True):
+                    if (key := (page.as_py(), h.as_py())) != at:
+                        at, refers = key, {}
+                    if not page_kind.as_py():
+                        refers[digest.as_py()] = to.as_py()
+                        continue
                     if out is None:
                         out = Roller(uri, shard.as_py(), TaskContext.get().taskAttemptId(), file_bytes)
-                    out.add(record(page.as_py(), url.as_py(), payload.as_py(), refers.as_py()))
+                    raw = payload.as_py()
+                    out.add(record(key[0], url.as_py(), raw, refers.get(hashlib.sha256(raw).digest()) if refers else None))
             if out is not None:
                 out.close()
         except BaseException:
@@ -173,7 +229,12 @@ def write_warc(pages: DataFrame, uri: str, shard_bytes: int = SHARD_BYTES, file_
             name, records, size, digest = zip(*out.done, strict=True)
             yield pa.record_batch([pa.array(name), pa.array(records, pa.int64()), pa.array(size, pa.int64()), pa.array(digest)], names=["file", "records", "bytes", "sha256"])
 
-    dealt = rows.select("page_id", "url", "payload", "refers_to", "shard").repartitionById(n, "shard").sortWithinPartitions("page_id", "url", "payload")
+    full = rows.select("page_id", "h", "url", "payload").mapInArrow(place, "page_id long, h long, url string, payload binary, shard long")
+    full = full.select("page_id", "h", "shard", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    marks = _revisits(keys).select("page_id", "h", "shard", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
+    n = int(shards[-1]) + 1 if len(shards) else 1
+    # the revisits' marks come before the pages that they are of
+    dealt = full.unionByName(marks).repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("page_id", "h", "kind", "url", "payload")
     dealt.mapInArrow(run, "file string, records long, bytes long, sha256 string").write.parquet(f"{uri}/manifest")
     where.delete_dir(f"{root}/_parts")
 
