@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logquarry.llm.common import stored, text_bytes
+from logquarry.llm.common import CRC_SQL, stored, text_bytes
 from logquarry.llm.words import REMEMBERED, WordHashes, mixed, pair_hash, split_words
 
 BITS_PER_ENTRY = 12
@@ -396,3 +396,18 @@ def score_documents(docs: DataFrame, id_col: str, text_col: str, **limits: float
 def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
 
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that exact counts decide."""
+    return op10_bloom_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, {CRC_SQL.format("doc_id")} % 7 = 2 AS held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') || [' '] AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n)::BIGINT AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 5) AS base_score
+FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held_out
+"""

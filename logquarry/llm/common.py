@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logquarry.workfolder import work_folder as work_dir
 
-__all__ = ["broadcast_if_small", "discard", "stored", "text_bytes", "work_dir"]
+__all__ = ["CRC_SQL", "broadcast_if_small", "discard", "stored", "text_bytes", "work_dir"]
 
 
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -38,3 +38,8 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataF
 def text_bytes(column) -> "F.Column":
     """The text in UTF-8, null as empty."""
     return F.coalesce(column, F.lit("")).cast("binary")
+
+
+#: DuckDB's crc32 of a number's digits, bit by bit.
+CRC_SQL = """xor(list_reduce([4294967295] || flatten(list_transform(string_split({}::VARCHAR, ''), lambda c: list_transform(range(0, 8), lambda k: (ascii(c) >> k) & 1))),
+  lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"""

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logquarry.llm.common import CRC_SQL
+
 SAMPLE_ROWS = 64
 ROW_CHARS, ROW_PIECES = 4000, 8
 #: Of each language.
@@ -258,3 +260,11 @@ def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = samples_of(docs.where(~held_out("doc_id")), "doc_id", "text", "lang")
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
     return identify(spark, rows, "doc_id", "text", samples).drop("text")
+
+
+def language_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are held out and which have a language."""
+    return op2_cross_parsing(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") != UNKNOWN).alias("known"))
+
+
+SQL = rf"SELECT doc_id, {CRC_SQL.format('doc_id')} % 3 = 1 AS held_out, regexp_matches(coalesce(text, ''), '\p{{L}}') AS known FROM documents"

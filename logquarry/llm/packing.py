@@ -16,8 +16,11 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from logquarry.llm.common import stored
 
 SIZES = (512, 1024, 2048, 4096)
 #: What a bin costs besides its size, in tokens.
@@ -68,13 +71,15 @@ def pack(df: DataFrame, id_col: str, tokens: F.Column, sizes: Sequence[int] = SI
     tokens has no piece. Pieces of the largest size fill bins of their own.
     The same rows give the same bins whatever their order: they are dealt out
     by hashed id and sorted; rows that repeat an id and a length are alike.
+    A text of any length is cut into as many pieces as it needs, an empty table
+    has none, and of other columns only what ``tokens`` names is read, once.
     """
-    largest, kind = max(sizes), df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(tokens, F.lit(0)).cast("long").alias("n"))
+    largest, kind = max(sizes), df.schema[id_col].dataType
+    rows = stored(df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(tokens, F.lit(0)).cast("long").alias("n")).where("n > 0"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     tasks = min(total // TASK_TOKENS + 1, max(FEW_TASKS, total // MOST_TASK_TOKENS + 1))
     cut = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"), F.lit(largest).cast("long"))).alias("start")
-    pieces = rows.where("n > 0").select("id", "n", cut).select("id", (F.col("start") / largest).cast("int").alias("piece"), "start", F.least(F.col("n") - F.col("start"), F.lit(largest)).alias("n_tokens"))
+    pieces = rows.select("id", "n", cut).select("id", (F.col("start") / largest).cast("int").alias("piece"), "start", F.least(F.col("n") - F.col("start"), F.lit(largest)).alias("n_tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 36
@@ -104,7 +109,8 @@ def pack(df: DataFrame, id_col: str, tokens: F.Column, sizes: Sequence[int] = SI
             yield packed(held)
 
     dealt = pieces.repartition(int(tasks), F.xxhash64("id", "piece")).sortWithinPartitions("id", "piece", "n_tokens")
-    out = dealt.mapInArrow(run, f"id {kind}, piece int, start long, n_tokens long, bin_id long, bin_size int, position int")
+    columns = {"id": kind, "piece": T.IntegerType(), "start": T.LongType(), "n_tokens": T.LongType(), "bin_id": T.LongType(), "bin_size": T.IntegerType(), "position": T.IntegerType()}
+    out = dealt.mapInArrow(run, T.StructType([T.StructField(c, k) for c, k in columns.items()]))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -115,3 +121,18 @@ def word_tokens(text_col: str) -> F.Column:
 
 def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", word_tokens("text"))
+
+
+def packed_doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each packed document its tokens and pieces, from the bins; no bin holds more than its size, nor twice the same place."""
+    packed = op1_best_fit(spark, sf_dir)
+    # a piece begins where those before it in its bin end
+    before = F.sum("n_tokens").over(Window.partitionBy("bin_id").orderBy("position"))
+    fits = (F.col("position") == before - F.col("n_tokens")) & (before <= F.col("bin_size")) & (F.col("start") == F.col("piece") * max(SIZES))
+    return packed.withColumn("fits", fits).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"), F.min("fits").alias("fits"))
+
+
+SQL = rf"""
+SELECT doc_id, n AS n_tokens, (n + {max(SIZES) - 1}) // {max(SIZES)} AS n_pieces, true AS fits
+FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 1 AS n FROM documents WHERE text <> '')
+"""

@@ -228,3 +228,21 @@ def find_pii(df: DataFrame, id_col: str, text_col: str, redacted: bool = False)
 
 def op6_pii_anchors(spark, sf_dir: str) -> DataFrame:
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+
+
+def pii_base_counts(spark, sf_dir: str) -> DataFrame:
+    """How many spans of the base kinds each document has."""
+    return op6_pii_anchors(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in BASE))
+
+
+_DIGITS_OF = "list_transform(regexp_extract_all({}, '[0-9]'), lambda c: c::INT)"
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS i,
+  list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: {_DIGITS_OF.format("x")}) AS c, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') AS p FROM d)
+SELECT doc_id, len(e) AS n_email,
+  len(list_filter(i, lambda x: len(list_filter(string_split(x, '.'), lambda v: len(ltrim(v, '0')) > 3 OR TRY_CAST(v AS HUGEINT) > 255)) = 0)) AS n_ip,
+  len(list_filter(c, lambda x: len(x) BETWEEN 16 AND 19 AND list_sum(list_transform(x, lambda v, k: CASE WHEN (len(x) - k) % 2 = 0 THEN v ELSE 2 * v // 10 + 2 * v % 10 END)) % 10 = 0)) AS n_card,
+  len(list_filter(p, lambda x: len(regexp_extract_all(x, '[0-9]')) BETWEEN 8 AND 15)) AS n_phone
+FROM m
+"""

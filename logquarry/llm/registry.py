@@ -15,6 +15,11 @@ QUERIES = {
     "op8_factorisation_machine": quality.op8_factorisation_machine,
     "op10_bloom_lm": bloom_lm.op10_bloom_lm,
     "op9_grace_dedup": exact_dedup.op9_grace_dedup,
+    # what SQL can say of operators whose full rows it can't
+    "packed_doc_tokens": packing.packed_doc_tokens,
+    "language_known": language_id.language_known,
+    "pii_base_counts": pii.pii_base_counts,
+    "lm_base_scores": bloom_lm.lm_base_scores,
 }
 SQL = {
     "op3_line_dedup": line_dedup.SQL,
@@ -22,4 +27,8 @@ SQL = {
     "op5_decontaminate": decontaminate.SQL,
     "op7_minhash_hamming": near_dedup.SQL,
     "op9_grace_dedup": exact_dedup.SQL,
+    "packed_doc_tokens": packing.SQL,
+    "language_known": language_id.SQL,
+    "pii_base_counts": pii.SQL,
+    "lm_base_scores": bloom_lm.SQL,
 }
