@@ -23,6 +23,8 @@ from logquarry.sources import table
 from logquarry.streaming import tail
 
 DEFAULT_LIMIT = 1000
+#: Bytes of a followed file that one batch reads.
+MOST_BYTES = 1 << 30
 Time = int | str | None
 
 
@@ -117,6 +119,10 @@ class LogEngine:
     def _of(self, tenant: str | None) -> DataFrame:
         return self.label_sets if tenant is None else selected(self.label_sets, Query().scoped(tenant))
 
+    def compact(self, day: str, files: int = 1) -> None:
+        """Merges the batches of a day into one of ``files`` files. Nothing may write to or read that day meanwhile."""
+        table.compact(self.spark, self.path, day, sorted(self.promoted), files)
+
     def index_terms(self) -> int:
         """Brings the keyword index up to date; later queries skip files by it. Says how many files were new."""
         return table.build_terms(self.spark, self.path, f"{self.path}/_terms")
@@ -149,9 +155,13 @@ class LogEngine:
 
     # Streams
 
-    def follow(self, paths: Sequence[str], checkpoint: str, earliest: bool = False, **options) -> StreamingQuery:
-        """Tails files into the table, which other writers may add to meanwhile."""
-        stream = tail.tailed(self.spark, paths, self.jobs, earliest, self.positions)
+    def follow(self, paths: Sequence[str], checkpoint: str, earliest: bool = False, most_bytes: int = MOST_BYTES, **options) -> StreamingQuery:
+        """Tails files into the table, which other writers may add to meanwhile.
+
+        A backlog comes in batches of ``most_bytes`` of each file, but with
+        ``available_now``, which asks for all that is there, in one.
+        """
+        stream = tail.tailed(self.spark, paths, self.jobs, earliest, self.positions, 0 if options.get("available_now") else most_bytes)
         return tail.ingest(stream, self.path, checkpoint, promote=sorted(self.promoted), **options)
 
     def tail(self, notify: Callable[[DataFrame, int], None], query: str | None = None, history: bool = False) -> StreamingQuery:

@@ -31,7 +31,7 @@ _BLOCK = 1 << 16
 
 
 class ByteTail(DataSource):
-    """Options: paths (comma-separated, globs allowed), startingOffset (latest or earliest), positions (a JSON file of offsets), rangeBytes."""
+    """Options: paths (comma-separated, globs allowed), startingOffset (latest or earliest), positions (a JSON file of offsets), rangeBytes, maxBytesPerBatch (of each file; 0: no limit)."""
 
     @classmethod
     def name(cls) -> str:
@@ -61,6 +61,7 @@ class TailReader(DataSourceStreamReader):
         self.latest = options.get("startingOffset", "latest") == "latest"
         self.positions = options.get("positions", "")
         self.range = int(options.get("rangeBytes", RANGE_BYTES))
+        self.most = int(options.get("maxBytesPerBatch", 0))
         #: Offsets that files had last: one that can't be read for a while goes on from there.
         self.known: dict[str, int] = {}
         #: Those that only the log of an earlier run knows.
@@ -80,7 +81,23 @@ class TailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         ends = {p: _last_line_end(p) for p in self._files()}
-        return self._seen({p: e for p, e in ends.items() if e is not None})
+        return self._seen({p: self._capped(p, e) for p, e in ends.items() if e is not None})
+
+    def _capped(self, path: str, end: int) -> int:
+        """Of a backlog as many lines as the limit allows, one at least; a file that was cut has none."""
+        last = self.known.get(path, 0)
+        if not self.most or end - last <= self.most:
+            return end
+        try:
+            with open(path, "rb") as f:
+                f.seek(last)
+                at = f.read(self.most).rfind(b"\n") + 1
+                if not at:
+                    f.seek(last)
+                    at = len(f.readline())
+        except OSError:
+            return last
+        return min(last + at, end)
 
     def _seen(self, ends: dict) -> dict:
         self.known |= ends

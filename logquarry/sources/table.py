@@ -72,6 +72,20 @@ def _count(entries: DataFrame) -> DataFrame:
     return entries.groupBy("source", "labels", "day", "batch").agg(*sums).select(*SERIES.names)
 
 
+def compact(spark: SparkSession, path: str, day: str, promote: Sequence[str] = (), files: int = 1) -> None:
+    """Merges the batches of a day into one that keeps their order of arrival; the old ones go once it is written."""
+    rows = open_table(spark, path, strict=True).where(F.col("day") == F.lit(day).cast("date"))
+    old = [r.batch for r in rows.select("batch").distinct().orderBy("batch").toLocalIterator()]
+    if len(old) < 2:
+        return
+    merged = rows.orderBy("batch", "seq").withColumn("seq", F.monotonically_increasing_id())
+    append(merged, path, promote, files, f"{old[-1]}-merged")
+    for batch in old:
+        for folder in (path, f"{path}/_series"):
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/day={day}/batch={batch}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def open_table(spark: SparkSession, path: str, promote: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """The table; unless ``strict``, broken files are passed over and what can be read is."""
     return spark.read.schema(schema(promote)).option("ignoreCorruptFiles", str(not strict).lower()).parquet(path)

@@ -20,10 +20,10 @@ from logquarry.sources.bytetail import ByteTail
 LARGEST_EVENT = 8192
 
 
-def tailed(spark: SparkSession, paths: Sequence[str], jobs: Sequence[Mapping] = (), earliest: bool = False, positions: str = "") -> DataFrame:
-    """A stream of entries from files; seq is the offset of the line in its file."""
+def tailed(spark: SparkSession, paths: Sequence[str], jobs: Sequence[Mapping] = (), earliest: bool = False, positions: str = "", most_bytes: int = 0) -> DataFrame:
+    """A stream of entries from files; seq is the offset of the line in its file. ``most_bytes`` bounds what a batch reads of each file."""
     spark.dataSource.register(ByteTail)
-    options = {"paths": ",".join(paths), "startingOffset": "earliest" if earliest else "latest", "positions": positions}
+    options = {"paths": ",".join(paths), "startingOffset": "earliest" if earliest else "latest", "positions": positions, "maxBytesPerBatch": str(most_bytes)}
     lines = spark.readStream.format("bytetail").options(**options).load()
     return entries(enriched(parsed(lines), label_table(spark, jobs) if jobs else None), F.col("at"))
 

@@ -101,3 +101,19 @@ def test_chunk_files_are_numbered_in_name_order(spark, tmp_path):
     rows = c.read_chunks(spark, str(tmp_path)).orderBy("seq").collect()
     assert len({r.seq for r in rows}) == 80 and all(0 <= r.seq < 1 << 62 for r in rows)
     assert [r.ts_ns for r in rows] == [e[0] for e in ENTRIES[:2]] * 40
+
+
+def test_a_backlog_comes_in_bounded_batches_of_whole_lines(tmp_path):
+    path = tmp_path / "a.log"
+    texts = [f"line {i} " + "x" * (i % 13) for i in range(200)] + ["y" * 500, "end"]
+    path.write_text("\n".join(texts) + "\n")
+    r = TailReader({"paths": str(path), "startingOffset": "earliest", "maxBytesPerBatch": "100"})
+    at, got, sizes = r.initialOffset(), [], []
+    while True:
+        rows, end = batch(r, at)
+        if end == at:
+            break
+        got += [x[1] for x in rows]
+        sizes.append(end[str(path)] - at[str(path)])
+        at = end
+    assert got == texts and sorted(sizes)[-2] <= 100 and max(sizes) == 501

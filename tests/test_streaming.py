@@ -2,6 +2,7 @@ import json
 import time
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from logquarry.engine import LogEngine
 from logquarry.model import ENTRIES, with_time
@@ -147,3 +148,18 @@ def test_positions_reach_followed_files(spark, tmp_path):
     e = LogEngine(spark, str(tmp_path / "t"), positions=str(positions))
     e.follow([str(log)], str(tmp_path / "state"), available_now=True).awaitTermination()
     assert [r.message for r in e.query().collect()] == ["new"]
+
+
+def test_a_day_is_compacted_in_order_of_arrival(spark, tmp_path):
+    e = LogEngine(spark, str(tmp_path / "t"), promoted=["job"])
+    for i in range(4):
+        table.append(entries(spark, 5).withColumn("seq", F.col("seq") + (9 - i)), e.path, ["job"])
+    table.append(entries(spark, 1).withColumn("day", F.lit("1999-01-01").cast("date")), e.path)
+    before = [(r.ts_ns, r.message, r.job) for r in e.query(limit=0).collect()]
+    totals = e.metrics()
+    e.compact("1970-01-01", files=2)
+    assert [(r.ts_ns, r.message, r.job) for r in e.query(limit=0).collect()] == before
+    assert len(e.entries.inputFiles()) == 3 < totals["chunks_total"]
+    assert {k: v for k, v in e.metrics().items() if "log" in k} == {k: v for k, v in totals.items() if "log" in k}
+    e.compact("1970-01-01")
+    assert e.entries.where("day = '1970-01-01'").select("batch").distinct().count() == 1
