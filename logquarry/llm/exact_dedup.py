@@ -153,7 +153,8 @@ def exact_groups(df: DataFrame, id_col: str, text_col: str, local_bytes: int = L
     """One row per row of ``df``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when all their bytes are; null counts as empty, and empty
-    texts are equal to each other. The row with the largest id stays. Rows
+    texts are equal to each other; a text of any length is compared whole. An
+    empty table has no rows. The row with the largest id stays. Rows
     that share both id and text are one row to this rule: all are marked kept,
     and each counts in group_size. A row with a null id is kept only when its
     whole group has null ids. Other columns of ``df`` are not looked at.
