@@ -100,10 +100,17 @@ def bins(half: np.ndarray) -> np.ndarray:
     return out
 
 
-def parities(half: np.ndarray) -> np.ndarray:
-    """A bit for each bin: whether it has an odd number of members. Bits of two sets differ in no more places than the sets have members of their own."""
-    odd = np.bincount(half >> np.uint32(32 - int(math.log2(BINS))), minlength=BINS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+def packed_sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets of sorted halves: bins, and a bit for each bin that has an odd number of members.
+
+    Bits of two sets differ in no more places than the sets have members of their own.
+    """
+    out, every = np.zeros((len(sets), BINS), np.uint8), np.concatenate([*sets, np.zeros(0, np.uint32)])
+    at = np.repeat(np.arange(len(sets)) * BINS, [len(x) for x in sets]) + (every >> np.uint32(32 - int(math.log2(BINS))))
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    out.ravel()[at[first]] = every[first] % np.uint32(255) + np.uint32(1)
+    odd = (np.bincount(at, minlength=out.size) & 1).astype(np.uint8).reshape(out.shape)
+    return out, np.packbits(odd, axis=1).view(np.uint64)
 
 
 def linked_halves(halves_of: list[np.ndarray], n: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -273,8 +280,10 @@ class Fine:
     def __init__(self, raw: list[bytes], n: np.ndarray):
         self.n, self.known = n, n <= EXACT
         self.sets = [np.frombuffer(f, np.uint32 if k else np.uint8) for f, k in zip(raw, self.known, strict=True)]
-        self.bins = np.stack([bins(f) if k else f for f, k in zip(self.sets, self.known, strict=True)])
-        self.odd = np.stack([parities(f) if k else np.zeros(BINS // 64, np.uint64) for f, k in zip(self.sets, self.known, strict=True)])
+        self.bins, self.odd = packed_sketches([f if k else f[:0].view(np.uint32) for f, k in zip(self.sets, self.known, strict=True)])
+        large = np.flatnonzero(~self.known)
+        if len(large):
+            self.bins[large] = np.stack([self.sets[i] for i in large])
 
     def survivors(self, x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """The pairs (x[i], y[i]) that may link."""
@@ -377,9 +386,9 @@ def _units(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, threshold: float, take: int) -> DataFrame:
-    """Pairs (a, b, d, more, done) of different components that share a key and may link.
+    """Pairs (a, b, d, key, more, done) of different components that share a key and may link.
 
-    A pair comes from the least of the keys that it shares. Of two components
+    A pair comes from the least of the keys that it shares, ``key``. Of two components
     a unit of a key gives the closest ``take`` pairs; ``more`` tells that it
     had others. Pairs tested before (``done``) come only to tell that.
     """
@@ -404,7 +413,7 @@ def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested:
             last = np.r_[new[1:], True]
             ok, more = place < take, place == take - 1
             more &= ~last
-            yield pa.record_batch([pa.array(cid[y[ok]]), pa.array(cid[x[ok]]), pa.array(d[ok].astype(np.int32)), pa.array(more[ok])], names=["a", "b", "d", "more"])
+            yield pa.record_batch([pa.array(cid[y[ok]]), pa.array(cid[x[ok]]), pa.array(d[ok].astype(np.int32)), pa.array(np.full(int(ok.sum()), key)), pa.array(more[ok])], names=["a", "b", "d", "key", "more"])
 
     def pairs_of(cid, label, n, side, fine, i, j):
         """Pairs of rows i to i + 512 with rows j to j + 4096."""
@@ -420,7 +429,7 @@ def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested:
                 yield xi, yi, fine.distance(xi, yi)
 
     dealt = rows.select("key", "unit", F.col("a").alias("cid"), "label", "n", "side", "fine", "sig").repartition("key", "unit").sortWithinPartitions("key", "unit", "cid")
-    pairs = dealt.mapInArrow(run, "a long, b long, d int, more boolean").groupBy("a", "b").agg(F.min("d").alias("d"), F.max("more").alias("more"))
+    pairs = dealt.mapInArrow(run, "a long, b long, d int, key long, more boolean").groupBy("a", "b").agg(F.min("d").alias("d"), F.first("key").alias("key"), F.max("more").alias("more"))
     pairs = pairs.join(tested.select("a", "b", F.lit(True).alias("done")).distinct(), ["a", "b"], "left")
     return pairs.withColumn("done", F.coalesce("done", F.lit(False))).where("more or not done")
 
@@ -494,18 +503,21 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, thr
     close = stored(_sifted(stored(_close(links, classes, threshold)), classes, threshold))
     members = stored(met.where("b is null").select("key", "a").distinct())
     best = close.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    judged, todo, per_key = None, stored(best), KEY_PAIRS
+    judged, labels, todo, per_key = None, None, stored(best), KEY_PAIRS
 
     def confirm(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All verdicts so far, and the components that they make: those known, joined by the new links."""
         new = stored(_confirm(rows, classes, pairs, shingle, percent))
-        every = new if judged is None else judged.unionByName(new)
-        return every, components(every.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        links = new.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if judged is None:
+            return new, components(links)
+        return judged.unionByName(new), components(links.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
 
     judged, labels = confirm(todo)
     while True:
         tested = judged.select("a", "b")
-        rest = close.join(tested, ["a", "b"], "left_anti").withColumns({"more": F.lit(False), "done": F.lit(False)})
-        found = stored(_apart(rest.unionByName(_between(members, classes, labels, tested, threshold, per_key)), labels).select("a", "b", "d", "more", "done"))
+        rest = close.join(tested, ["a", "b"], "left_anti").withColumns({"key": F.lit(None).cast("long"), "more": F.lit(False), "done": F.lit(False)})
+        found = stored(_apart(rest.unionByName(_between(members, classes, labels, tested, threshold, per_key)), labels).select("a", "b", "d", "key", "more", "done"))
         left, take = found.where("not done"), FIRST_PAIRS
         todo = stored(_closest(_apart(left, labels), take))
         while (n := todo.count()) > 0:
@@ -515,9 +527,11 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, thr
             take *= MORE_PAIRS
             left = stored(_apart(left.join(todo, ["a", "b"], "left_anti"), labels).select("a", "b", "d"))
             todo = stored(_closest(_apart(left, labels), take))
-        if not _apart(found.where("more"), labels).head(1):
+        again = stored(_apart(found.where("more"), labels).select("key").distinct())
+        if not again.head(1):
             break
-        per_key *= MORE_PAIRS
+        # of the other keys every pair is tested, refuted or inside a component
+        members, per_key = stored(members.join(again, "key")), per_key * MORE_PAIRS
     named = classes.select("cid", "digest", "id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     # written first, so that Spark can split the join at a component of many classes
     least = stored(named.groupBy("label").agg(F.min("id").alias("component_id")))
