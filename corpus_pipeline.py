@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
 and returns a DataFrame; ``run`` writes it as Parquet and reads it for the
 next. All stages but the last return the columns of ``documents``.
+
+Every stage takes nulls in any column, empty and very long texts, rows that
+repeat an id or all of a row, ids that are null, empty tables, and extra columns
+with any names, which stay. Rows that repeat an id are judged each by its text.
 """
 
 from __future__ import annotations
@@ -11,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.llm import decontaminate, language_id, line_dedup, near_dedup, packing
-from logquarry.llm.common import broadcast_if_small, stored
+from logquarry.llm.common import broadcast_if_small, discard, scratch, stored
+from logquarry.workfolder import work_folder
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -72,7 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        folder = work_folder(spark)
+        with scratch(spark):
+            done = stored(stage(spark, docs, sf_dir), folder)
+        if last:
+            discard(spark, last)
+        docs, last = done, folder
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,13 +3,35 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.workfolder import work_folder as work_dir
+from logquarry.workfolder import work_folder
 
-__all__ = ["CRC_SQL", "broadcast_if_small", "discard", "stored", "text_bytes", "work_dir"]
+__all__ = ["CRC_SQL", "broadcast_if_small", "discard", "scratch", "stored", "text_bytes", "work_dir"]
+
+
+_scratch: ContextVar[str] = ContextVar("scratch", default="")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new path in the shared folder, inside the scratch folder if there is one."""
+    return f"{_scratch.get()}/{uuid.uuid4().hex}" if _scratch.get() else work_folder(spark)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """All tables that operators write inside go at the end; what is read later must be written elsewhere."""
+    token = _scratch.set(work_folder(spark))
+    try:
+        yield
+    finally:
+        discard(spark, _scratch.get())
+        _scratch.reset(token)
 
 
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:

@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logquarry.llm.common import broadcast_if_small, stored, text_bytes
 from logquarry.llm.components import components
@@ -160,7 +161,7 @@ def most_errors(threshold: float) -> int:
 
 def _sketches(rows: DataFrame, size: int) -> DataFrame:
     """Per row its id, number of shingles, digest of the set and signature."""
-    kind = rows.schema["id"].dataType.simpleString()
+    shape = T.StructType([rows.schema["id"], T.StructField("n", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("digest", "sig", "fine"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -174,7 +175,7 @@ def _sketches(rows: DataFrame, size: int) -> DataFrame:
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.record_batch([b.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(fine, pa.binary())], names=["id", "n", "digest", "sig", "fine"])
 
-    return rows.mapInArrow(run, f"id {kind}, n long, digest binary, sig binary, fine binary")
+    return rows.mapInArrow(run, shape)
 
 
 def _grouped(key: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -99,10 +99,18 @@ def test_repeated_and_null_ids(spark, folder):
     docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = cp.near_copies(spark, docs, folder[0])
     assert out.count() == 3 and out.where("doc_id = 2").count() == 2
+    hit = spark.read.parquet(f"{folder[0]}/benchmark.parquet").where("item_id = 2").first().text
+    more = docs.unionByName(docs.limit(0)).unionByName(spark.createDataFrame([(1, hit, None, None, None), (None, hit, "aa", None, 1), (None, "- 7", "aa", "s", 3), (None, None, None, None, None)], docs.schema))
+    assert cp.known_language(spark, more, folder[0]).count() == 7
+    lines = cp.repeated_lines(spark, more, folder[0])
+    assert lines.dtypes == more.dtypes and lines.count() == 9
+    clean = cp.benchmark_passages(spark, more, folder[0])
+    assert clean.count() == 7 and clean.where("doc_id is null").count() == 3
+    assert cp.sequences(spark, clean, folder[0]).count() == 6
 
 
 def test_extra_columns_with_names_of_the_operators_stay(spark, folder):
-    names = ["row", "id", "raw", "score", "lang_pred", "uid", "runs", "n", "key", "starts", "items", "kept", "component_id"]
+    names = ["a-b", "a b", "__row", "row_number_0", "row", "id", "raw", "score", "lang_pred", "uid", "runs", "n", "key", "starts", "items", "kept", "component_id"]
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     docs = docs.select(*docs.columns, *((docs.doc_id * 10 + i).alias(c) for i, c in enumerate(names)))
     for _, stage in cp.STAGES[:-1]:
