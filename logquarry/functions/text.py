@@ -21,15 +21,21 @@ def fold(column: Column | str) -> Column:
 
 
 def contains_folded(column: Column | str, needle: str) -> Column:
-    """Literal substring in either case; an empty one is in every text."""
-    return F.contains(fold(column), F.lit(folded(needle)))
+    """Literal substring in either case; an empty one is in every text.
+
+    (?i) alone folds ASCII letters and no others, without a copy of the text.
+    """
+    if not any(c in string.ascii_letters for c in needle):
+        return F.contains(column if isinstance(column, Column) else F.col(column), F.lit(needle))
+    literal = "".join(f"\\{c}" if c.isascii() and not c.isalnum() else c for c in needle)
+    return F.rlike(column, F.lit(f"(?i){literal}"))
 
 
 def tokens(column: Column | str) -> Column:
     """Distinct tokens: runs of ASCII letters, digits, _ and -, in lower case."""
     low, high = TOKEN_LENGTH
-    parts = F.split(fold(column), "[^0-9A-Za-z_\\-]+")
-    return F.array_distinct(F.filter(parts, lambda x: F.length(x).between(low, high)))
+    parts = F.filter(F.split(column, "[^0-9A-Za-z_\\-]+"), lambda x: F.length(x).between(low, high))
+    return F.array_distinct(F.transform(parts, F.lower))  # of ASCII only
 
 
 def bounded_tokens(needle: str) -> list[str]:

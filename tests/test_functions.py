@@ -57,3 +57,12 @@ def test_line_times(spark):
 
 def test_iso(spark):
     assert spark.range(1).select(times.iso_millis(F.lit(1_705_276_800_123_456_789))).first()[0] == "2024-01-15T00:00:00.123Z"
+
+
+def test_folded_search_takes_every_character_literally(spark):
+    texts = ["a.B*c", "x\\Qy\\E z", "K and k and K", "tab\there\nline", "[set] (group) {3} ^$|?+#", "ſ s É é", "a b", ""]
+    needles = ["A.b", "\\qY", "\\E", "K", "K", "T\tH", "E\nL", "[SET", "P) {", "^$|?+#", "S", "É", "é", "B", " ", "", "x#", "a-b", "&&"]
+    fold = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = df.select("t", *(text.contains_folded("t", n).alias(str(i)) for i, n in enumerate(needles))).collect()
+    assert [[r[str(i)] for i in range(len(needles))] for r in got] == [[fold(n) in fold(t) for n in needles] for t in texts]
