@@ -106,9 +106,9 @@ def repeated_runs(rows: DataFrame, least: int) -> DataFrame:
         level = stored(_compared(at, k), folder)
         found = level.where("t is not null").select("key", "pos", "t", "r", "s")
         pieces = found if pieces is None else pieces.unionByName(found)
-        ranks = _ranked(level.where("t is null"), ["r", "s"], folder)
-        if not ranks.head(1):
+        if not level.where("t is null and size(ts) > 0").head(1):  # no piece has so many lines
             break
+        ranks = _ranked(level.where("t is null"), ["r", "s"], folder)
         at, k = _joined(level.where("t is null"), ranks, ["r", "s"]).select("key", "pos", "number", "most", "ts"), 2 * k
     place = F.struct("key", "pos")
     # written first: a join of two plain exchanges is one that Spark can split at a run of many copies
