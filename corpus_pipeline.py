@@ -19,16 +19,20 @@ from logquarry.llm.common import broadcast_if_small, discard, scratch, stored
 from logquarry.workfolder import work_folder
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """Whole rows as one column, out of the way of columns that operators add, and the text."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Columns by number, out of the way of columns that operators add, and which of them is the text."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), f"c{docs.columns.index('text')}"
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language, the likeliest of those learned; those without a letter go."""
     samples = language_id.samples_of(docs.where(~language_id.held_out("doc_id")), "doc_id", "text", "lang")
-    judged = language_id.identify(spark, _rows(docs), "row", "text", samples)
-    return judged.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
+    rows, text = _numbered(docs)
+    return _named(language_id.identify(spark, rows, text, samples).where(F.col("lang_pred") != language_id.UNKNOWN), docs)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +59,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more of the words are benchmark passages."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.judged(decontaminate.find_passages(spark, _rows(docs), "row", "text", bench))
-    return found.where("not contaminated").select("row.*")
+    rows, text = _numbered(docs)
+    found = decontaminate.judged(decontaminate.find_passages(spark, rows, text, text, bench, whole=True))
+    return _named(found.where("not contaminated"), docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

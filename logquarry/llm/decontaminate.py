@@ -171,24 +171,27 @@ def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.Reco
         yield group
 
 
-def find_passages(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: its id, n_words, spans of hit words, their character offsets (flat: start, end, start, ...), items found.
+def find_passages(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
+    """Per document: its id (with ``whole`` all its columns, none of which may be named as an added one), n_words, spans of hit words, their character offsets (flat: start, end, start, ...), items found.
 
     Whole texts are read, long ones as well; a null or empty text has no
     words. An empty benchmark hits nothing, an empty table has no rows. An
     item with a null id is named "", and items that share an id count as one.
     Spans that overlap or touch are one, and so ties cannot arise. Two rows
-    with one document id stay two rows. Other columns are not looked at.
+    with one document id stay two rows. Other columns are not looked at, and
+    without ``whole`` not read.
     """
     folder = _stored_blocks(spark, benchmark, item_col, item_text_col, block_bytes)
     ints = T.ArrayType(T.IntegerType())
-    shape = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("starts", ints), T.StructField("ends", ints), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("chars", ints)])
+    keep = docs.columns if whole else [id_col]
+    at = [*keep, text_col].index(text_col)
+    shape = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("starts", ints), T.StructField("ends", ints), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("chars", ints)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = pafs.FileSystem.from_uri(folder)
         names = sorted(f.base_name for f in where.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".parquet"))
         for group in _held(batches, HELD_BYTES if len(names) > 1 else 0):
-            texts = [raw for b in group for raw in b.column(1)]
+            texts = [raw for b in group for raw in b.column(at).cast(pa.binary()).fill_null(b"")]
             n, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
             for name in names:
                 block = _block(folder, name)
@@ -205,9 +208,10 @@ def find_passages(spark: SparkSession, docs: DataFrame, id_col: str, text_col: s
                 words = [merged(s) for s in spans[part]]
                 chars = [[p for se in char_spans(raw.as_py(), s) for p in se] if s else [] for raw, s in zip(texts[part], words, strict=True)]
                 lists = pa.list_(pa.int32())
-                yield pa.record_batch([b.column(0), pa.array(n[part], pa.int64()), pa.array([[x for x, _ in s] for s in words], lists), pa.array([[x for _, x in s] for s in words], lists), pa.array([sorted(x) for x in items[part]], pa.list_(pa.string())), pa.array(chars, lists)], names=shape.names)
+                yield pa.record_batch([*b.columns[: len(keep)], pa.array(n[part], pa.int64()), pa.array([[x for x, _ in s] for s in words], lists), pa.array([[x for _, x in s] for s in words], lists), pa.array([sorted(x) for x in items[part]], pa.list_(pa.string())), pa.array(chars, lists)], names=shape.names)
 
-    return docs.select(F.col(f"`{id_col}`"), text_bytes(F.col(f"`{text_col}`")).alias("raw")).mapInArrow(run, shape)
+    read = keep if text_col in keep else [*keep, text_col]
+    return docs.select(*(F.col(f"`{c}`") for c in read)).mapInArrow(run, shape)
 
 
 def judged(found: DataFrame) -> DataFrame:

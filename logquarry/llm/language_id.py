@@ -23,7 +23,7 @@ import math
 import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ ROW_CHARS, ROW_PIECES = 4000, 8
 #: Of each language.
 LANGUAGE_CHARS = 80_000
 PIECE = 512
+#: Texts that are parsed at once.
+SLICE = 1000
 LETTERS = 120
 #: Positions of a sample that a phrase's bits reckon with at least.
 LEAST_SAMPLE = 4096
@@ -225,8 +227,8 @@ def samples_of(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -
     return {lang: "\n".join(texts) for lang, texts in out.items()}
 
 
-def identify(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, samples: dict[str, str]) -> DataFrame:
-    """Adds lang_pred, score and bits_per_letter to the rows of ``df``, from the text alone.
+def identify(spark: SparkSession, df: DataFrame, text_col: str, samples: dict[str, str], keep: Sequence[str] | None = None) -> DataFrame:
+    """Adds lang_pred, score and bits_per_letter to the rows of ``df``, or to its columns ``keep``, from the text alone.
 
     A null text, one without a letter, or any text when nothing was learned,
     is ``und`` with score 0. Whole texts are read, however long. Ties go to the
@@ -236,10 +238,11 @@ def identify(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, sam
     """
     key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(samples)
     added = {"lang_pred": T.StringType(), "score": T.DoubleType(), "bits_per_letter": T.DoubleType()}
-    stays = [c for c in df.columns if c not in added]
+    stays = [c for c in (df.columns if keep is None else keep) if c not in added]
     shape = T.StructType([*(df.schema[c] for c in stays), *(T.StructField(c, k) for c, k in added.items())])
-    df = df.select(*(F.col(f"`{c}`") for c in stays), F.col(f"`{text_col}`"))
-    at = len(stays)
+    read = stays if text_col in stays else [*stays, text_col]
+    df = df.select(*(F.col(f"`{c}`") for c in read))
+    at, n = read.index(text_col), len(stays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _parsers:
@@ -247,10 +250,10 @@ def identify(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, sam
             _parsers[key] = Parser(sent.value)
         parser = _parsers[key]
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
                 lang, score, bits = zip(*parser.judge(part.column(at).to_pylist()), strict=True)
-                yield pa.record_batch([*part.columns[:at], pa.array(lang), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=shape.names)
+                yield pa.record_batch([*part.columns[:n], pa.array(lang), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=shape.names)
 
     return df.mapInArrow(run, shape)
 
@@ -259,7 +262,7 @@ def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     samples = samples_of(docs.where(~held_out("doc_id")), "doc_id", "text", "lang")
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
-    return identify(spark, rows, "doc_id", "text", samples).drop("text")
+    return identify(spark, rows, "text", samples, ["doc_id", "held_out"])
 
 
 def language_known(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def test_a_label_of_one_tiny_or_letterless_text_takes_nothing(spark):
 
 def test_columns_with_odd_names_and_a_text_named_as_an_added_one(spark):
     df = spark.createDataFrame([(1, say("aa"), 7), (1, say("aa"), 7)], "doc_id long, score string, `a-b c` long")
-    got = li.identify(spark, df.selectExpr("doc_id", "score", "struct(`a-b c`) as `x y`"), "doc_id", "score", {k: say(k, 300) for k in WORDS}).collect()
+    got = li.identify(spark, df.selectExpr("doc_id", "score", "struct(`a-b c`) as `x y`"), "score", {k: say(k, 300) for k in WORDS}).collect()
     assert [(r["x y"]["a-b c"], r.lang_pred) for r in got] == [(7, "aa")] * 2 and all(isinstance(r.score, float) for r in got)
 
 
@@ -79,7 +79,7 @@ def test_frame(spark):
     rows += [(900, None, "aa", 0.1), (901, "", None, 0.1), (902, "12 -- 3!", "bb", 0.1), (903, say("aa", 5000), None, 0.1), (903, say("cc"), None, 0.1), (None, say("bb"), None, 0.1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     samples = li.samples_of(df.where(~li.held_out("doc_id")), "doc_id", "text", "lang")
-    got = li.identify(spark, df, "doc_id", "text", samples).collect()
+    got = li.identify(spark, df, "text", samples).collect()
     assert len(got) == len(rows)
     assert {(r.lang_pred, r.score) for r in got if r.doc_id in (900, 901, 902)} == {("und", 0.0)}
     assert np.mean([r.lang_pred == r.lang for r in got if r.doc_id is not None and r.doc_id < 900]) > 0.98
@@ -90,8 +90,8 @@ def test_frame(spark):
 def test_nothing_learned_and_empty_table(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert li.samples_of(df, "doc_id", "text", "lang") == {}
-    assert li.identify(spark, df, "doc_id", "text", {}).first().lang_pred == "und"
-    assert li.identify(spark, df.limit(0), "doc_id", "text", {}).count() == 0
+    assert li.identify(spark, df, "text", {}).first().lang_pred == "und"
+    assert li.identify(spark, df.limit(0), "text", {}).count() == 0
 
 
 def test_every_language_is_learned_and_large_alphabets_are_told_apart(spark):
