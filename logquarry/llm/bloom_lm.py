@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logquarry.llm.common import CRC_SQL, stored, text_bytes
+from logquarry.llm.common import CRC_SQL, release, stored, text_bytes
 from logquarry.llm.words import REMEMBERED, WordHashes, mixed, pair_hash, split_words
 
 BITS_PER_ENTRY = 12
@@ -48,7 +48,7 @@ FOLD_TOKENS = 1 << 21
 #: Text bytes that share a bucket.
 BUCKET_TEXT = 8 << 20
 #: Text bytes of a chunk; a longer text is one of its own.
-CHUNK_TEXT = 8 << 20
+CHUNK_TEXT = 4 << 20
 #: Weight of the bigram estimate against the one-word estimate.
 BIGRAM_WEIGHT = 0.6
 
@@ -167,6 +167,9 @@ def _folded(batches: Iterator[pa.RecordBatch], keys_of, buckets: int, fold: int)
                 held, size = [], 0
     if held:
         yield from flush()
+    hashes.clear()
+    held.clear()
+    release()
 
 
 def _summed(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -227,6 +230,10 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             counts = np.bincount(np.concatenate((word[train], pair[train])), minlength=len(keys)).astype(np.uint32)
             full, cut = _runs(keys >> np.uint64(64 - int(math.log2(buckets))))  # in the order of the keys
             yield pa.record_batch([pa.array([chunk] * len(full), pa.int64()), pa.array(full.astype(np.int32)), cut(keys), cut(counts)], names=["chunk", "bucket", "keys", "counts"])
+            del docs, texts, keys, word, pair, counts, cut
+            release()
+    hashes.clear()
+    release()
 
 
 def _answer(part: pa.Table, bits_per_entry: float = BITS_PER_ENTRY) -> pa.Table:
@@ -287,6 +294,7 @@ class LanguageModel:
             chunk, part = asked["chunk"][0].as_py(), _docs(asked["docs"][0].as_buffer())
             level = np.frombuffer(b"".join(answers.sort_by("bucket")["levels"].to_pylist()), np.uint8)
             size, known, base, score, cut, rare, tf = _scorers[key].scores([x.as_py() for x in part["raw"]], level, discount)
+            release()
             lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (rare, tf)]
             names = ["chunk", "place", *keep, "n_tokens", "known", "base", "score", "rare", "tfs"]
             return pa.table([pa.array([chunk] * len(size), pa.int64()), pa.array(np.arange(len(size), dtype=np.int32)), *(part[c] for c in keep), pa.array(size), pa.array(known), pa.array(base), pa.array(score), *lists], names=names)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.workfolder import work_folder
 
-__all__ = ["CRC_SQL", "broadcast_if_small", "discard", "scratch", "stored", "text_bytes", "work_dir"]
+__all__ = ["CRC_SQL", "broadcast_if_small", "discard", "release", "scratch", "stored", "text_bytes", "work_dir"]
 
 
 _scratch: ContextVar[str] = ContextVar("scratch", default="")
@@ -52,6 +54,13 @@ def discard(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives freed memory back to the system at the end of a task, as Spark keeps its Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     """Hint a broadcast of a table of ``rows`` narrow rows only if they are few; else Spark shuffles both sides."""
     return F.broadcast(df) if rows <= most else df
