@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logquarry.llm.common import text_bytes, work_dir
+from logquarry.llm.common import release, text_bytes, work_dir
 
 WINDOW = 13
 ANCHOR = (WINDOW + 1) // 2
@@ -209,6 +209,7 @@ def find_passages(spark: SparkSession, docs: DataFrame, id_col: str, text_col: s
                 chars = [[p for se in char_spans(raw.as_py(), s) for p in se] if s else [] for raw, s in zip(texts[part], words, strict=True)]
                 lists = pa.list_(pa.int32())
                 yield pa.record_batch([*b.columns[: len(keep)], pa.array(n[part], pa.int64()), pa.array([[x for x, _ in s] for s in words], lists), pa.array([[x for _, x in s] for s in words], lists), pa.array([sorted(x) for x in items[part]], pa.list_(pa.string())), pa.array(chars, lists)], names=shape.names)
+        release()
 
     read = keep if text_col in keep else [*keep, text_col]
     return docs.select(*(F.col(f"`{c}`") for c in read)).mapInArrow(run, shape)

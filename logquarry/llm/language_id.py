@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logquarry.llm.common import CRC_SQL
+from logquarry.llm.common import CRC_SQL, release
 
 SAMPLE_ROWS = 64
 ROW_CHARS, ROW_PIECES = 4000, 8
@@ -254,6 +254,7 @@ def identify(spark: SparkSession, df: DataFrame, text_col: str, samples: dict[st
                 part = b.slice(i, SLICE)
                 lang, score, bits = zip(*parser.judge(part.column(at).to_pylist()), strict=True)
                 yield pa.record_batch([*part.columns[:n], pa.array(lang), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=shape.names)
+        release()
 
     return df.mapInArrow(run, shape)
 

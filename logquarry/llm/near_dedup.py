@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logquarry.llm.common import broadcast_if_small, stored, text_bytes
+from logquarry.llm.common import broadcast_if_small, release, stored, text_bytes
 from logquarry.llm.components import components
 from logquarry.llm.words import WordHashes, mixed, pair_hash, split_words
 
@@ -174,6 +174,8 @@ def _sketches(rows: DataFrame, size: int) -> DataFrame:
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.record_batch([b.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), pa.array(fine, pa.binary())], names=["id", "n", "digest", "sig", "fine"])
+        hashes.clear()
+        release()
 
     return rows.mapInArrow(run, shape)
 
@@ -235,6 +237,9 @@ def _met(classes: DataFrame, parts: int) -> DataFrame:
             key, cid, start, size = _grouped(*map(np.concatenate, held))
             many = size > 1
             yield from out(key[many], cid[many], cid[start][many])
+        held[0].clear()
+        held[1].clear()
+        release()
 
     packed = classes.select("cid", "sig").mapInArrow(fold, "part int, keys binary, a binary, b binary")
     return packed.repartitionById(parts, "part").mapInArrow(meet, "key long, a long, b long")
@@ -415,6 +420,7 @@ def _between(members: DataFrame, classes: DataFrame, labels: DataFrame, tested:
             ok, more = place < take, place == take - 1
             more &= ~last
             yield pa.record_batch([pa.array(cid[y[ok]]), pa.array(cid[x[ok]]), pa.array(d[ok].astype(np.int32)), pa.array(np.full(int(ok.sum()), key)), pa.array(more[ok])], names=["a", "b", "d", "key", "more"])
+        release()
 
     def pairs_of(cid, label, n, side, fine, i, j):
         """Pairs of rows i to i + 512 with rows j to j + 4096."""
