@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry import render
+from logquarry.config import parse_config
 from logquarry.engine import LogEngine
 from logquarry.functions.text import contains_folded, tokens
-from logquarry.functions.times import SECOND
+from logquarry.functions.times import SECOND, parse_relative, parse_timestamp
 from logquarry.model import first_label, label, no_labels
 from logquarry.operators import ingest
 from logquarry.plans import catalog
@@ -307,3 +308,37 @@ _add(
     "response_exposition", lambda s, d: _text(s, render.exposition({f"log_{k}_total": v for k, v in catalog.totals(event_entries(s, d)).first().asDict().items()})),
     f"SELECT '{_HEADS[0]}' || count(*) || '\n{_HEADS[1]}' || sum({_SIZE})::BIGINT || '\n{_HEADS[2]}0\n{_HEADS[3]}0\n{_HEADS[4]}0\n' AS text FROM e",
 )
+
+# Request parameters and settings, which the driver reads
+_NOW = 1_705_276_800 * SECOND
+_TIMES = ["1700000000", "999999999999", "1000000000000", "1700000000000000000", "+5", "-5", "1700000000.5", "1e3", "abc", ""]
+_RELATIVE = ["now", "now-15m", "now-2h", "now-1d", "now-30s", "now-5x", "1705276800123456789", "2024-01-15T00:00:00", "2024-01-15T00:00:00.250", "soon"]
+_HEADERS = ["team-a", " team_b.1\t", "", "   ", "a b", "é", "x/y", "Default", "-"]
+_CONFIG = '{"http_port": 1, "scrape_configs": [{"job": "web", "paths": ["/a.log", "/b.log"], "labels": {"env": "prod"}}, {"paths": ["/c.log"]}], "watch_files": ["/a.log", "/d.log"]}'
+
+
+def _values(texts: list[str]) -> str:
+    return "(VALUES " + ", ".join(f"('{t}')" for t in texts) + ") AS v(text)"
+
+
+_add(
+    "request_times", lambda s, d: s.createDataFrame([(t, parse_timestamp(t)) for t in _TIMES], "text string, ns long").fillna(-1),
+    f"""SELECT text, coalesce(CASE WHEN regexp_full_match(text, '[+-]?[0-9]+') THEN TRY_CAST(text::HUGEINT * CASE WHEN text::BIGINT < 1000000000000 THEN 1000000000 ELSE 1 END AS BIGINT)
+    ELSE (TRY_CAST(text AS DOUBLE) * 1000000000)::BIGINT END, -1) AS ns FROM {_values(_TIMES)}""",
+)
+_add(
+    "request_relative_times", lambda s, d: s.createDataFrame([(t, parse_relative(t, _NOW)) for t in _RELATIVE], "text string, ns long").fillna(-1),
+    f"""SELECT text, coalesce(CASE WHEN text = 'now' THEN {_NOW} WHEN regexp_full_match(text, 'now-[0-9]+[smhd]')
+      THEN {_NOW} - regexp_extract(text, '[0-9]+')::BIGINT * CASE right(text, 1) WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 ELSE 86400 END * 1000000000
+    WHEN regexp_full_match(text, '[0-9]+') THEN text::BIGINT ELSE epoch_ns(TRY_CAST(text AS TIMESTAMP)) END, -1) AS ns FROM {_values(_RELATIVE)}""",
+)
+_add(
+    "request_tenants", lambda s, d: s.createDataFrame([(t, ingest.tenant_id(t)) for t in _HEADERS], "header string, tenant string"),
+    f"SELECT text AS header, CASE WHEN regexp_full_match(trim(text, ' ' || chr(9)), '[A-Za-z0-9_.-]+') THEN trim(text, ' ' || chr(9)) ELSE 'default' END AS tenant FROM {_values(_HEADERS)}",
+)
+_add(
+    "configured_sources", lambda s, d: ingest.label_table(s, parse_config(_CONFIG).jobs()).select("source", catalog.fingerprint(F.col("source_labels")).alias("labels")),
+    f"""SELECT p AS source, concat_ws(chr(31), 'job=' || coalesce(json_extract_string(c, '$.job'), 'default'), 'filename=' || p, 'env=' || json_extract_string(c, '$.labels.env')) AS labels
+    FROM (SELECT c, unnest(json_extract_string(c, '$.paths[*]')) AS p FROM (SELECT unnest(json_extract('{_CONFIG}'::JSON, '$.scrape_configs[*]')) AS c))
+    UNION ALL SELECT '/d.log', concat_ws(chr(31), 'job=default', 'filename=/d.log')""",
+)
