@@ -20,7 +20,6 @@ benchmark; only time does.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import repeat
@@ -226,9 +225,6 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(find_passages(spark, docs, "doc_id", "text", bench)).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-#: What the op's own texts hash to when nothing is found.
-EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
-
 _CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = f"""
