@@ -88,7 +88,10 @@ def parse_relative(text: str, now_ns: int) -> int | None:
 
 def iso_millis(ts_ns: Column) -> Column:
     """YYYY-MM-DDTHH:MM:SS.mmmZ in a session whose time zone is UTC."""
-    return F.date_format(F.timestamp_millis(F.floor(ts_ns / F.lit(10**6)).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    milli = F.lit(10**6).cast("long")
+    # whole numbers throughout: a double has too few digits
+    millis = F.call_function("div", ts_ns - F.pmod(ts_ns, milli), milli)
+    return F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def line_time(text: Column) -> Column:

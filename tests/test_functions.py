@@ -66,3 +66,9 @@ def test_folded_search_takes_every_character_literally(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
     got = df.select("t", *(text.contains_folded("t", n).alias(str(i)) for i, n in enumerate(needles))).collect()
     assert [[r[str(i)] for i in range(len(needles))] for r in got] == [[fold(n) in fold(t) for n in needles] for t in texts]
+
+
+def test_milliseconds_are_exact(spark):
+    ns = [1_704_553_130_026_000_000, 1_704_553_130_025_999_999, 0, -1, -1_000_000]
+    got = [r.t for r in spark.createDataFrame([(i, n) for i, n in enumerate(ns)], "i int, n long").orderBy("i").select(times.iso_millis(F.col("n")).alias("t")).collect()]
+    assert got == ["2024-01-06T14:58:50.026Z", "2024-01-06T14:58:50.025Z", "1970-01-01T00:00:00.000Z", "1969-12-31T23:59:59.999Z", "1969-12-31T23:59:59.999Z"]
