@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,16 @@ from logquarry.model import NO_LABELS, with_time
 MAGIC = b"AMTZ"
 VERSION = 1
 COMPRESSED, FINALIZED = 1, 2
+#: Bytes of entries at which a chunk is full.
+CHUNK_BYTES = 10 << 20
 _HEADER = struct.Struct("<4sHHIIQQ")
 _TIME, _SHORT, _LONG = struct.Struct("<q"), struct.Struct("<H"), struct.Struct("<I")
 
+#: Bytes of a piece of a file: Spark sends 10,000 rows at once if they have less than 64 MB, and a worker may hold two such batches.
+_PIECE = 1 << 8
+#: Entries, and bytes of them, that a worker has as objects at once.
+_ENTRIES, _BYTES = 4096, 4 << 20
+
 Entry = tuple[int, bytes, list[tuple[str, str]], bytes]
 
 
@@ -80,7 +88,10 @@ def encode_entry(time: int, source: bytes, labels: Iterable[tuple[str, str]], me
 
 
 def encode_chunk(entries: Iterable[Entry], compressed: bool = False, finalized: bool = True) -> bytes:
-    parts = [encode_entry(*e) for e in entries]
+    return _chunk([encode_entry(*e) for e in entries], compressed, finalized)
+
+
+def _chunk(parts: list[bytes], compressed: bool, finalized: bool = True) -> bytes:
     payload = b"".join(parts)
     if compressed and finalized:
         payload = gzip.compress(payload)
@@ -92,18 +103,61 @@ def decoded(files: DataFrame, journal: bool = False, ignore_corrupt: bool = True
 
     Of a broken chunk the entries before the break are kept; with
     ``ignore_corrupt`` off it fails the query.
+
+    A worker holds some copies of the bytes of one file and a bounded number of
+    entries, however many files a task has.
     """
     decode = decode_journal if journal else decode_chunk
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                held = list(_readable(decode, data.as_py(), ignore_corrupt))
+        for name, data in _whole(batches):
+            at = 0
+            for held in _bounded(_readable(decode, data, ignore_corrupt)):
                 text = lambda i: pa.array([x[i].decode("utf-8", "replace") for x in held], pa.string())  # noqa: E731, B023
-                labels = pa.array([[{"key": k, "value": v} for k, v in x[2]] for x in held], pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())])))
-                yield pa.record_batch([pa.array([name] * len(held), pa.string()), pa.array(range(len(held)), pa.int64()), pa.array([x[0] for x in held], pa.int64()), text(1), text(3), labels], names=["path", "at", "ts_ns", "source", "message", "labels"])
-
-    return files.select("path", "content").mapInArrow(run, f"path string, at long, ts_ns long, source string, message string, labels {NO_LABELS}")
+                pairs = [pa.array([p[i] for x in held for p in x[2]], pa.string()) for i in (0, 1)]
+                labels = pa.ListArray.from_arrays(pa.array(accumulate((len(x[2]) for x in held), initial=0), pa.int32()), pa.StructArray.from_arrays(pairs, names=["key", "value"]))
+                yield pa.record_batch([pa.array([name] * len(held), pa.string()), pa.array(range(at, at + len(held)), pa.int64()), pa.array([x[0] for x in held], pa.int64()), text(1), text(3), labels], names=["path", "at", "ts_ns", "source", "message", "labels"])
+                at += len(held)
+
+    # No exchange follows, so the pieces of a file reach the task one after another. As a variable, what gives the content is evaluated once and not for every piece.
+    pieces = F.expr(f"transform(array(content), c -> transform(sequence(0, greatest(octet_length(c) - 1, 0) div {_PIECE}), i -> substring(c, int(i * {_PIECE} + 1), {_PIECE})))[0]")
+    rows = files.select("path", F.posexplode(pieces).alias("place", "piece")).select(F.when(F.col("place") == 0, F.col("path")).alias("path"), "place", "piece")
+    return rows.mapInArrow(run, f"path string, at long, ts_ns long, source string, message string, labels {NO_LABELS}")
+
+
+def _pairs(labels: pa.ListArray) -> Iterator[list[tuple[str, str]]]:
+    """The labels of each entry; structs one by one would take most of a worker's time."""
+    ends = labels.offsets.to_pylist()
+    flat = labels.values.slice(ends[0], ends[-1] - ends[0])
+    pairs = list(zip(flat.field("key").to_pylist(), flat.field("value").to_pylist(), strict=True))
+    return (pairs[a - ends[0] : b - ends[0]] for a, b in pairwise(ends))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """(path, content) of each file, from its pieces; the first one has the path."""
+    path, held = None, []
+    for b in batches:
+        for name, place, piece in zip(*(b.column(c).to_pylist() for c in ("path", "place", "piece")), strict=True):
+            if place == 0:
+                if held:
+                    yield path, b"".join(held)
+                path, held = name, []
+            held.append(piece)
+    if held:
+        yield path, b"".join(held)
+
+
+def _bounded(entries: Iterator[Entry]) -> Iterator[list[Entry]]:
+    """The entries in lists of at most so many, or of so many bytes."""
+    held, size = [], 0
+    for e in entries:
+        held.append(e)
+        size += len(e[1]) + len(e[3]) + sum(len(k) + len(v) for k, v in e[2])
+        if len(held) == _ENTRIES or size >= _BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def read_chunks(spark: SparkSession, path: str, journal: bool = False, ignore_corrupt: bool = True) -> DataFrame:
@@ -120,14 +174,26 @@ def read_chunks(spark: SparkSession, path: str, journal: bool = False, ignore_co
 
 
 def encoded(df: DataFrame, compressed: bool = True) -> DataFrame:
-    """(path, content): a chunk of each batch of (seq, ts_ns, source, message, labels), for fixtures."""
+    """(path, content): chunks of (seq, ts_ns, source, message, labels), for fixtures; one is full at ``CHUNK_BYTES`` or ends with a batch of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                rows = zip(*(b.column(c).to_pylist() for c in ("ts_ns", "source", "labels", "message")), strict=True)
-                data = encode_chunk([(t, s.encode(), [(x["key"], x["value"]) for x in labels], m.encode()) for t, s, labels, m in rows], compressed)
-                yield pa.record_batch([pa.array([f"chunk-{b.column('seq')[0].as_py():012d}"]), pa.array([data], pa.binary())], names=["path", "content"])
+            first, parts, size = None, [], 0
+            for at in range(0, b.num_rows, _ENTRIES):
+                few = b.slice(at, _ENTRIES)
+                for seq, t, s, labels, m in zip(*(few.column(c).to_pylist() for c in ("seq", "ts_ns", "source")), _pairs(few.column("labels")), few.column("message").to_pylist(), strict=True):
+                    if not parts:
+                        first = seq
+                    parts.append(encode_entry(t, s.encode(), labels, m.encode()))
+                    size += len(parts[-1])
+                    if size >= CHUNK_BYTES:
+                        yield chunk(first, parts)
+                        parts, size = [], 0
+            if parts:
+                yield chunk(first, parts)
+
+    def chunk(first: int, parts: list[bytes]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([f"chunk-{first:012d}"]), pa.array([_chunk(parts, compressed)], pa.binary())], names=["path", "content"])
 
     return df.select("seq", "ts_ns", "source", "message", "labels").mapInArrow(run, "path string, content binary")
 

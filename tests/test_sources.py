@@ -117,3 +117,38 @@ def test_a_backlog_comes_in_bounded_batches_of_whole_lines(tmp_path):
         sizes.append(end[str(path)] - at[str(path)])
         at = end
     assert got == texts and sorted(sizes)[-2] <= 100 and max(sizes) == 501
+
+
+def test_workers_hold_little_at_once(spark, tmp_path, monkeypatch):
+    """However many files a task has, and entries a file."""
+    noted, plain = tmp_path / "noted", type(spark.range(0)).mapInArrow
+
+    def spied(df, run, schema):
+        def note(batches, way):
+            for b in batches:
+                with open(noted, "a") as f:
+                    f.write(f"{way} {b.num_rows} {b.nbytes}\n")
+                yield b
+
+        return plain(df, lambda batches: note(run(note(batches, "in")), "out"), schema)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", spied)
+    for journal in (True, False):
+        noted.write_text("")
+        entries = [(i, b"s%d" % i, [("k", str(i))] * (i % 3), b"%d" % i * 300) for i in range(8000)]
+        data = b"".join(c.encode_entry(*e) for e in entries) if journal else c.encode_chunk(entries, True)
+        files = spark.createDataFrame([(f"f{i}", data) for i in range(3)] + [("none", b"")], "path string, content binary").coalesce(1)
+        rows = c.decoded(files, journal=journal).toPandas()
+        assert [(p, t, s, m.encode()) for p, t, s, m in zip(rows.path, rows.ts_ns, rows.source, rows.message)] == [(f"f{i}", t, s.decode(), m) for i in range(3) for t, s, _, m in entries]
+        assert list(rows["at"]) == list(range(8000)) * 3 and [[(x["key"], x["value"]) for x in l] for l in rows.labels] == [l for _, _, l, _ in entries] * 3
+        seen = [line.split() for line in noted.read_text().splitlines()]
+        assert max(int(n) for way, _, n in seen if way == "in") < 4 << 20 and max(int(n) for way, _, n in seen if way == "out") < 6 << 20
+
+
+def test_a_chunk_ends_when_it_is_full(spark):
+    """Labels of slices of a batch, also empty ones, stay with their entries."""
+    df = spark.range(0, 7000, 1, 1).selectExpr("id AS seq", "id AS ts_ns", "concat('s', id) AS source", "repeat(id, 600) AS message", "transform(array_repeat(id, cast(id % 3 AS int)), x -> struct('k' AS key, string(x) AS value)) AS labels")
+    files = c.encoded(df, compressed=False).collect()
+    found = [e for f in files for e in c.decode_chunk(f.content)]
+    assert found == [(i, b"s%d" % i, [("k", str(i))] * (i % 3), b"%d" % i * 600) for i in range(7000)]
+    assert len({f.path for f in files}) == len(files) > 1 and max(len(f.content) for f in files) < (10 << 20) + 4096
